@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from eventloom.schemas import PAGE
 
@@ -14,7 +15,7 @@ _CORRUPT = "_corrupt"
 
 
 def _parsed(lines: DataFrame) -> DataFrame:
-    schema = PAGE.add(_CORRUPT, "string") if _CORRUPT not in PAGE.names else PAGE
+    schema = T.StructType([*PAGE.fields, T.StructField(_CORRUPT, T.StringType())])
     page = F.from_json("value", schema, {"columnNameOfCorruptRecord": _CORRUPT})
     parsed = lines.where(F.length(F.trim("value")) > 0).select("value", page.alias("page"))
     incomplete = F.exists(

@@ -13,9 +13,9 @@ def canonical(col: Column) -> Column:
 
 def text_of(json_col: Column) -> Column:
     """The string inside a JSON string; null for any other JSON value."""
-    # Without an escape there is no inner quote, so cutting the outer ones is exact.
-    parsed = F.try_variant_get(F.try_parse_json(json_col), "$", "string")
-    plain = F.btrim(json_col, F.lit('"'))
+    # Without an escape the only quotes are the outer ones.
+    parsed = F.get_json_object(json_col, "$")
+    plain = F.replace(json_col, F.lit('"'), F.lit(""))
     return F.when(json_col.startswith('"'), F.when(json_col.contains("\\"), parsed).otherwise(plain))
 
 
@@ -30,12 +30,12 @@ def array_text(items: Column) -> Column:
     return F.concat(F.lit("["), F.concat_ws(",", items), F.lit("]"))
 
 
-def topic(decoded_topics: Column, position: int) -> Column:
+def topic(decoded_topics: Column | str, position: int) -> Column:
     """Zero-based decoded topic, null when absent."""
     return F.get(decoded_topics, F.lit(position))
 
 
-def topic_text(decoded_topics: Column, position: int) -> Column:
+def topic_text(decoded_topics: Column | str, position: int) -> Column:
     return text_of(topic(decoded_topics, position))
 
 

@@ -127,14 +127,16 @@ def apply_outcomes(deliveries: DataFrame, outcomes: DataFrame, now: Column, max_
 
 
 def failure_runs(outcomes: DataFrame, start: DataFrame, chunk_seconds: int = HOUR_SECONDS) -> DataFrame:
-    """Outcomes with ``run``, the failures in a row up to each of them.
+    """(subscription_id, delivery_id, ok, at, run): failures in a row up to each outcome.
 
     ``outcomes`` has subscription_id, delivery_id, ok and at; ``start`` gives
     each subscription's count before them. Outcomes are counted inside chunks
     of time; one row per chunk carries the open run to the next.
     """
     order = ("at", "delivery_id")
-    cut = outcomes.withColumn("_chunk", F.floor(F.unix_seconds("at") / F.lit(chunk_seconds)))
+    names = ("subscription_id", "delivery_id", "ok", "at")
+    cut = outcomes.select(*names, F.floor(F.unix_seconds("at") / F.lit(chunk_seconds)).alias("_chunk"))
+    cut = cut.repartition("subscription_id", "_chunk")
     inside = W.partitionBy("subscription_id", "_chunk").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
     fails = F.sum((~F.col("ok")).cast("bigint")).over(inside)
     rows = cut.withColumn("_fails", fails).withColumn(
@@ -161,7 +163,7 @@ def failure_runs(outcomes: DataFrame, start: DataFrame, chunk_seconds: int = HOU
     )
     joined = rows.join(carry, ["subscription_id", "_chunk"], "left")
     run = F.when(F.col("_at_success").isNull(), F.col("_fails") + F.col("_carry")).otherwise(F.col("_fails") - F.col("_at_success"))
-    return joined.select(*outcomes.columns, run.alias("run"))
+    return joined.select(*names, run.alias("run"))
 
 
 def update_subscriptions(subs: DataFrame, outcomes: DataFrame, now: Column, threshold: int = FAILURE_THRESHOLD) -> DataFrame:

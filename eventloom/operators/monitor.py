@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from eventloom.operators.ordered import with_previous, with_running_sums
-
 # Ledger cadence and health bounds.
 LEDGER_SECONDS = 5
 MAX_AGE_SECONDS, MAX_LAG = 120, 100
@@ -88,43 +86,49 @@ def start_gaps(planned: DataFrame) -> DataFrame:
     return planned.select(*names, F.explode("gaps").alias("gap")).select(*names, "gap.*")
 
 
-def trailing(samples: DataFrame, seconds: int, increases: Sequence[str] = (), deltas: Sequence[str] = (),
+def trailing(samples: DataFrame, increases: Mapping[str, int] | None = None, deltas: Mapping[str, int] | None = None,
              key: str = "instance", chunk_seconds: int = DAY_SECONDS) -> DataFrame:
-    """Add ``<c>_increase`` / ``<c>_delta`` over the trailing window of a sample.
+    """Add ``<c>_increase`` / ``<c>_delta`` over trailing windows, {column: seconds}.
 
     An increase sums steps between neighbouring samples of the window, a drop
     counting as a restart from zero. A series is cut into days; rows near a
     day's end are copied into the next day as its lead-in, so each day is
-    complete on its own and no series is ordered whole.
+    complete on its own and no series is ordered whole. Rows keep their day in
+    ``_chunk``.
     """
-    if seconds > chunk_seconds:
+    increases, deltas = increases or {}, deltas or {}
+    lead = max([*increases.values(), *deltas.values()])
+    if lead > chunk_seconds:
         raise ValueError("window is longer than a chunk")
     at = F.unix_seconds("at")
     own = F.floor(at / F.lit(chunk_seconds))
-    also = F.floor((at + seconds) / F.lit(chunk_seconds))
+    also = F.floor((at + lead) / F.lit(chunk_seconds))
     spread = samples.select("*", at.alias("_t"), own.alias("_own"), F.explode(F.array_distinct(F.array(own, also))).alias("_chunk"))
     ordered = W.partitionBy(key, "_chunk").orderBy("_t")
     upto = ordered.rowsBetween(W.unboundedPreceding, W.currentRow)
-    window = ordered.rangeBetween(-seconds, 0)
-    steps = spread
-    for c in increases:
+
+    def step(c: str) -> Column:
         before = F.lag(c).over(ordered)
-        step = F.when(before.isNull(), 0).when(F.col(c) < before, F.col(c)).otherwise(F.col(c) - before)
-        steps = steps.withColumn(f"_step_{c}", step)
+        return F.when(before.isNull(), 0).when(F.col(c) < before, F.col(c)).otherwise(F.col(c) - before)
+
+    def grown(c: str, seconds: int) -> Column:
+        return (F.col(c) - F.first(c).over(ordered.rangeBetween(-seconds, 0)))
+
+    steps = spread.select("*", *[step(c).alias(f"_step_{c}") for c in increases])
     total = steps.select("*", *[F.sum(f"_step_{c}").over(upto).alias(f"_sum_{c}") for c in increases])
     out = total.select(
         *samples.columns,
         "_own",
         "_chunk",
-        *[(F.col(f"_sum_{c}") - F.first(f"_sum_{c}").over(window)).alias(f"{c}_increase") for c in increases],
-        *[(F.col(c) - F.first(c).over(window)).alias(f"{c}_delta") for c in deltas],
+        *[grown(f"_sum_{c}", s).alias(f"{c}_increase") for c, s in increases.items()],
+        *[grown(c, s).alias(f"{c}_delta") for c, s in deltas.items()],
     )
-    return out.where("_chunk = _own").drop("_own", "_chunk")
+    return out.where("_chunk = _own").drop("_own")
 
 
 def rate(samples: DataFrame, counters: Sequence[str], seconds: int = 300, key: str = "instance") -> DataFrame:
     """Per-second rate of counters over a trailing window, without extrapolation."""
-    grown = trailing(samples, seconds, increases=counters, key=key)
+    grown = trailing(samples, increases=dict.fromkeys(counters, seconds), key=key).drop("_chunk")
     return grown.select("*", *[(F.col(f"{c}_increase") / F.lit(float(seconds))).alias(f"{c}_rate") for c in counters])
 
 
@@ -160,23 +164,29 @@ def evaluate_alerts(samples: DataFrame, key: str = "instance") -> DataFrame:
     and the gauge lag. A rule fires once its condition has held from sample to
     sample for its hold time.
     """
-    grown = trailing(samples, 300, increases=("ingested", "errors", "requests"), key=key)
-    grown = trailing(grown, 3600, deltas=("lag",), key=key)
+    grown = trailing(samples, dict.fromkeys(("ingested", "errors", "requests"), 300), {"lag": 3600}, key)
     tests = _conditions()
     rules = F.array(
         *[
-            F.struct(F.lit(a).alias("alert"), F.lit(s).alias("severity"), F.lit(h).alias("hold"), tests[a].alias("on"))
+            F.struct(F.lit(a).alias("alert"), F.lit(s).alias("severity"), F.lit(h).alias("hold"), F.coalesce(tests[a], F.lit(False)).alias("on"))
             for a, s, h in ALERTS
         ]
     )
-    rows = grown.select(key, "at", F.explode(rules).alias("r")).select(key, "at", "r.alert", "r.severity", "r.hold", "r.on")
-    keys = [key, "alert"]
-    chunk = F.floor(F.unix_seconds("at") / F.lit(DAY_SECONDS))
-    seen = with_previous(rows, keys, ["at"], chunk, {"_was": "on"})
-    starts = seen.withColumn("_start", (F.col("on") & ~F.coalesce("_was", F.lit(False))).cast("int"))
-    islands = with_running_sums(starts, keys, ["at"], chunk, {"_island": "_start"}).where("on")
-    spans = islands.groupBy(*keys, "severity", "hold", "_island").agg(
-        F.min("at").alias("started_at"), F.max("at").alias("ended_at")
+    rows = grown.select(key, "_chunk", "at", F.explode(rules).alias("r")).select(key, "_chunk", "at", "r.*")
+    # Runs of equal truth inside each day, on the placement the samples already have.
+    day = [key, "_chunk", "alert"]
+    changed = lambda order: (~F.col("on").eqNullSafe(F.lag("on").over(order))).cast("int")
+    inside = W.partitionBy(*day).orderBy("at")
+    marked = rows.withColumn("_new", changed(inside))
+    local = marked.withColumn("_run", F.sum("_new").over(inside.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    runs = local.groupBy(*day, "severity", "hold", "on", "_run").agg(F.min("at").alias("started_at"), F.max("at").alias("ended_at"))
+    # A few runs per day are left; runs that go on over midnight are joined.
+    across = W.partitionBy(key, "alert").orderBy("started_at")
+    linked = runs.withColumn("_new", changed(across)).withColumn(
+        "_run", F.sum("_new").over(across.rowsBetween(W.unboundedPreceding, W.currentRow))
+    )
+    spans = linked.where("on").groupBy(key, "alert", "severity", "hold", "_run").agg(
+        F.min("started_at").alias("started_at"), F.max("ended_at").alias("ended_at")
     )
     fired = F.timestamp_seconds(F.unix_seconds("started_at") + F.col("hold"))
     return spans.where(F.unix_seconds("ended_at") - F.unix_seconds("started_at") >= F.col("hold")).select(

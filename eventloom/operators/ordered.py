@@ -4,6 +4,7 @@ A window partitioned by a key puts that key's whole history into one task. Here
 each key is cut into chunks (a stretch of time or ledgers): rows are ordered
 inside their chunk, and only one summary row per chunk is ordered across the
 key to carry values over the chunk borders. Results equal the plain window.
+Keys must not be null.
 """
 
 from __future__ import annotations
@@ -16,13 +17,13 @@ from pyspark.sql import functions as F
 
 
 def _carried(df: DataFrame, summary: DataFrame, keys: Sequence[str]) -> DataFrame:
-    # Null-safe, so rows with a null key keep their carry.
-    names = [*keys, "_chunk"]
-    renamed = summary.select(*[F.col(c).alias(f"_s_{c}") for c in names], *[c for c in summary.columns if c not in names])
-    match = F.lit(True)
-    for name in names:
-        match = match & F.col(name).eqNullSafe(F.col(f"_s_{name}"))
-    return df.join(renamed, match, "left").drop(*[f"_s_{c}" for c in names])
+    # Same keys as the chunk shuffle, so the rows are not moved again.
+    return df.join(summary, [*keys, "_chunk"], "left")
+
+
+def _cut(df: DataFrame, keys: Sequence[str], chunk: Column) -> DataFrame:
+    """Rows placed by (keys, chunk) once; windows and summaries both read that shuffle."""
+    return df.withColumn("_chunk", chunk).repartition(*keys, "_chunk")
 
 
 def _windows(keys: Sequence[str], order: Sequence[str]):
@@ -37,7 +38,7 @@ def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], chun
     ``chunk`` must not decrease along ``order`` within a key.
     """
     inside, across = _windows(keys, order)
-    cut = df.withColumn("_chunk", chunk)
+    cut = _cut(df, keys, chunk)
     row = F.struct(*[F.col(c).alias(f"v_{c}") for c in dict.fromkeys(values.values())])
     last = (
         cut.groupBy(*keys, "_chunk")
@@ -56,7 +57,7 @@ def with_running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     inside, across = _windows(keys, order)
     inside = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
     earlier = across.rowsBetween(W.unboundedPreceding, -1)
-    cut = df.withColumn("_chunk", chunk)
+    cut = _cut(df, keys, chunk)
     totals = cut.groupBy(*keys, "_chunk").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
     carry = totals.select(
         *keys, "_chunk", *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_c_{n}") for n in sums]

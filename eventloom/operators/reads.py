@@ -16,12 +16,15 @@ from eventloom.functions.cursor import cursor_text, encode_cursor, position_of
 from eventloom.functions.jsontext import iso_text, topic_text
 from eventloom.schemas import EVENT_COLUMNS
 
-NEWEST = (F.col("ledger").desc(), F.col("event_id").desc())
 DEFAULT_LIMIT, MAX_LIMIT = 50, 1000
 NFT_KINDS = ("mint", "transfer", "burn")
 LIQUIDITY_ACTIONS = ("add", "remove")
 
 
+def newest_first() -> tuple[Column, Column]:
+    return F.col("ledger").desc(), F.col("event_id").desc()
+
+
 def clamp(limit: int, low: int = 1, high: int = MAX_LIMIT) -> int:
     return max(low, min(limit, high))
 
@@ -50,7 +53,7 @@ def page_rows(df: DataFrame, limit: int = DEFAULT_LIMIT, after: str | None = Non
     """
     size = clamp(limit)
     where = before(position_of(after))
-    found = (df if where is None else df.where(where)).orderBy(*NEWEST).limit(size + 1)
+    found = (df if where is None else df.where(where)).orderBy(*newest_first()).limit(size + 1)
     # At most size + 1 rows are left here.
     marked = found.agg(
         F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("ledger", "event_id", *_others(df))))), 1, size).alias("rows"),
@@ -72,7 +75,7 @@ def page(df: DataFrame, limit: int = DEFAULT_LIMIT, after: str | None = None) ->
     """One page for a caller: its rows (at most 1000) and the next cursor."""
     size = clamp(limit)
     where = before(position_of(after))
-    rows = (df if where is None else df.where(where)).orderBy(*NEWEST).limit(size + 1).collect()
+    rows = (df if where is None else df.where(where)).orderBy(*newest_first()).limit(size + 1).collect()
     kept = rows[:size]
     more = len(rows) > size
     return kept, cursor_text(kept[-1]["ledger"], kept[-1]["event_id"]) if more else None
@@ -80,12 +83,12 @@ def page(df: DataFrame, limit: int = DEFAULT_LIMIT, after: str | None = None) ->
 
 def newest(df: DataFrame, limit: int = DEFAULT_LIMIT, after: str | None = None) -> DataFrame:
     where = before(position_of(after))
-    return (df if where is None else df.where(where)).orderBy(*NEWEST).limit(clamp(limit))
+    return (df if where is None else df.where(where)).orderBy(*newest_first()).limit(clamp(limit))
 
 
 def page_offset(df: DataFrame, limit: int = DEFAULT_LIMIT, offset: int = 0) -> DataFrame:
     """Page by offset, kept for old callers; a cursor page costs less."""
-    return df.orderBy(*NEWEST).offset(max(offset, 0)).limit(clamp(limit))
+    return df.orderBy(*newest_first()).offset(max(offset, 0)).limit(clamp(limit))
 
 
 def _span(df: DataFrame, column: str, low, high) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from eventloom.functions.jsontext import array_text, text_of, topic, topic_text
 from eventloom.functions.wire import is_address
+from eventloom.plans.joins import lookup_join
+from eventloom.schemas import TEXT, struct
 
 # Event names of the token and liquidity shapes.
 BALANCE_EVENTS = ("transfer", "mint", "burn", "clawback")
@@ -18,7 +20,7 @@ LIQUIDITY_KINDS = {
 # Canonical swap body fields.
 SWAP_FIELDS = ("sell_amount", "buy_amount")
 
-TOPICS = F.col("decoded_topics")
+TOPICS = "decoded_topics"
 
 
 def _plain(json_text: Column) -> Column:
@@ -53,18 +55,20 @@ def amm_swaps(
     """
     fields = fields or {}
     name = F.col("event_name")
-    body = F.try_parse_json("decoded_value")
+
+    # One parse per event for the fields of all protocols.
+    every = dict.fromkeys(f for pair in (SWAP_FIELDS, *fields.values()) for f in pair)
+    body = F.from_json("decoded_value", struct(**dict.fromkeys(every, TEXT)))
 
     def amount(i: int) -> Column:
-        value = lambda field: F.try_variant_get(body, f"$.{field}", "string")
-        found = F.lit(None).cast("string")
+        found = F.col("_body")[SWAP_FIELDS[i]]
         for protocol, pair in fields.items():
-            found = F.coalesce(found, F.when(name == protocol, value(pair[i])))
-        custom = name.isin(*fields) if fields else F.lit(False)
-        return F.when(custom, found).otherwise(value(SWAP_FIELDS[i]))
+            found = F.when(name == protocol, F.col("_body")[pair[i]]).otherwise(found)
+        return found
 
     return (
         ev.where(name.isin(*names, *fields))
+        .withColumn("_body", body)
         .select(
             "event_id",
             "contract_id",
@@ -81,9 +85,9 @@ def amm_swaps(
     )
 
 
-def _is_asset_text(text: Column) -> Column:
-    """``native`` or ``CODE:ISSUER``, the asset topic of fungible events."""
-    return text.rlike(r"\A(native|[A-Za-z0-9]{1,12}:G[A-Z2-7]{55})\z")
+# JSON texts of the asset topic (``native`` or ``CODE:ISSUER``) and of an amount.
+ASSET_TOPIC = r'\A"(native|[A-Za-z0-9]{1,12}:G[A-Z2-7]{55})"\z'
+AMOUNT_BODY = r'\A"-?[0-9]+"\z'
 
 
 def nft_events(ev: DataFrame, nft_contracts: DataFrame | Sequence[str] | None = None, address_test=is_address) -> DataFrame:
@@ -97,18 +101,16 @@ def nft_events(ev: DataFrame, nft_contracts: DataFrame | Sequence[str] | None =
     arity = F.when(name == "transfer", 4).when(name.isin("mint", "burn"), 3)
     shaped = ev.where(name.isin("mint", "transfer", "burn")).where(F.size(TOPICS) == arity)
     token = F.when(name == "transfer", topic(TOPICS, 3)).otherwise(topic(TOPICS, 2))
-    token_text = text_of(token)
+    # Tested on the JSON texts themselves; only address-shaped ids are unpacked.
     unlike_fungible = (
-        ~F.coalesce(address_test(token_text), F.lit(False))
-        & ~F.coalesce(_is_asset_text(token_text), F.lit(False))
-        & ~F.coalesce(text_of(F.col("decoded_value")).rlike(r"\A-?[0-9]+\z"), F.lit(False))
+        ~token.rlike(ASSET_TOPIC)
+        & ~F.coalesce(F.col("decoded_value").rlike(AMOUNT_BODY), F.lit(False))
+        & ~address_test(F.btrim(token, F.lit('"')))
     )
     if nft_contracts is None:
         kept = shaped.where(unlike_fungible)
     elif isinstance(nft_contracts, DataFrame):
         known = nft_contracts.select("contract_id").distinct().withColumn("_nft", F.lit(True))
-        from eventloom.plans.joins import lookup_join
-
         kept = lookup_join(shaped, known, ["contract_id"], "left").where(F.col("_nft").isNotNull() | unlike_fungible)
     else:
         kept = shaped.where(F.col("contract_id").isin(list(nft_contracts)) | unlike_fungible)
@@ -129,21 +131,19 @@ def liquidity_events(ev: DataFrame) -> DataFrame:
     """Pool deposits and withdrawals; amounts past the second go to JSON."""
     name = F.col("event_name")
     kinds = F.create_map(*[F.lit(x) for pair in LIQUIDITY_KINDS.items() for x in pair])
-    kept = ev.where(name.isin(*LIQUIDITY_KINDS))
-    body = F.try_parse_json("decoded_value")
-    amounts = F.try_variant_get(body, "$.amounts", "array<variant>")
-    text = lambda v: v.try_cast("string")
+    # One parse per event; amounts stay JSON values so extra ones keep their form.
+    body = F.from_json("decoded_value", "amounts array<variant>, shares_minted string, shares_burned string")
+    kept = ev.where(name.isin(*LIQUIDITY_KINDS)).withColumn("_body", body)
+    amounts, added = F.col("_body.amounts"), kinds[name] == "add"
     rest = F.transform(F.slice(amounts, F.lit(3), F.greatest(F.size(amounts) - 2, F.lit(0))), lambda v: F.to_json(v))
     return kept.select(
         "event_id",
         "contract_id",
         kinds[name].alias("event_kind"),
         topic_text(TOPICS, 1).alias("provider"),
-        text(F.get(amounts, F.lit(0))).alias("amount_a"),
-        text(F.get(amounts, F.lit(1))).alias("amount_b"),
-        F.when(kinds[name] == "add", F.try_variant_get(body, "$.shares_minted", "string"))
-        .otherwise(F.try_variant_get(body, "$.shares_burned", "string"))
-        .alias("shares"),
+        F.get(amounts, F.lit(0)).try_cast("string").alias("amount_a"),
+        F.get(amounts, F.lit(1)).try_cast("string").alias("amount_b"),
+        F.when(added, F.col("_body.shares_minted")).otherwise(F.col("_body.shares_burned")).alias("shares"),
         name.alias("raw_event_name"),
         F.when(F.size(amounts) > 2, array_text(rest)).alias("extra_amounts"),
         "ledger",

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventloom.session import apply_settings
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -18,8 +20,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
     def register(fn: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            # Bucket texts and epoch seconds are defined in UTC.
-            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            apply_settings(spark)
             return fn(spark, sf_dir)
 
         QUERIES[name] = run

@@ -12,7 +12,10 @@ from eventloom.plans.oracle import EVENT_JSON, with_views
 
 # 1999-01-01 00:00:00 UTC
 NOW_S = 915_148_800
-NOW = F.timestamp_seconds(F.lit(NOW_S))
+
+
+def now():
+    return F.timestamp_seconds(F.lit(NOW_S))
 
 MATCHES = """SELECT s.id AS subscription_id, e.event_id FROM ev e JOIN subs s ON s.active AND s.kind = 'event'
   AND (s.contract_id IS NULL OR s.contract_id = e.contract_id) AND (s.event_name IS NULL OR s.event_name = e.event_name)"""
@@ -50,7 +53,7 @@ def _enqueue(spark, sf):
     events = matching.match_events(M.ev(spark, sf), M.subscriptions(spark, sf))
     upgrades = matching.match_upgrades(M.upgrade_rows(spark, sf), M.subscriptions(spark, sf))
     both = events.unionByName(upgrades, allowMissingColumns=True)
-    made = D.enqueue(M.deliveries(spark, sf), both, NOW)
+    made = D.enqueue(M.deliveries(spark, sf), both, now())
     return seconds(made.select("subscription_id", "event_id", "upgrade_id", "status", "attempts", "next_attempt_at"), "next_attempt_at")
 
 
@@ -64,7 +67,7 @@ DUE = f"""due AS (SELECT d.id, d.subscription_id, d.attempts, s.url, s.secret,
 
 
 def _due(spark, sf):
-    found = D.due_deliveries(M.deliveries(spark, sf), M.subscriptions(spark, sf), M.ev(spark, sf), M.upgrade_rows(spark, sf), NOW)
+    found = D.due_deliveries(M.deliveries(spark, sf), M.subscriptions(spark, sf), M.ev(spark, sf), M.upgrade_rows(spark, sf), now())
     return found.drop("next_attempt_at")
 
 
@@ -78,7 +81,7 @@ def _due_payloads(spark, sf):
     with_views(f"SELECT id, subscription_id, attempts FROM deliv WHERE status = 'pending' AND next_s <= {NOW_S} ORDER BY next_s, id LIMIT 100"),
 )
 def _due_batch(spark, sf):
-    found = D.due_deliveries(M.deliveries(spark, sf), M.subscriptions(spark, sf), M.ev(spark, sf), M.upgrade_rows(spark, sf), NOW, 100)
+    found = D.due_deliveries(M.deliveries(spark, sf), M.subscriptions(spark, sf), M.ev(spark, sf), M.upgrade_rows(spark, sf), now(), 100)
     return found.select("id", "subscription_id", "attempts")
 
 
@@ -110,7 +113,7 @@ def _sign_payloads(spark, sf):
     ),
 )
 def _apply_outcomes(spark, sf):
-    done = D.apply_outcomes(M.deliveries(spark, sf), M.outcomes(spark, sf), NOW, jitter="max")
+    done = D.apply_outcomes(M.deliveries(spark, sf), M.outcomes(spark, sf), now(), jitter="max")
     return seconds(done, "next_attempt_at", "delivered_at").select("id", "status", "attempts", "last_error", "next_attempt_at", "delivered_at")
 
 
@@ -137,7 +140,7 @@ def _failure_runs(spark, sf):
     ),
 )
 def _auto_disable(spark, sf):
-    done = D.update_subscriptions(M.subscriptions(spark, sf), M.outcomes(spark, sf), NOW)
+    done = D.update_subscriptions(M.subscriptions(spark, sf), M.outcomes(spark, sf), now())
     return seconds(done, "auto_disabled_at").select("id", "active", "consecutive_failures", "auto_disabled_at", "auto_disabled_reason")
 
 
@@ -150,7 +153,7 @@ def _auto_disable(spark, sf):
     ),
 )
 def _redrive(spark, sf):
-    done = D.redrive(M.deliveries(spark, sf), "3", NOW, F.timestamp_seconds(F.lit(880_000_000)))
+    done = D.redrive(M.deliveries(spark, sf), "3", now(), F.timestamp_seconds(F.lit(880_000_000)))
     return seconds(done, "next_attempt_at").select("id", "status", "attempts", "last_error", "next_attempt_at")
 
 

@@ -301,7 +301,6 @@ def _agg_delivery_newest(spark, sf):
 
 
 NOW_S = 996_624_030  # 2001-08-01 00:00:30 UTC
-NOW = F.timestamp_seconds(F.lit(NOW_S))
 
 
 @query(
@@ -315,7 +314,7 @@ NOW = F.timestamp_seconds(F.lit(NOW_S))
     ),
 )
 def _agg_delivery_health(spark, sf):
-    return A.delivery_health(M.deliveries(spark, sf), NOW)
+    return A.delivery_health(M.deliveries(spark, sf), F.timestamp_seconds(F.lit(NOW_S)))
 
 
 @query(

@@ -236,7 +236,7 @@ def _series_rate(spark, sf):
 
 @query("series_delta", with_views(f"SELECT instance, {AT}, lag_delta FROM grown"))
 def _series_delta(spark, sf):
-    return monitor.trailing(M.samples(spark, sf), 3600, deltas=["lag"]).select("instance", stamp("at"), "lag_delta")
+    return monitor.trailing(M.samples(spark, sf), deltas={"lag": 3600}).select("instance", stamp("at"), "lag_delta")
 
 
 _RULES = [

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from eventloom.plans import mapping as M
 from eventloom.plans.catalog import query, stamped
 from eventloom.plans.catalog.decoding import BODY, TOPICS, WIRE
-from eventloom.plans.catalog.delivery import MATCHES, NOW, UPGRADES
+from eventloom.plans.catalog.delivery import MATCHES, UPGRADES, now
 from eventloom.plans.catalog.reading import _EVENT_OUT, _SUMMARY, PLACE, _event_cols, _upsert_parts
 from eventloom.plans.oracle import EVENT_JSON, stamp, with_views
+from eventloom.schemas import QUEUED, TAIL
 from eventloom.session import shared_dir
 from eventloom.streaming import ingest, live, tables
 
@@ -79,11 +80,11 @@ def _st_match(spark, sf):
     M.upgrade_rows(spark, sf).write.parquet(f"{base}/versions")
     upgrades = spark.readStream.schema(M.upgrade_rows(spark, sf).schema).parquet(f"{base}/versions")
     queries = live.start_fanout(
-        event_stream(spark, sf), upgrades, lambda: M.subscriptions(spark, sf), f"{base}/out", f"{base}/checkpoint", now=lambda: NOW
+        event_stream(spark, sf), upgrades, lambda: M.subscriptions(spark, sf), f"{base}/out", f"{base}/checkpoint", now=now
     )
     for q in queries:
         q.awaitTermination()
-    parts = [tables.stored(spark, f"{base}/out/{n}", "deliveries", live.QUEUED) for n in ("events", "upgrades")]
+    parts = [tables.stored(spark, f"{base}/out/{n}", "deliveries", QUEUED) for n in ("events", "upgrades")]
     return parts[0].unionByName(parts[1]).select("subscription_id", "event_id", "upgrade_id")
 
 
@@ -110,4 +111,4 @@ def _st_stats(spark, sf):
 def _st_tail(spark, sf):
     base = shared_dir(spark, "tail")
     live.start_tail(live.tail_stream(event_stream(spark, sf), "C003", "mint"), f"{base}/out", f"{base}/checkpoint").awaitTermination()
-    return tables.stored(spark, f"{base}/out", "tail", "ledger bigint, event_id string, payload string").drop("batch")
+    return tables.stored(spark, f"{base}/out", "tail", TAIL).drop("batch")

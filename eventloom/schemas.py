@@ -4,65 +4,60 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+TEXT, LONG, INT, FLAG, TIME = T.StringType(), T.LongType(), T.IntegerType(), T.BooleanType(), T.TimestampType()
 
-def _struct(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
 
+def struct(**fields: T.DataType) -> T.StructType:
+    # Built from types, not DDL text, so importing needs no session.
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
 
-RAW_EVENT_COLUMNS = (
-    "event_id", "contract_id", "ledger", "ledger_closed_at", "event_type", "topics",
-    "value", "tx_hash", "in_successful_call", "paging_token",
-)
 
-EVENT_COLUMNS = (
-    "event_id", "contract_id", "ledger", "ledger_closed_at", "event_type", "topics",
-    "decoded_topics", "event_name", "value", "decoded_value", "enriched", "tx_hash",
-    "in_successful_call", "paging_token", "created_at",
-)
+def array(**fields: T.DataType) -> T.ArrayType:
+    return T.ArrayType(struct(**fields))
+
+
+TEXTS = T.ArrayType(TEXT)
 
-EVENTS = _struct(
-    "event_id string, contract_id string, ledger bigint, ledger_closed_at timestamp, "
-    "event_type string, topics array<string>, decoded_topics array<string>, "
-    "event_name string, value string, decoded_value string, enriched string, "
-    "tx_hash string, in_successful_call boolean, paging_token string, created_at timestamp"
+EVENTS = struct(
+    event_id=TEXT, contract_id=TEXT, ledger=LONG, ledger_closed_at=TIME, event_type=TEXT, topics=TEXTS, decoded_topics=TEXTS,
+    event_name=TEXT, value=TEXT, decoded_value=TEXT, enriched=TEXT, tx_hash=TEXT, in_successful_call=FLAG, paging_token=TEXT,
+    created_at=TIME,
 )
+EVENT_COLUMNS = tuple(EVENTS.names)
 
 # One saved page of the node's event listing.
-PAGE = _struct(
-    "latestLedger bigint, "
-    "events array<struct<type:string, ledger:bigint, ledgerClosedAt:string, "
-    "contractId:string, id:string, pagingToken:string, "
-    "inSuccessfulContractCall:boolean, txHash:string, topic:array<string>, value:string>>, "
-    "cursor string"
+PAGE = struct(
+    latestLedger=LONG,
+    events=array(
+        type=TEXT, ledger=LONG, ledgerClosedAt=TEXT, contractId=TEXT, id=TEXT, pagingToken=TEXT, inSuccessfulContractCall=FLAG,
+        txHash=TEXT, topic=TEXTS, value=TEXT,
+    ),
+    cursor=TEXT,
 )
 
 # Ledger-entry dumps: instance entries carry storage, data entries carry key and val.
-ENTRY = _struct(
-    "contract_id string, wasm_hash string, storage string, key string, "
-    "durability string, val string, last_modified_ledger bigint"
-)
-
-_FIELD = "array<struct<name:string, type:string>>"
-INTERFACE = _struct(
-    f"functions array<struct<name:string, doc:string, inputs:{_FIELD}, outputs:array<string>>>, "
-    "events array<struct<name:string, doc:string, prefix_topics:array<string>, "
-    "params:array<struct<name:string, type:string, location:string, shape:string>>, "
-    "data_format:string>>, "
-    f"structs array<struct<name:string, fields:{_FIELD}>>, "
-    "unions array<struct<name:string, cases:array<struct<name:string, types:array<string>>>>>, "
-    "enums array<struct<name:string, cases:array<struct<name:string, value:bigint>>>>, "
+ENTRY = struct(
+    contract_id=TEXT, wasm_hash=TEXT, storage=TEXT, key=TEXT, durability=TEXT, val=TEXT, last_modified_ledger=LONG
+)
+
+INTERFACE = struct(
+    functions=array(name=TEXT, doc=TEXT, inputs=array(name=TEXT, type=TEXT), outputs=TEXTS),
+    events=array(
+        name=TEXT, doc=TEXT, prefix_topics=TEXTS, params=array(name=TEXT, type=TEXT, location=TEXT, shape=TEXT), data_format=TEXT
+    ),
+    structs=array(name=TEXT, fields=array(name=TEXT, type=TEXT)),
+    unions=array(name=TEXT, cases=array(name=TEXT, types=TEXTS)),
+    enums=array(name=TEXT, cases=array(name=TEXT, value=LONG)),
     # Definitions of user types by name, as JSON, for naming decoded values.
-    "type_defs string"
+    type_defs=TEXT,
 )
 
-DELIVERIES = _struct(
-    "id bigint, subscription_id string, event_id string, upgrade_id bigint, status string, "
-    "attempts int, last_error string, next_attempt_at timestamp, delivered_at timestamp, "
-    "created_at timestamp"
-)
+SUMMARIES = struct(contract_id=TEXT, event_count=LONG, first_seen_ledger=LONG, last_seen_ledger=LONG)
 
-SUBSCRIPTIONS = _struct(
-    "id string, url string, kind string, contract_id string, event_name string, secret string, "
-    "active boolean, created_at timestamp, auto_disabled_at timestamp, "
-    "auto_disabled_reason string, consecutive_failures int"
+DELIVERIES = struct(
+    id=LONG, subscription_id=TEXT, event_id=TEXT, upgrade_id=LONG, status=TEXT, attempts=INT, last_error=TEXT,
+    next_attempt_at=TIME, delivered_at=TIME, created_at=TIME,
 )
+# Queued rows get their id when they are sent.
+QUEUED = T.StructType(DELIVERIES.fields[1:])
+TAIL = struct(ledger=LONG, event_id=TEXT, payload=TEXT)

@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from eventloom.operators import merge, verticals
 from eventloom.operators.aggregates import contract_summaries
 from eventloom.operators.convert import to_events
-from eventloom.schemas import EVENT_COLUMNS, EVENTS
+from eventloom.schemas import EVENT_COLUMNS, EVENTS, SUMMARIES
 from eventloom.sources.pages import parse_pages
 from eventloom.sources.store import LEDGERS_PER_BUCKET, with_bucket
 from eventloom.streaming import tables
@@ -24,7 +24,6 @@ VERTICALS = {
     "liquidity_events": verticals.liquidity_events,
 }
 STORED = T.StructType([*EVENTS.fields, T.StructField("ledger_bucket", T.LongType())])
-SUMMARIES = "contract_id string, event_count bigint, first_seen_ledger bigint, last_seen_ledger bigint"
 
 
 def committed_events(spark: SparkSession, out: str) -> DataFrame:

@@ -12,13 +12,10 @@ from eventloom.operators import matching
 from eventloom.operators.aggregates import BUCKET_TEXT, contract_summaries
 from eventloom.operators.deliveries import enqueue
 from eventloom.operators.reads import event_json, matching as equal
+from eventloom.schemas import QUEUED
 from eventloom.streaming import tables
 
 NOW_ONCE = {"availableNow": True}
-QUEUED = (
-    "subscription_id string, event_id string, upgrade_id bigint, status string, attempts int, last_error string, "
-    "next_attempt_at timestamp, delivered_at timestamp, created_at timestamp"
-)
 
 
 def dedup_stream(ev: DataFrame, lateness: str = "1 hour") -> DataFrame:

@@ -109,3 +109,6 @@ def leb(n):
 def module(section, name=b"contractspecv0"):
     body = leb(len(name)) + name + section
     return b"\0asm\1\0\0\0" + b"\0" + leb(len(body)) + body
+
+
+TRANSFER_MODULE = module(event("transfer", [("from", "Address", "topic"), ("amount", "i128", "data")]))

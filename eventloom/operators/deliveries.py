@@ -69,7 +69,10 @@ def due_deliveries(deliveries: DataFrame, subs: DataFrame, ev: DataFrame, versio
         due = due.orderBy("next_attempt_at", "id").limit(limit)
     queue = due.select("id", "subscription_id", "event_id", "upgrade_id", "attempts", "next_attempt_at")
     targets = subs.select(F.col("id").alias("subscription_id"), "url", "secret")
-    payloads = ev.select("event_id", event_json().alias("event_payload"))
+    # The event table is cut to the queued ids first: a short queue is broadcast
+    # to it, so only queued events are rendered and shuffled.
+    wanted = lookup_join(ev, queue.select("event_id").where("event_id is not null"), ["event_id"], "left_semi")
+    payloads = wanted.select("event_id", event_json().alias("event_payload"))
     upgrades = versions.select(F.col("id").alias("upgrade_id"), F.struct(*[c for c in versions.columns]).alias("v"))
     return (
         lookup_join(queue, targets, ["subscription_id"])

@@ -17,7 +17,8 @@ def first_copies(incoming: DataFrame, order: Column | None = None) -> DataFrame:
     """
     rest = [c for c in incoming.columns if c != "event_id"]
     row = F.struct(*rest)
-    picked = incoming.groupBy("event_id").agg(F.min_by(row, row if order is None else order).alias("r"))
+    first = F.min(row) if order is None else F.min_by(row, order)
+    picked = incoming.groupBy("event_id").agg(first.alias("r"))
     return picked.select(*[F.col(f"r.{c}").alias(c) if c in rest else F.col(c) for c in incoming.columns])
 
 
@@ -59,8 +60,17 @@ def _merged(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     return both.select(*[value(n) for n in names], F.col("old").isNull().alias("_inserted"), (known & ~same).alias("_updated"))
 
 
-def seam(archive: DataFrame, live: DataFrame) -> DataFrame:
-    """Archive and live tail as one history, each id once; archive rows win."""
+def seam(archive: DataFrame, live: DataFrame, overlap: tuple[int, int] | None = None) -> DataFrame:
+    """Archive and live tail as one history, each id once; archive rows win.
+
+    Two histories that each hold an id once can only repeat one another inside
+    the ledgers both cover: with ``overlap`` (first, last ledger) only those
+    rows are shuffled and the rest passes through.
+    """
+    if overlap is not None:
+        both = F.col("ledger").between(*overlap)
+        middle = seam(archive.where(both), live.where(both))
+        return archive.where(~both).unionByName(live.where(~both)).unionByName(middle)
     tagged = archive.withColumn("_source", F.lit(0)).unionByName(live.withColumn("_source", F.lit(1)))
     rest = [c for c in archive.columns if c != "event_id"]
     return first_copies(tagged, F.struct("_source", *rest)).drop("_source")

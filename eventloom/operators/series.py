@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.plans.joins import lookup_join
-
 
 def _snapshot(stored: DataFrame, observed: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Observations to append: not the stored newest ledger, not stored at all.
@@ -19,7 +17,7 @@ def _snapshot(stored: DataFrame, observed: DataFrame, keys: Sequence[str]) -> Da
     keys = list(keys)
     rest = [c for c in observed.columns if c not in (*keys, "ledger")]
     row = F.struct(*rest)
-    once = observed.groupBy(*keys, "ledger").agg(F.min_by(row, row).alias("r"))
+    once = observed.groupBy(*keys, "ledger").agg(F.min(row).alias("r"))
     fresh = once.join(stored.select(*keys, "ledger"), [*keys, "ledger"], "left_anti")
     return fresh.select(*[F.col(f"r.{c}").alias(c) if c in rest else F.col(c) for c in observed.columns])
 
@@ -81,6 +79,3 @@ def cascade(child: DataFrame, kept_events: DataFrame) -> DataFrame:
         return held
     return held.unionByName(child.where("event_id is null"))
 
-
-def keep_known(child: DataFrame, kept: DataFrame, on: Sequence[str]) -> DataFrame:
-    return lookup_join(child, kept.select(*on).distinct(), on, "left_semi")

@@ -359,6 +359,13 @@ def _seam(spark, sf):
     return merge.seam(ev.where(F.col("ledger") < PLACE[0] + 50_000), ev.where(F.col("ledger") >= PLACE[0] - 50_000))
 
 
+@query("seam_union_overlap", with_views(f"SELECT {_EVENT_OUT} FROM ev"))
+def _seam_overlap(spark, sf):
+    ev = _event_cols(M.ev(spark, sf))
+    low, high = PLACE[0] - 50_000, PLACE[0] + 49_999
+    return merge.seam(ev.where(F.col("ledger") <= high), ev.where(F.col("ledger") >= low), (low, high))
+
+
 # ---- appends and upserts
 
 

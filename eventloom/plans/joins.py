@@ -27,17 +27,26 @@ def fits_broadcast(df: DataFrame) -> bool:
 def lookup_join(facts: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "inner", salts: int = SALTS) -> DataFrame:
     """Join a large table to a smaller one on ``on``.
 
-    The lookup side is broadcast only when its estimated size is under the
-    session's broadcast bound. Beyond it both sides are shuffled with a salt:
-    fact rows spread over ``salts`` buckets and every lookup row is copied to
-    each of them, so a key holding a third of the facts is split ``salts`` ways
-    and every fact row still meets all of its matches exactly once.
+    - The lookup side is broadcast only when its estimated size is under the
+      session's broadcast bound.
+    - Beyond it, both sides are shuffled with a salt: fact rows spread over
+      ``salts`` buckets and every lookup row is copied to each of them, so a key
+      holding a third of the facts is split ``salts`` ways and every fact row
+      still meets all of its matches exactly once.
+    - When the copies would outweigh the facts, both sides are shuffled as they
+      are and the engine splits skewed partitions at run time.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join {how}")
     on = list(on)
     if fits_broadcast(lookup):
         return facts.join(F.broadcast(lookup), on, how)
+    if size_estimate(lookup) * salts > size_estimate(facts):
+        return facts.join(lookup, on, how)
+    return salted_join(facts, lookup, on, how, salts)
+
+
+def salted_join(facts: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "inner", salts: int = SALTS) -> DataFrame:
     # The salt is a function of the row, so a retried task sends it to the same place.
     salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in facts.columns]), F.lit(salts)))
     copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))

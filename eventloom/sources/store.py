@@ -13,21 +13,20 @@ def with_bucket(df: DataFrame, width: int = LEDGERS_PER_BUCKET) -> DataFrame:
     return df.withColumn("ledger_bucket", F.floor(F.col("ledger") / F.lit(width)))
 
 
-def write_events(df: DataFrame, path: str, mode: str = "overwrite", width: int = LEDGERS_PER_BUCKET) -> None:
-    """Ledger-range folders, files clustered by contract, newest ledger first.
+def clustered(df: DataFrame, width: int = LEDGERS_PER_BUCKET) -> DataFrame:
+    """Rows with their ledger bucket, placed and sorted for writing.
 
     The range exchange samples the whole sort key, so a contract with most of a
-    bucket's rows is spread over several files instead of one task.
+    bucket's rows is spread over several files instead of one task, and a task
+    writes only few folders.
     """
     order = [F.col("ledger_bucket"), F.col("contract_id"), F.col("ledger").desc(), F.col("event_id")]
-    (
-        with_bucket(df, width)
-        .repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .write.mode(mode)
-        .partitionBy("ledger_bucket")
-        .parquet(path)
-    )
+    return with_bucket(df, width).repartitionByRange(*order).sortWithinPartitions(*order)
+
+
+def write_events(df: DataFrame, path: str, mode: str = "overwrite", width: int = LEDGERS_PER_BUCKET) -> None:
+    """Ledger-range folders, files clustered by contract, newest ledger first."""
+    clustered(df, width).write.mode(mode).partitionBy("ledger_bucket").parquet(path)
 
 
 def read_events(

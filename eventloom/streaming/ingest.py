@@ -14,7 +14,7 @@ from eventloom.operators.aggregates import contract_summaries
 from eventloom.operators.convert import to_events
 from eventloom.schemas import EVENT_COLUMNS, EVENTS, SUMMARIES
 from eventloom.sources.pages import parse_pages
-from eventloom.sources.store import LEDGERS_PER_BUCKET, with_bucket
+from eventloom.sources.store import LEDGERS_PER_BUCKET, clustered
 from eventloom.streaming import tables
 
 VERTICALS = {
@@ -71,8 +71,7 @@ def ingest_batch(raw: DataFrame, batch_id: int, out: str, interfaces: DataFrame
         low, high = span["low"] // LEDGERS_PER_BUCKET, span["high"] // LEDGERS_PER_BUCKET
         known = known.where(F.col("ledger_bucket").between(low, high))
     rows = incoming.select(*EVENT_COLUMNS)
-    new = with_bucket(merge.insert_new(known, rows))
-    tables.put(new.sortWithinPartitions("contract_id", "ledger", "event_id"), out, "events", batch_id, by=["ledger_bucket"])
+    tables.put(clustered(merge.insert_new(known, rows)), out, "events", batch_id, by=["ledger_bucket"])
 
     stored = _own(spark, out, "events", batch_id)
     if stored is not None:

@@ -30,8 +30,7 @@ def commit(base: str, batch_id: int, summary: DataFrame) -> None:
 def stored(spark: SparkSession, base: str, table: str, schema, before: int | None = None) -> DataFrame:
     """Committed rows of a table, of batches before ``before`` when given.
 
-    Batches commit in order, so the newest marker bounds the visible ones; it
-    is looked up among the marker folders' names, not in data.
+    Batches commit in order, so the newest marker bounds the visible ones.
     """
     last = _last_commit(spark, base)
     if before is not None:

@@ -12,7 +12,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 import __spark_entry__ as entry  # noqa: E402
 from eventloom.plans import mapping as M  # noqa: E402
 from eventloom.operators import matching, reads, series  # noqa: E402
-from eventloom.plans.joins import fits_broadcast, lookup_join  # noqa: E402
+from eventloom.plans.joins import fits_broadcast, lookup_join, salted_join  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 # Queries that run a job or a stream while they are built.
@@ -73,8 +73,9 @@ def test_match_uses_a_hash_join(spark, stored):
 def test_large_lookup_is_salted(spark, stored, no_broadcast):
     subs = M.subscriptions(spark, SF)
     assert not fits_broadcast(subs)
-    text = plan(matching.match_events(stored, subs))
-    assert "Broadcast" not in text and "_salt" in text
+    text = plan(matching.match_events(stored.select("*", F.repeat("paging_token", 500).alias("wide")), subs))
+    assert "Broadcast" not in text
+    assert "_salt" in plan(salted_join(stored, subs.select("contract_id"), ["contract_id"]))
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
@@ -83,6 +84,13 @@ def test_salted_joins_equal_plain_ones(spark, no_broadcast, how):
     facts = spark.range(3000).select(F.when(F.col("id") % 3 > 0, 0).otherwise(F.col("id") % 40).alias("k"), "id")
     lookup = spark.createDataFrame([(0, "a"), (0, "b"), (3, "c"), (99, "d")], "k long, v string")
     plain = facts.join(lookup, "k", how)
-    salted = lookup_join(facts, lookup, ["k"], how)
-    assert salted.columns == plain.columns
-    assert sorted(map(tuple, salted.collect()), key=repr) == sorted(map(tuple, plain.collect()), key=repr)
+    want = sorted(map(tuple, plain.collect()), key=repr)
+    for done in (lookup_join(facts, lookup, ["k"], how), salted_join(facts, lookup, ["k"], how)):
+        assert done.columns == plain.columns
+        assert sorted(map(tuple, done.collect()), key=repr) == want
+
+
+def test_newest_deliveries_limits_before_the_shuffle(spark):
+    from eventloom.operators.aggregates import newest_deliveries
+
+    assert plan(newest_deliveries(M.deliveries(spark, SF))).count("WindowGroupLimit") == 2

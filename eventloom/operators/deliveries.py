@@ -64,25 +64,23 @@ def due_deliveries(deliveries: DataFrame, subs: DataFrame, ev: DataFrame, versio
     takes every due row.
     """
     due = deliveries.where((F.col("status") == "pending") & (F.col("next_attempt_at") <= now))
-    due = due.join(subs.select(F.col("id").alias("subscription_id")), "subscription_id", "left_semi")
+    due = lookup_join(due, subs.select(F.col("id").alias("subscription_id")), ["subscription_id"], "left_semi")
     if limit is not None:
         due = due.orderBy("next_attempt_at", "id").limit(limit)
     queue = due.select("id", "subscription_id", "event_id", "upgrade_id", "attempts", "next_attempt_at")
-    targets = subs.select(F.col("id").alias("subscription_id"), "url", "secret")
+    # Events and upgrades are joined apart: in one outer join, all rows without
+    # the other kind's id would meet in a single task.
+    of_events, of_upgrades = queue.where("upgrade_id is null"), queue.where("upgrade_id is not null")
     # The event table is cut to the queued ids first: a short queue is broadcast
     # to it, so only queued events are rendered and shuffled.
-    wanted = lookup_join(ev, queue.select("event_id").where("event_id is not null"), ["event_id"], "left_semi")
-    payloads = wanted.select("event_id", event_json().alias("event_payload"))
-    upgrades = versions.select(F.col("id").alias("upgrade_id"), F.struct(*[c for c in versions.columns]).alias("v"))
-    return (
-        lookup_join(queue, targets, ["subscription_id"])
-        .join(payloads, "event_id", "left")
-        .join(upgrades, "upgrade_id", "left")
-        .select(
-            "id", "subscription_id", "attempts", "url", "secret", "next_attempt_at",
-            F.when(F.col("upgrade_id").isNotNull(), _upgrade_json()).otherwise(F.col("event_payload")).alias("payload"),
-        )
-    )
+    wanted = lookup_join(ev, of_events.select("event_id").where("event_id is not null"), ["event_id"], "left_semi")
+    events = of_events.join(wanted.select("event_id", event_json().alias("payload")), "event_id", "left")
+    versioned = versions.select(F.col("id").alias("upgrade_id"), F.struct(*versions.columns).alias("v"))
+    upgrades = of_upgrades.join(versioned, "upgrade_id", "left").withColumn("payload", _upgrade_json())
+    names = ["id", "subscription_id", "attempts", "next_attempt_at", "payload"]
+    targets = subs.select(F.col("id").alias("subscription_id"), "url", "secret")
+    joined = lookup_join(events.select(*names).unionByName(upgrades.select(*names)), targets, ["subscription_id"])
+    return joined.select("id", "subscription_id", "attempts", "url", "secret", "next_attempt_at", "payload")
 
 
 def sign(due: DataFrame) -> DataFrame:

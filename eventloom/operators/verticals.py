@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.functions.jsontext import array_text, text_of, topic, topic_text
+from eventloom.functions.once import computed_once
 from eventloom.functions.wire import is_address
 from eventloom.plans.joins import lookup_join
-from eventloom.schemas import TEXT, struct
+from eventloom.schemas import TEXT, TEXTS, struct
 
 # Event names of the token and liquidity shapes.
 BALANCE_EVENTS = ("transfer", "mint", "burn", "clawback")
@@ -67,8 +68,10 @@ def amm_swaps(
         return found
 
     return (
-        ev.where(name.isin(*names, *fields))
-        .withColumn("_body", body)
+        computed_once(
+            ev.where(name.isin(*names, *fields)),
+            "event_id", "contract_id", "event_name", TOPICS, "ledger", "ledger_closed_at", _body=body,
+        )
         .select(
             "event_id",
             "contract_id",
@@ -131,18 +134,22 @@ def liquidity_events(ev: DataFrame) -> DataFrame:
     """Pool deposits and withdrawals; amounts past the second go to JSON."""
     name = F.col("event_name")
     kinds = F.create_map(*[F.lit(x) for pair in LIQUIDITY_KINDS.items() for x in pair])
-    # One parse per event; amounts stay JSON values so extra ones keep their form.
-    body = F.from_json("decoded_value", "amounts array<variant>, shares_minted string, shares_burned string")
-    kept = ev.where(name.isin(*LIQUIDITY_KINDS)).withColumn("_body", body)
+    # One parse per event into texts.
+    texts = struct(amounts=TEXTS, shares_minted=TEXT, shares_burned=TEXT)
+    body = F.from_json("decoded_value", texts)
+    names = ("event_id", "contract_id", "event_name", TOPICS, "decoded_value", "ledger", "ledger_closed_at")
+    kept = computed_once(ev.where(name.isin(*LIQUIDITY_KINDS)), *names, _body=body)
     amounts, added = F.col("_body.amounts"), kinds[name] == "add"
-    rest = F.transform(F.slice(amounts, F.lit(3), F.greatest(F.size(amounts) - 2, F.lit(0))), lambda v: F.to_json(v))
+    # Amounts past the second keep their JSON form; few pools have them.
+    values = F.try_variant_get(F.try_parse_json("decoded_value"), "$.amounts", "array<variant>")
+    rest = F.transform(F.slice(values, F.lit(3), F.size(values) - 2), lambda v: F.to_json(v))
     return kept.select(
         "event_id",
         "contract_id",
         kinds[name].alias("event_kind"),
         topic_text(TOPICS, 1).alias("provider"),
-        F.get(amounts, F.lit(0)).try_cast("string").alias("amount_a"),
-        F.get(amounts, F.lit(1)).try_cast("string").alias("amount_b"),
+        F.get(amounts, F.lit(0)).alias("amount_a"),
+        F.get(amounts, F.lit(1)).alias("amount_b"),
         F.when(added, F.col("_body.shares_minted")).otherwise(F.col("_body.shares_burned")).alias("shares"),
         name.alias("raw_event_name"),
         F.when(F.size(amounts) > 2, array_text(rest)).alias("extra_amounts"),

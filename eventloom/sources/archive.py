@@ -7,6 +7,8 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventloom.functions.once import computed_once
+
 # Allowed JSON kinds per event field: (field, kind, null counts as absent).
 # Fixed values of the format.
 EVENT_FIELDS = (
@@ -21,38 +23,37 @@ EVENT_FIELDS = (
 )
 
 
-def _field(item: Column, name: str) -> Column:
-    return F.try_variant_get(item, f"$.{name}", "variant")
+FIELDS = "map<string,variant>"
 
 
 def _text(item: Column, name: str) -> Column:
-    return F.try_variant_get(item, f"$.{name}", "string")
+    return F.try_element_at(item, F.lit(name)).try_cast("string")
+
+
+def _kind(item: Column, name: str) -> Column:
+    """JSON kind of a field, null when the field is absent."""
+    return F.schema_of_variant(F.try_element_at(item, F.lit(name)))
 
 
 def _kind_ok(item: Column, name: str, kind: str, nullable: bool) -> Column:
     """Absent, or of the declared kind: a wrongly typed field spoils its line."""
-    found = F.schema_of_variant(_field(item, name))
     allowed = [kind, "VOID"] if nullable else [kind]
-    return F.coalesce(found.isin(allowed), F.lit(True))
+    return F.coalesce(_kind(item, name).isin(allowed), F.lit(True))
 
 
-def _array(item: Column) -> Column:
-    return item.try_cast("array<variant>")
+def _topics(item: Column) -> Column:
+    return F.try_element_at(item, F.lit("topic")).try_cast("array<string>")
 
 
 def _topics_ok(item: Column) -> Column:
     """Absent, or an array of strings only."""
-    topics = _field(item, "topic")
-    strings = F.forall(_array(topics), lambda t: F.schema_of_variant(t) == "STRING")
-    return topics.isNull() | F.coalesce(strings, F.lit(False))
-
-
-def _is_object(item: Column) -> Column:
-    return F.schema_of_variant(item).startswith("OBJECT<")
+    listed = _kind(item, "topic").isin("ARRAY<STRING>", "ARRAY<VOID>")
+    whole = F.forall(_topics(item), lambda t: t.isNotNull())
+    return F.coalesce(listed, F.lit(True)) & F.coalesce(whole, F.lit(True))
 
 
 def _event_ok(item: Column) -> Column:
-    ok = _is_object(item) & _topics_ok(item)
+    ok = item.isNotNull() & _topics_ok(item)
     for name, kind, nullable in EVENT_FIELDS:
         ok = ok & _kind_ok(item, name, kind, nullable)
     return ok
@@ -63,41 +64,36 @@ def _id(item: Column) -> Column:
 
 
 def _classify(lines: DataFrame) -> DataFrame:
-    """One row per kept line: parsed value, its event items and a reject reason."""
+    """One row per kept line: its event items as field maps and a reject reason."""
     line = F.trim(F.col("value"))
     kept = lines.select(line.alias("line")).where((F.length("line") > 0) & ~F.col("line").startswith("#"))
-    parsed = kept.withColumn("doc", F.try_parse_json("line"))
-    doc = F.col("doc")
-    listed = _field(doc, "events")
-    shaped = parsed.select(
-        "line",
-        "doc",
-        listed.isNotNull().alias("enveloped"),
-        # A null list is an empty one; any other non-array is a wrong type.
+    doc, listed = F.col("doc"), F.col("listed")
+    parsed = computed_once(kept, "line", json=F.try_parse_json("line"))
+    # Each object is opened once into a map of its fields; not an object -> null.
+    opened = computed_once(parsed, "line", broken=F.col("json").isNull(), doc=F.col("json").try_cast(FIELDS))
+    with_list = opened.withColumn("listed", F.try_element_at("doc", F.lit("events")))
+    # A null list is an empty one; any other non-array is a wrong type.
+    items = (
         F.when(listed.isNull(), F.array(doc))
-        .when(F.is_variant_null(listed), F.array().cast("array<variant>"))
-        .otherwise(_array(listed))
-        .alias("items"),
-    )
-    ledger_kind = F.schema_of_variant(_field(doc, "ledger"))
-    time_name = ("ledger_close_time", "ledger_closed_at")
-    times_ok = F.when(F.col("enveloped"), _kind_ok(doc, time_name[0], "STRING", True)).otherwise(
-        _kind_ok(doc, time_name[1], "STRING", True)
+        .when(F.is_variant_null(listed), F.array().cast(f"array<{FIELDS}>"))
+        .otherwise(F.transform(listed.try_cast("array<variant>"), lambda i: i.try_cast(FIELDS)))
     )
+    shaped = computed_once(with_list, "line", "broken", "doc", enveloped=listed.isNotNull(), items=items)
+    enveloped = F.col("enveloped")
+    time_name = F.when(enveloped, F.lit("ledger_close_time")).otherwise(F.lit("ledger_closed_at"))
+    closed = F.try_element_at(doc, time_name)
     reason = (
-        F.when(doc.isNull(), "invalid JSON")
-        .when(~_is_object(doc), "not an object")
+        F.when(F.col("broken"), "invalid JSON")
+        .when(doc.isNull(), "not an object")
         .when(F.col("items").isNull(), "events is not a list")
-        .when(~F.coalesce(ledger_kind == "BIGINT", F.lit(False)), "ledger missing or not an integer")
-        .when(~times_ok, "close time is not text")
+        .when(~F.coalesce(_kind(doc, "ledger") == "BIGINT", F.lit(False)), "ledger missing or not an integer")
+        .when(~F.coalesce(F.schema_of_variant(closed).isin("STRING", "VOID"), F.lit(True)), "close time is not text")
         .when(~F.forall("items", _event_ok), "event field of a wrong type")
-        .when(~F.col("enveloped") & _id(doc).isNull(), "id missing")
-        .when(~F.col("enveloped") & _text(doc, "contract_id").isNull(), "contract_id missing")
-    )
-    return shaped.withColumn("reason", reason).withColumn(
-        "closed_text",
-        F.when(F.col("enveloped"), _text(doc, time_name[0])).otherwise(_text(doc, time_name[1])),
+        .when(~enveloped & _id(doc).isNull(), "id missing")
+        .when(~enveloped & _text(doc, "contract_id").isNull(), "contract_id missing")
     )
+    ledger = F.try_element_at(doc, F.lit("ledger")).try_cast("bigint")
+    return shaped.select("line", "items", ledger.alias("ledger"), closed.try_cast("string").alias("closed_text"), reason.alias("reason"))
 
 
 def parse_archive(
@@ -114,7 +110,7 @@ def parse_archive(
     classified = _classify(lines)
     item = F.col("item")
     ids = classified.where("reason is null").select(
-        F.try_variant_get("doc", "$.ledger", "bigint").alias("ledger"),
+        "ledger",
         "closed_text",
         F.explode("items").alias("item"),
     )
@@ -124,10 +120,10 @@ def parse_archive(
         "ledger",
         F.col("closed_text").alias("ledger_closed_at"),
         F.coalesce(_text(item, "type"), F.lit("contract")).alias("event_type"),
-        F.coalesce(F.try_variant_get(item, "$.topic", "array<string>"), F.array().cast("array<string>")).alias("topics"),
+        F.coalesce(_topics(item), F.array().cast("array<string>")).alias("topics"),
         F.coalesce(_text(item, "value"), F.lit("")).alias("value"),
         F.coalesce(_text(item, "tx_hash"), F.lit("")).alias("tx_hash"),
-        F.coalesce(F.try_variant_get(item, "$.in_successful_contract_call", "boolean"), F.lit(True)).alias(
+        F.coalesce(F.try_element_at(item, F.lit("in_successful_contract_call")).try_cast("boolean"), F.lit(True)).alias(
             "in_successful_call"
         ),
         F.coalesce(F.nullif(_text(item, "paging_token"), F.lit("")), _id(item)).alias("paging_token"),

@@ -8,7 +8,7 @@ from eventloom.functions import signing, wire
 from eventloom.functions.interface import parse_interface, relabel, spec_section
 from eventloom.operators import discovery, interfaces as I
 from eventloom.operators.convert import to_events
-from eventloom.operators.enrich import enrich, reenrich
+from eventloom.operators.enrich import reenrich
 from eventloom.plans import mapping as M
 from eventloom.plans.catalog import query, stamp
 from eventloom.plans.oracle import stamp as sql_stamp

@@ -73,8 +73,8 @@ def _event_cols(df):
     with_views(
         f"SELECT {_EVENT_OUT} FROM ev WHERE contract_id = '{CONTRACT}' AND event_name = 'transfer' AND ledger BETWEEN 340900000 AND 341200000 "
         f"AND ledger_closed_at BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-25 00:00:00' "
-        f"AND topic1 = 'G13' AND has_enriched AND k IN ('1', '7', '12') {_PAGE} 50"
-    ).replace("AND k IN ('1', '7', '12')", ""),
+        f"AND topic1 = 'G13' AND has_enriched {_PAGE} 50"
+    ),
 )
 def _q_events(spark, sf):
     from datetime import datetime

@@ -27,8 +27,8 @@ def _snap_state(spark, sf):
 
 @query(
     "snap_data",
-    with_views("SELECT contract_id, key_hash, ledger, min((key, label, value)).value AS value FROM cdata WHERE ledger >= 3410000000 GROUP BY ALL").replace(
-        "min((key, label, value)).value", "arg_min(value, (key, label, durability, value))"
+    with_views(
+        "SELECT contract_id, key_hash, ledger, arg_min(value, (key, label, durability, value)) AS value FROM cdata WHERE ledger >= 3410000000 GROUP BY ALL"
     ),
 )
 def _snap_data(spark, sf):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from eventloom.operators.interfaces import with_interface
 from eventloom.plans import mapping as M
 from eventloom.plans.catalog import query
-from eventloom.plans.catalog.decoding import CONTRACTS, TOPICS, WIRE  # noqa: F401
+from eventloom.plans.catalog.decoding import WIRE
 from eventloom.plans.oracle import stamp, with_views
 from eventloom.session import shared_dir
 from eventloom.sources import archive, entries, modules, pages, store

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -55,6 +57,17 @@ def map_batches(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list] |
     return df.mapInArrow(run, schema)
 
 
+def worker_cache(key, make: Callable):
+    """A value kept in this Python worker between tasks.
+
+    Functions travel by value, so a module's own globals last one task only.
+    """
+    held = sys.modules.setdefault("_llm_worker_cache", types.ModuleType("_llm_worker_cache")).__dict__
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
 def write_read(df: DataFrame, path: str) -> DataFrame:
     """Cut the lineage: write Parquet to a shared path and read it back."""
     df.write.mode("overwrite").parquet(path)

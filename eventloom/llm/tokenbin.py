@@ -44,6 +44,7 @@ from pyspark.sql.types import IntegerType, LongType, StringType, StructField, St
 from pyspark.sql.window import Window
 
 from eventloom.llm.registry import query, table
+from eventloom.llm.text import worker_cache
 from eventloom.session import shared_dir
 
 END_ID = 2
@@ -53,7 +54,7 @@ MEMO = 400_000
 SAMPLE = 256
 MAGIC = b"IDSHARD1"
 # magic, bytes per id, documents, documents without an id, ids, sizes of the three parts, smallest id
-HEADER = struct.Struct("<8sIQQQQQQq")
+HEADER = "<8sIQQQQQQq"
 
 
 # -- Elias-Fano --------------------------------------------------------------
@@ -61,11 +62,11 @@ HEADER = struct.Struct("<8sIQQQQQQq")
 class EliasFano:
     """A rising sequence of non-negative integers in about 2 + log2(u/n) bits each."""
 
-    HEAD = struct.Struct("<QBQ")
+    HEAD = "<QBQ"
 
     def __init__(self, data: bytes | memoryview):
-        self.n, self.low_bits, high_bytes = self.HEAD.unpack_from(data, 0)
-        at = self.HEAD.size
+        self.n, self.low_bits, high_bytes = struct.unpack_from(self.HEAD, data, 0)
+        at = struct.calcsize(self.HEAD)
         samples = (self.n + SAMPLE - 1) // SAMPLE
         self.samples = np.frombuffer(data, "<u4", samples, at)
         at += 4 * samples
@@ -78,7 +79,7 @@ class EliasFano:
         values = np.asarray(values, dtype=np.uint64)
         n = len(values)
         if not n:
-            return cls.HEAD.pack(0, 0, 0)
+            return struct.pack(cls.HEAD, 0, 0, 0)
         low_bits = max(0, int(int(values[-1]) // n).bit_length() - 1)
         places = (values >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
         bits = np.zeros(int(places[-1]) + 1, np.uint8)
@@ -88,7 +89,7 @@ class EliasFano:
         if low_bits:
             spread = (values[:, None] >> np.arange(low_bits, dtype=np.uint64)[None, :]).astype(np.uint8) & 1
             low = np.packbits(spread.ravel(), bitorder="little").tobytes()
-        return cls.HEAD.pack(n, low_bits, len(high)) + places[::SAMPLE].astype("<u4").tobytes() + high.tobytes() + low
+        return struct.pack(cls.HEAD, n, low_bits, len(high)) + places[::SAMPLE].astype("<u4").tobytes() + high.tobytes() + low
 
     def _low(self, i: int) -> int:
         start = i * self.low_bits
@@ -140,7 +141,7 @@ def pack_shard(ids: list[bytes], doc_ids: list[int | None], width: int) -> bytes
     bounds = EliasFano.encode(np.concatenate([[0], np.cumsum([len(b) // width for b in ids])]))
     names = EliasFano.encode(np.array([d - least for d in named], dtype=np.uint64))
     body = b"".join(ids)
-    head = HEADER.pack(MAGIC, width, len(ids), len(ids) - len(named), len(body) // width, len(body), len(bounds), len(names), least)
+    head = struct.pack(HEADER, MAGIC, width, len(ids), len(ids) - len(named), len(body) // width, len(body), len(bounds), len(names), least)
     return b"".join([head, body, bounds, names])
 
 
@@ -148,11 +149,11 @@ class Shard:
     """Reads a shard: document i has ``ids(i)`` and ``doc_id(i)``."""
 
     def __init__(self, data: bytes):
-        magic, self.width, self.n_docs, self.n_null, self.n_ids, body, bounds, names, self.least = HEADER.unpack_from(data, 0)
+        magic, self.width, self.n_docs, self.n_null, self.n_ids, body, bounds, names, self.least = struct.unpack_from(HEADER, data, 0)
         if magic != MAGIC:
             raise ValueError("not a token shard")
         view = memoryview(data)
-        at = HEADER.size
+        at = struct.calcsize(HEADER)
         self.body = np.frombuffer(view, f"<u{self.width}", self.n_ids, at)
         self.bounds = EliasFano(view[at + body:at + body + bounds])
         self.names = EliasFano(view[at + body + bounds:at + body + bounds + names])
@@ -220,14 +221,8 @@ class Encoder:
 
 
 def encoder(path: str) -> Encoder:
-    """One per Python worker."""
-    if path not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
-
-
-_ENCODERS: dict[str, Encoder] = {}
+    """One per Python worker, kept between its tasks."""
+    return worker_cache(("encoder", path), lambda: Encoder(path))
 
 
 def _file_system(uri: str):

@@ -10,16 +10,18 @@
 3. Words and word beginnings of restored texts are counted by label over all
    labelled training rows. A feature is kept if its log-likelihood ratio is
    beyond what chance gives among all features seen (2 ln of their number) and
-   most rows that have it are toxic; a text's score is the noisy-or of its
-   features and of a small rate for toxic texts without any.
+   most rows that have it are toxic. A text's log odds are a low start plus the
+   log likelihood ratio of each distinct telling word; a word whose own ratio is
+   not known takes that of its most telling beginning.
 
 Labels, language, source and id are no inputs of a score. Label counts use
 every labelled training row; the kept features are the ``MAX_FEATURES`` most
 telling ones, a bound on the model only.
 
-Defined cases: null and empty texts have no features and get that small rate; a null id is never held out and never learnt from; null labels are left
-out; several labels of one id count once per row pair; without any toxic label
-every score is 0; repeated rows are scored one by one.
+Defined cases: null and empty texts have no words and get the score of the
+start, about 0.01; a null id is never held out and never learnt from; null
+labels are left out; several labels of one id count once per row pair; without
+any toxic label all texts get that score; repeated rows are scored one by one.
 """
 
 from __future__ import annotations
@@ -45,8 +47,8 @@ MAX_FEATURES = 20_000
 BROADCAST_LABELS = 2_000_000
 PREFIXES = (4, 5, 6)
 MEMO = 200_000
-# Share of the toxic rate that is left to texts without a feature.
-LEAK = 0.1
+# Log odds of a text without a telling word.
+PRIOR = math.log(0.01)
 
 # Letters that get a class of their own (0 is the word border, 63 any other letter) ...
 LETTERS = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿß"
@@ -132,7 +134,7 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
         sign = 0.0 if c.isalpha() else -0.5 - math.log(max(1, len(letters)))
         options = []
         for letter in letters:
-            options.append((letter, sign - (0.0 if run == 1 else 1.0 if run == 2 else 0.3)))
+            options.append((letter, sign - (0.0 if run == 1 else 4.0 if run == 2 else 0.3)))
             if run > 1:
                 options.append((letter * 2, sign - (0.0 if run == 2 else 0.7)))
         if options:
@@ -195,12 +197,20 @@ def restore(text: str | None, logp: np.ndarray) -> str:
     return re.sub(r"\S+", lambda m: restore_token(m.group(), logp), text)
 
 
-def token_features(token: str, logp: np.ndarray) -> tuple[str, ...]:
-    out = []
-    for word in WORDS.findall(restore_token(token, logp).lower()):
-        out.append(word)
-        out += [f"{word[:k]}~" for k in PREFIXES if len(word) > k]
-    return tuple(out)
+def word_features(word: str) -> list[str]:
+    """The word and its beginnings."""
+    return [word, *[f"{word[:k]}~" for k in PREFIXES if len(word) > k]]
+
+
+def token_words(token: str, logp: np.ndarray) -> list[str]:
+    return WORDS.findall(restore_token(token, logp).lower())
+
+
+def word_weight(word: str, weights: dict[str, float]) -> float:
+    """Log likelihood ratio of a word: its own, or else that of its most telling beginning."""
+    if word in weights:
+        return weights[word]
+    return max((weights[f] for f in word_features(word)[1:] if f in weights), default=0.0)
 
 
 class Features:
@@ -208,7 +218,7 @@ class Features:
 
     def __init__(self, logp: np.ndarray):
         self.logp = logp
-        self.memo: dict[str, tuple[str, ...]] = {}
+        self.memo: dict[str, tuple] = {}
 
     def tokens(self, text: str) -> set[str]:
         """Distinct tokens, words spelt letter by letter decoded."""
@@ -219,16 +229,14 @@ class Features:
                 found.update(decode(lattice(joined), self.logp, breaks=True).split())
         return found
 
-    def of(self, text: str | None, only: dict | None = None) -> set[str]:
-        """All features, or those in ``only`` (the same one in every call)."""
-        found: set[str] = set()
+    def remembered(self, text: str | None, make) -> set:
+        """Union of what ``make`` (the same one in every call) gives for each token."""
+        found: set = set()
         memo = self.memo
         for token in self.tokens(text) if text else ():
             known = memo.get(token)
             if known is None:
-                known = token_features(token, self.logp)
-                if only is not None:
-                    known = tuple(f for f in known if f in only)
+                known = make(token)
                 if len(memo) >= MEMO:
                     memo.clear()
                 memo[token] = known
@@ -236,6 +244,17 @@ class Features:
                 found.update(known)
         return found
 
+    def of(self, text: str | None) -> set[str]:
+        """Distinct features."""
+        return self.remembered(text, lambda token: tuple(f for w in token_words(token, self.logp) for f in word_features(w)))
+
+    def telling(self, text: str | None, weights: dict[str, float]) -> set[tuple[str, float]]:
+        """Distinct words that carry weight."""
+        def weighed(token: str) -> tuple:
+            return tuple((w, x) for w in token_words(token, self.logp) if (x := word_weight(w, weights)))
+
+        return self.remembered(text, weighed)
+
 
 # -- learning and scoring ----------------------------------------------------
 
@@ -278,13 +297,13 @@ def feature_counts(rows: DataFrame, logp) -> DataFrame:
     return rows.mapInArrow(run, schema).groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
-def fit(spark: SparkSession, rows: DataFrame, logp, max_features: int = MAX_FEATURES) -> tuple[dict[str, float], float]:
-    """(weight by feature, rate of toxic texts without a feature)."""
+def fit(spark: SparkSession, rows: DataFrame, logp, max_features: int = MAX_FEATURES) -> dict[str, float]:
+    """Log likelihood ratio of each kept feature."""
     counts = write_read(feature_counts(rows, logp), f"{shared_dir(spark, 'toxicity')}/features")
     whole = counts.where("feature is null").first()
     pos, neg, seen = (whole["pos"], whole["neg"], counts.count()) if whole else (0, 0, 0)
     if not pos:
-        return {}, 0.0
+        return {}
     base = pos / (pos + neg)
 
     def part(n: Column, of: float) -> Column:
@@ -296,14 +315,14 @@ def fit(spark: SparkSession, rows: DataFrame, logp, max_features: int = MAX_FEAT
     g2 = 2 * (
         part(F.col("pos"), have * base) + part(F.col("neg"), have * (1 - base)) + part(missing_pos, rest * base) + part(missing_neg, rest * (1 - base))
     )
-    weight = (F.col("pos") + base) / (have + 1)
-    kept = counts.where("feature is not null").withColumn("g2", g2).withColumn("weight", weight)
-    kept = kept.where((F.col("g2") >= 2 * math.log(seen)) & (F.col("weight") >= 0.5)).orderBy(F.desc("g2"), "feature").limit(max_features)
-    weights = {r["feature"]: float(r["weight"]) for r in kept.select("feature", "weight").collect()}
-    return weights, float(base)
+    toxic_share = (F.col("pos") + base) / (have + 1)
+    ratio = F.log((F.col("pos") + 0.1) / (pos + 0.1)) - F.log((F.col("neg") + 0.5) / (neg + 0.5))
+    kept = counts.where("feature is not null").withColumn("g2", g2).withColumn("ratio", ratio)
+    kept = kept.where((F.col("g2") >= 2 * math.log(seen)) & (toxic_share >= 0.5)).orderBy(F.desc("g2"), "feature").limit(max_features)
+    return {r["feature"]: float(r["ratio"]) for r in kept.select("feature", "ratio").collect()}
 
 
-def score_texts(docs: DataFrame, weights: dict[str, float], base: float, logp) -> DataFrame:
+def score_texts(docs: DataFrame, weights: dict[str, float], logp) -> DataFrame:
     """All columns of ``docs`` and ``score``."""
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(weights)  # at most MAX_FEATURES entries
@@ -312,14 +331,8 @@ def score_texts(docs: DataFrame, weights: dict[str, float], base: float, logp) -
     def score(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
         features, known = Features(logp.value), model.value
         for texts in series:
-            out = []
-            for text in texts:
-                found = features.of(text, known)
-                clean = 1.0 - LEAK * base
-                for f in found:
-                    clean *= 1.0 - known[f]
-                out.append(1.0 - clean)
-            yield pd.Series(out, dtype="float64")
+            sums = [math.fsum(x for _, x in features.telling(t, known)) for t in texts]
+            yield pd.Series([1 / (1 + math.exp(-(PRIOR + x))) for x in sums], dtype="float64")
 
     return docs.withColumn("score", score("text"))
 
@@ -329,8 +342,7 @@ def toxicity(docs: DataFrame, corpus: DataFrame, labels: DataFrame, training: Co
     spark = docs.sparkSession
     training = remainder("doc_id", 3) != 1 if training is None else training
     logp = spark.sparkContext.broadcast(character_model(corpus))
-    weights, base = fit(spark, labelled(corpus, labels, training), logp)
-    return score_texts(docs, weights, base, logp)
+    return score_texts(docs, fit(spark, labelled(corpus, labels, training), logp), logp)
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from eventloom.llm import chat, decontaminate, hmm, language, mixing, sanitize, simhash, tokenbin, toxicity  # noqa: F401
+from eventloom.llm import chat, decontaminate, hmm, language, mixing, neighbours, sanitize, simhash, tokenbin, toxicity  # noqa: F401
 from eventloom.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

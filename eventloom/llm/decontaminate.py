@@ -23,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eventloom.functions.once import computed_once
 from eventloom.llm.registry import query, table
 from eventloom.llm.text import lowered
 
@@ -71,29 +72,31 @@ def _covered(hits: Column) -> Column:
     return F.aggregate(hits, start, add, lambda acc: acc["n"])
 
 
-def _hits_by_set(docs: DataFrame, known: dict[int, list[str]]) -> DataFrame:
-    """Adds ``hits`` (pos, size) and ``windows`` (distinct texts) to documents that have ``words``."""
+def _hits(known: dict[int, list[str]]) -> Column:
+    """Windows of ``words`` that are in the set: structs (pos, size) in order."""
 
     def found(size: int) -> Column:
         hits = F.filter(_starts(size), lambda i: _window(F.col("words"), i, size).isin(known[size]))
         return F.transform(hits, lambda i: F.struct(i.alias("pos"), F.lit(size).alias("size")))
 
     parts = [found(size) for size in sorted(known)]
-    docs = docs.withColumn("hits", F.array_sort(F.flatten(F.array(*parts))) if parts else F.array().cast("array<struct<pos:int,size:int>>"))
-    return docs.withColumn("windows", F.array_distinct(F.transform("hits", lambda h: _window(F.col("words"), h["pos"], h["size"]))))
+    return F.array_sort(F.flatten(F.array(*parts))) if parts else F.array().cast("array<struct<pos:int,size:int>>")
 
 
 def _per_document(docs: DataFrame, windows: DataFrame, max_set: int) -> DataFrame:
     """One row per document row: row_key, n_words, hits, item_ids."""
     sets = windows.select("size", "window").distinct()
     bounded = sets.limit(max_set + 1).collect()
-    own = docs.withColumn("words", words_of("text"))
+    own = computed_once(docs, "row_key", words=words_of("text"))
     links = windows.select(F.col("item_id").alias("hit_item"), F.col("window").alias("hit_window"))
     if len(bounded) <= max_set:
         known: dict[int, list[str]] = {}
         for row in bounded:
             known.setdefault(row["size"], []).append(row["window"])
-        scanned = _hits_by_set(own, known).select("row_key", F.size("words").cast("long").alias("n_words"), "hits", "windows")
+        scanned = computed_once(own, "row_key", "words", hits=_hits(known)).select(
+            "row_key", F.size("words").cast("long").alias("n_words"), "hits",
+            F.array_distinct(F.transform("hits", lambda h: _window(F.col("words"), h["pos"], h["size"]))).alias("windows"),
+        )
         # Documents without a hit stay as one row; the others have a row per distinct window.
         pairs = scanned.select("row_key", "n_words", "hits", F.explode_outer("windows").alias("hit_window")).join(links, "hit_window", "left")
         return pairs.groupBy("row_key", "n_words", "hits").agg(F.array_distinct(F.collect_set("hit_item")).alias("items"))
@@ -135,8 +138,9 @@ def _scan_in_row(docs: DataFrame, benchmark: DataFrame, n: int, max_set: int) ->
     known: dict[int, list[str]] = {}
     for row in bounded:
         known.setdefault(row["size"], []).append(row["window"])
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), words_of("text").alias("words"))
-    return _hits_by_set(own, known).select("_row", F.col("hits").alias("_hits"))
+    own = computed_once(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")), "_row", words=words_of(F.col("_row.text")))
+    # Once more for the hits, so that a filter on them does not search again.
+    return computed_once(own, "_row", _hits=_hits(known))
 
 
 def _with_hits(docs: DataFrame, benchmark: DataFrame, n: int, max_set: int) -> DataFrame:

@@ -36,7 +36,8 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources repeated towards equal weights, no source more than ``mixing.MAX_REPEATS`` times; none is cut."""
     settings(spark)
-    return mixing.mix(docs).select(*docs.columns)
+    epoch = "_epoch" + "_" * max(map(len, docs.columns))  # longer than any column's name
+    return mixing.mix(docs, epoch=epoch).drop(epoch)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -111,12 +111,13 @@ def plan(sizes: DataFrame, max_repeats: float = MAX_REPEATS, entropy: float | No
 
 
 def mix(docs: DataFrame, max_repeats: float = MAX_REPEATS, entropy: float | None = None, budget: float | None = None,
-        seed: int = SEED, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """Rows of ``docs`` once per epoch in which they are taken, with ``_epoch`` (from 1) added."""
+        seed: int = SEED, block_tokens: int = BLOCK_TOKENS, epoch: str = "_epoch") -> DataFrame:
+    """Rows of ``docs`` once per epoch in which they are taken, with the column ``epoch`` (from 1) added."""
     spark: SparkSession = docs.sparkSession
     base = shared_dir(spark, "mixing")
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    key = F.xxhash64(*columns)
+    # Maps and variants have no hash; the other columns place a row.
+    key = F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind])
     # Narrow rows decide; they are written once, and texts are never shuffled.
     narrow = write_read(docs.select("source", key.alias("key"), token_count("text").alias("tokens")), f"{base}/rows")
     plans = write_read(plan(source_sizes(narrow), max_repeats, entropy, budget), f"{base}/plan")
@@ -150,7 +151,7 @@ def mix(docs: DataFrame, max_repeats: float = MAX_REPEATS, entropy: float | None
     extra = F.coalesce((F.col("_in") == 1) & F.col("_counts") & (F.col("_last").isNull() | (place <= F.col("_last"))), F.lit(False))
     epochs = F.col("_full") + extra.cast("int")
     # Rows with equal values share their place: all of them are taken when one is.
-    return own.where(epochs > 0).select("_row.*", F.explode(F.sequence(F.lit(1), epochs)).alias("_epoch"))
+    return own.where(epochs > 0).select("_row.*", F.explode(F.sequence(F.lit(1), epochs)).alias(epoch))
 
 
 def _few(frame: DataFrame, rows: int = 50_000) -> bool:

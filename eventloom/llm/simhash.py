@@ -283,7 +283,7 @@ def near_duplicates(docs: DataFrame, dense: int = DENSE) -> DataFrame:
 def keep_one(docs: DataFrame, dense: int = DENSE) -> DataFrame:
     """The document with the smallest id of each group, columns as given; rows without an id stay.
 
-    Of rows that repeat an id that stays, the smallest one is kept.
+    Of rows that repeat an id that stays, one with the smallest text is kept.
     """
     found = near_duplicates(docs, dense)
     dropped = found.where("doc_id <> component_id").select("doc_id").distinct()
@@ -291,7 +291,7 @@ def keep_one(docs: DataFrame, dense: int = DENSE) -> DataFrame:
     rest = docs.join(dropped, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
     if not again.take(1):
         return rest
-    repeated = rest.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("_row"))
+    repeated = rest.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.struct("text")).alias("_row"))
     return rest.join(again, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(repeated.select("_row.*"))
 
 

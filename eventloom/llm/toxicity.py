@@ -19,7 +19,7 @@ every labelled training row; the kept features are the ``MAX_FEATURES`` most
 telling ones, a bound on the model only.
 
 Defined cases: null and empty texts have no words and get the score of the
-start, about 0.01; a null id is never held out and never learnt from; null
+start, about 0.02; a null id is never held out and never learnt from; null
 labels are left out; several labels of one id count once per row pair; without
 any toxic label all texts get that score; repeated rows are scored one by one.
 """
@@ -48,7 +48,7 @@ BROADCAST_LABELS = 2_000_000
 PREFIXES = (4, 5, 6)
 MEMO = 200_000
 # Log odds of a text without a telling word.
-PRIOR = math.log(0.01)
+PRIOR = math.log(0.02)
 
 # Letters that get a class of their own (0 is the word border, 63 any other letter) ...
 LETTERS = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿß"

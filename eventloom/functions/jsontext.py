@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def stripped(col: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(col, r"(?U)\A\s+|\s+\z", "")
+
+
 def canonical(col: Column) -> Column:
     """Sorted keys, no spaces; null when the text is not JSON."""
     return F.to_json(F.try_parse_json(col))

@@ -41,7 +41,6 @@ ACCOUNT_VERSION = 0x30  # "G..."
 CONTRACT_VERSION = 0x10  # "C..."
 # Address kinds: (bytes before the key, version byte).
 ADDRESS_KINDS = {0: (4, ACCOUNT_VERSION), 1: (0, CONTRACT_VERSION)}
-MAX_DEPTH = 200
 
 
 class Malformed(ValueError):
@@ -84,23 +83,8 @@ def read_opaque(buf: bytes, at: int) -> tuple[bytes, int]:
     return buf[at:end], padded
 
 
-def _read_items(buf: bytes, at: int, depth: int, per_item: int) -> tuple[list, int]:
-    (present,), at = _unpack(">I", buf, at)
-    if not present:
-        return [], at
-    (count,), at = _unpack(">I", buf, at)
-    items = []
-    for _ in range(count * per_item):
-        item, at = read_value(buf, at, depth + 1)
-        items.append(item)
-    return items, at
-
-
-def read_value(buf: bytes, at: int = 0, depth: int = 0) -> tuple[object, int]:
-    """One value as plain Python data, with the position after it."""
-    if depth > MAX_DEPTH:
-        raise Malformed
-    (tag,), at = _unpack(">I", buf, at)
+def _plain(buf: bytes, at: int, tag: int) -> tuple[object, int]:
+    """A value that holds no other values, as plain Python data."""
     if tag in SCALARS:
         layout, render = SCALARS[tag]
         fields, at = _unpack(layout, buf, at)
@@ -112,14 +96,6 @@ def read_value(buf: bytes, at: int = 0, depth: int = 0) -> tuple[object, int]:
         skip, version = ADDRESS_KINDS[kind]
         (_, key), at = _unpack(f">{skip}s32s", buf, at)
         return encode_strkey(version, key), at
-    if tag == VEC:
-        return _read_items(buf, at, depth, 1)
-    if tag == MAP:
-        flat, at = _read_items(buf, at, depth, 2)
-        pairs = list(zip(flat[::2], flat[1::2]))
-        if all(isinstance(key, str) for key, _ in pairs):
-            return dict(pairs), at
-        return [{"key": key, "val": val} for key, val in pairs], at
     if tag in (BYTES, STRING, SYMBOL):
         raw, at = read_opaque(buf, at)
         if tag != BYTES:
@@ -132,6 +108,48 @@ def read_value(buf: bytes, at: int = 0, depth: int = 0) -> tuple[object, int]:
     return {"_xdr_tag": tag}, at
 
 
+def _list_text(items: list[tuple[str, str | None]]) -> str:
+    return f"[{','.join(text for text, _ in items)}]"
+
+
+def _map_text(items: list[tuple[str, str | None]]) -> str:
+    """Keys and values in turn; an object if all keys are texts (the last of equal keys stands), else a list of pairs."""
+    keys, values = items[::2], items[1::2]
+    if all(key is not None for _, key in keys):
+        named = {key: (text, value) for (text, key), (value, _) in zip(keys, values)}
+        return "{" + ",".join(f"{text}:{value}" for _, (text, value) in sorted(named.items())) + "}"
+    return "[" + ",".join(f'{{"key":{key},"val":{value}}}' for (key, _), (value, _) in zip(keys, values)) + "]"
+
+
+def read_json(buf: bytes, at: int = 0) -> tuple[str, int]:
+    """Canonical JSON of one value, with the position after it.
+
+    Open lists and maps stand on a stack of their own, so depth has no bound.
+    """
+    open_: list[list] = []  # [tag, values left, items]
+    while True:
+        (tag,), at = _unpack(">I", buf, at)
+        if tag in (VEC, MAP):
+            (present,), at = _unpack(">I", buf, at)
+            count = 0
+            if present:
+                (count,), at = _unpack(">I", buf, at)
+            open_.append([tag, count * (2 if tag == MAP else 1), []])
+        else:
+            value, at = _plain(buf, at, tag)
+            if not open_:
+                return dump(value), at
+            open_[-1][1] -= 1
+            open_[-1][2].append((dump(value), value if isinstance(value, str) else None))
+        while open_ and not open_[-1][1]:
+            tag, _, items = open_.pop()
+            text = _map_text(items) if tag == MAP else _list_text(items)
+            if not open_:
+                return text, at
+            open_[-1][1] -= 1
+            open_[-1][2].append((text, None))
+
+
 def dump(value: object) -> str:
     return json.dumps(value, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
 
@@ -143,7 +161,7 @@ def value_json(text: str) -> str:
         # Reject spellings the encoder would never write (loose trailing bits).
         if binascii.b2a_base64(raw, newline=False).decode() != text:
             raise Malformed
-        return dump(read_value(raw)[0])
+        return read_json(raw)[0]
     except (Malformed, ValueError):
         return dump({"_xdr": text})
 

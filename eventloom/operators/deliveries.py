@@ -111,7 +111,10 @@ def apply_outcomes(deliveries: DataFrame, outcomes: DataFrame, now: Column, max_
     }
     if jitter not in draws:
         raise ValueError(f"jitter must be one of {sorted(draws)}")
-    results = outcomes.select(F.col("delivery_id").alias("id"), F.col("ok").alias("_ok"), F.col("error").alias("_error"))
+    # A delivery is sent once per round: of repeated outcomes the last one stands.
+    told = F.struct(F.col("ok"), F.col("error"))
+    last = F.max_by(told, F.struct("at", told)) if "at" in outcomes.columns else F.max(told)
+    results = outcomes.groupBy(F.col("delivery_id").alias("id")).agg(last.alias("r")).select("id", F.col("r.ok").alias("_ok"), F.col("r.error").alias("_error"))
     retry_at = now + F.make_dt_interval(secs=draws[jitter])
     sent, ok = F.col("_ok").isNotNull(), F.coalesce(F.col("_ok"), F.lit(False))
     failed = sent & ~ok

@@ -111,10 +111,13 @@ def filter_events(
     until=None,
     topics: Mapping[int, str] | None = None,
     param: tuple[str, str] | None = None,
+    enriched_only: bool = False,
 ) -> DataFrame:
     """``topics`` maps a topic position (0-3) to its text; ``param`` is a
     (name, value) pair of the enriched record."""
     df = matching(ev, contract_id=contract_id, event_name=event_name)
+    if enriched_only:
+        df = df.where(F.col("enriched").isNotNull())
     df = _span(df, "ledger", from_ledger, to_ledger)
     df = _span(df, "ledger_closed_at", since, until)
     for position, text in (topics or {}).items():

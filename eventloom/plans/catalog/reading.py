@@ -81,9 +81,9 @@ def _q_events(spark, sf):
 
     found = reads.list_events(
         M.ev(spark, sf), CONTRACT, event_name="transfer", from_ledger=340_900_000, to_ledger=341_200_000,
-        since=datetime(2024, 1, 5), until=datetime(2024, 1, 25), topics={0: "transfer", 1: "G13"},
+        since=datetime(2024, 1, 5), until=datetime(2024, 1, 25), topics={0: "transfer", 1: "G13"}, enriched_only=True,
     )
-    return _event_cols(found.where("enriched is not null"))
+    return _event_cols(found)
 
 
 @query("q_events_param", with_views(f"SELECT {_EVENT_OUT} FROM ev WHERE has_enriched AND k = '7'"))

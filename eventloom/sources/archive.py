@@ -7,6 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventloom.functions.jsontext import stripped
 from eventloom.functions.once import computed_once
 
 # Allowed JSON kinds per event field: (field, kind, null counts as absent).
@@ -65,7 +66,7 @@ def _id(item: Column) -> Column:
 
 def _classify(lines: DataFrame) -> DataFrame:
     """One row per kept line: its event items as field maps and a reject reason."""
-    line = F.trim(F.col("value"))
+    line = stripped(F.col("value"))
     kept = lines.select(line.alias("line")).where((F.length("line") > 0) & ~F.col("line").startswith("#"))
     doc, listed = F.col("doc"), F.col("listed")
     parsed = computed_once(kept, "line", json=F.try_parse_json("line"))
@@ -143,7 +144,13 @@ def read_archive(
     from_ledger: int,
     to_ledger: int | None = None,
     contract_ids: Sequence[str] = (),
+    spread: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Splittable scan of archive files (plain or compressed)."""
+    """Scan of archive files, plain or compressed.
+
+    Plain files are split between tasks; a gzip file is read by one task, so
+    pass ``spread`` to deal its lines to that many tasks before they are parsed.
+    """
     paths = paths if isinstance(paths, str) else list(paths)
-    return parse_archive(spark.read.text(paths), from_ledger, to_ledger, contract_ids)
+    lines = spark.read.text(paths)
+    return parse_archive(lines.repartition(spread) if spread else lines, from_ledger, to_ledger, contract_ids)

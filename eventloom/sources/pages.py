@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from eventloom.functions.jsontext import stripped
 from eventloom.functions.once import computed_once
 from eventloom.schemas import PAGE
 
@@ -18,7 +19,7 @@ _CORRUPT = "_corrupt"
 def _parsed(lines: DataFrame) -> DataFrame:
     schema = T.StructType([*PAGE.fields, T.StructField(_CORRUPT, T.StringType())])
     page = F.from_json("value", schema, {"columnNameOfCorruptRecord": _CORRUPT})
-    parsed = computed_once(lines.where(F.length(F.trim("value")) > 0), "value", page=page)
+    parsed = computed_once(lines.where(F.length(stripped(F.col("value"))) > 0), "value", page=page)
     incomplete = F.exists(
         "page.events",
         lambda e: e.isNull() | F.greatest(*[e[name].isNull() for name in REQUIRED]),

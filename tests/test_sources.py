@@ -11,7 +11,7 @@ from eventloom.sources.watchlist import watchlist, watchlist_total
 
 
 def flat(**over):
-    base = {"id": "e1", "contract_id": "CA", "ledger": 42, "ledger_closed_at": "2024-01-01T00:00:00Z", "type": "contract", "topic": [], "value": "", "tx_hash": "abc"}
+    base = {"id": "e7", "contract_id": "KA", "ledger": 77, "ledger_closed_at": "2024-01-01T00:00:00Z", "type": "contract", "topic": [], "value": "", "tx_hash": "t77"}
     return json.dumps({k: v for k, v in {**base, **over}.items() if v != "drop"})
 
 
@@ -25,9 +25,9 @@ def parse(spark, *lines, **kwargs):
 
 
 def test_archive_shapes(spark):
-    ev, bad = parse(spark, flat(), envelope({"id": "a", "contract_id": "CA"}, {"event_id": "b", "id": "x", "contract_id": "CB"}), "", "   ", "# note", "  #x")
+    ev, bad = parse(spark, flat(), envelope({"id": "a", "contract_id": "KA"}, {"event_id": "b", "id": "x", "contract_id": "CB"}), "", "   ", "# note", "  #x")
     assert rows(ev, "event_id", "contract_id", "ledger", "paging_token", "in_successful_call", "event_type") == [
-        ("a", "CA", 100, "a", True, "contract"), ("b", "CB", 100, "b", True, "contract"), ("e1", "CA", 42, "e1", True, "contract"),
+        ("a", "KA", 100, "a", True, "contract"), ("b", "CB", 100, "b", True, "contract"), ("e7", "KA", 77, "e7", True, "contract"),
     ]
     assert bad.count() == 0
 
@@ -35,11 +35,11 @@ def test_archive_shapes(spark):
 def test_archive_defaults_and_drops(spark):
     ev, bad = parse(
         spark,
-        envelope({"contract_id": "CA"}, {"id": "n", "contract_id": None}, {"id": None, "event_id": "k", "contract_id": "CA", "paging_token": "p"}),
+        envelope({"contract_id": "KA"}, {"id": "n", "contract_id": None}, {"id": None, "event_id": "k", "contract_id": "KA", "paging_token": "p"}),
         envelope(events=None), flat(paging_token="", in_successful_contract_call=False, type=None, topic="drop", value="drop", tx_hash="drop"),
     )
     got = rows(ev, "event_id", "paging_token", "in_successful_call", "event_type", "tx_hash")
-    assert got == [("e1", "e1", False, "contract", ""), ("k", "p", True, "contract", "")]
+    assert got == [("e7", "e7", False, "contract", ""), ("k", "p", True, "contract", "")]
     assert bad.count() == 0
 
 
@@ -72,7 +72,7 @@ PAGE1 = {
     "events": [
         {"type": "contract", "ledger": 500, "ledgerClosedAt": "2024-01-01T00:00:00Z", "contractId": "C1", "id": i, "pagingToken": i,
          "inSuccessfulContractCall": True, "txHash": "tx1", "topic": [b64(symbol("mint"))], "value": b64(i128(5))}
-        for i in ("e1", "e2")
+        for i in ("e7", "e2")
     ],
 }
 PAGE2 = {"latestLedger": 600, "events": [{"type": "contract", "ledger": 501, "ledgerClosedAt": "bad time", "contractId": "C2", "id": "e3"}]}
@@ -87,7 +87,7 @@ def test_pages(spark, folder):
     assert ev.count() == 3 and pages.read_pages(spark, folder, ["C2"]).count() == 1
     done = to_events(ev)
     assert rows(done, "event_id", "event_name", "decoded_value", "bad_close_time") == [
-        ("e1", "mint", '"5"', False), ("e2", "mint", '"5"', False), ("e3", None, '{"_xdr":""}', True),
+        ("e7", "mint", '"5"', False), ("e2", "mint", '"5"', False), ("e3", None, '{"_xdr":""}', True),
     ]
 
 

@@ -14,7 +14,7 @@ from eventloom.operators.aggregates import contract_summaries
 from eventloom.operators.convert import to_events
 from eventloom.schemas import EVENT_COLUMNS, EVENTS, SUMMARIES
 from eventloom.sources.pages import parse_pages
-from eventloom.sources.store import LEDGERS_PER_BUCKET, clustered
+from eventloom.sources.store import LEDGERS_PER_BUCKET, clustered, with_bucket
 from eventloom.streaming import tables
 
 VERTICALS = {
@@ -24,23 +24,49 @@ VERTICALS = {
     "liquidity_events": verticals.liquidity_events,
 }
 STORED = T.StructType([*EVENTS.fields, T.StructField("ledger_bucket", T.LongType())])
+# Batches after which the store is folded.
+FOLD_EVERY = 50
+# Ledger folders a batch may name one by one; a batch over more reads from the first to the last.
+NAMED_BUCKETS = 500
 
 
-def committed_events(spark: SparkSession, out: str) -> DataFrame:
-    """Events of committed batches with their newest re-scanned content."""
-    base = tables.stored(spark, out, "events", STORED).select(*EVENT_COLUMNS)
-    changed = tables.stored(spark, out, "revisions", STORED)
-    newest = tables.newest_per_key(changed.select("event_id", *merge.REFRESHED, "batch"), ["event_id"])
+def _overlaid(base: DataFrame, revisions: DataFrame) -> DataFrame:
+    """Stored rows with the newest revision of their content."""
+    newest = tables.newest_per_key(revisions.select("event_id", *merge.REFRESHED, "batch"), ["event_id"])
     renamed = newest.select("event_id", F.struct(*merge.REFRESHED).alias("_new"))
     joined = base.join(renamed, "event_id", "left")
-    return joined.select(
-        *[
-            F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) if c in merge.REFRESHED else F.col(c)
-            for c in EVENT_COLUMNS
-        ]
+    return joined.select(*[
+        F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) if c in merge.REFRESHED else F.col(c)
+        for c in base.columns
+    ])
+
+
+def committed_events(spark: SparkSession, out: str, from_ledger: int | None = None, to_ledger: int | None = None) -> DataFrame:
+    """Events of committed batches with their newest re-scanned content; other ledgers' folders are not read."""
+    return _between(spark, out, None, from_ledger, to_ledger).select(*EVENT_COLUMNS)
+
+
+def _between(spark: SparkSession, out: str, before: int | None, low: int | None, high: int | None) -> DataFrame:
+    where = F.lit(True)
+    if low is not None:
+        where = where & (F.col("ledger_bucket") >= low // LEDGERS_PER_BUCKET) & (F.col("ledger") >= low)
+    if high is not None:
+        where = where & (F.col("ledger_bucket") <= high // LEDGERS_PER_BUCKET) & (F.col("ledger") <= high)
+    return _overlaid(
+        tables.stored(spark, out, "events", STORED, before).where(where), tables.stored(spark, out, "revisions", STORED, before).where(where)
     )
 
 
+def committed_rows(spark: SparkSession, out: str, table: str) -> DataFrame:
+    """Rows of one of the derived tables (``VERTICALS``)."""
+    schema = VERTICALS[table](spark.createDataFrame([], EVENTS)).schema
+    return tables.stored(spark, out, table, _foldered(schema)).select(*schema.names)
+
+
+def _foldered(schema: T.StructType) -> T.StructType:
+    return T.StructType([*schema.fields, T.StructField("ledger_bucket", T.LongType())])
+
+
 def committed_summaries(spark: SparkSession, out: str) -> DataFrame:
     """Running summaries: the per-batch partial rows folded together."""
     parts = tables.stored(spark, out, "contract_summaries", SUMMARIES)
@@ -52,67 +78,82 @@ def committed_summaries(spark: SparkSession, out: str) -> DataFrame:
 
 
 def ingest_batch(raw: DataFrame, batch_id: int, out: str, interfaces: DataFrame | None = None, reorg_ledgers: int = 0,
-                 ids_pin_ledger: bool = True) -> None:
+                 ids_pin_ledger: bool = True, fold_every: int = FOLD_EVERY) -> None:
     """Store one micro-batch of raw events and everything derived from it.
 
     An event id encodes its ledger, so with ``ids_pin_ledger`` the store is
     read only in the ledger folders the batch touches. With ``reorg_ledgers``,
-    re-read events of the last ledgers whose content changed become revisions.
+    re-read events of the last ledgers become revisions where their content
+    differs from what the store shows for them. A batch that a fold already
+    holds is done.
     """
     spark = raw.sparkSession
+    if batch_id <= tables.marked(spark, out, tables.FOLDED):
+        return
     # The batch is decoded once: staged, then read back by every step.
     tables.put(to_events(raw, interfaces), out, "staging", batch_id)
-    incoming = spark.read.parquet(f"{out}/staging").where(F.col("batch") == batch_id)
-    span = incoming.agg(F.min("ledger").alias("low"), F.max("ledger").alias("high")).first()
-    if span["low"] is None:
-        return
+    staged = f"{out}/staging/batch={batch_id}"
+    incoming = spark.read.parquet(staged)
+    rows = with_bucket(incoming.select(*EVENT_COLUMNS))
+    span = rows.agg(
+        F.min("ledger").alias("low"), F.max("ledger").alias("high"), F.slice(F.collect_set("ledger_bucket"), 1, NAMED_BUCKETS + 1).alias("buckets")
+    ).first()
     known = tables.stored(spark, out, "events", STORED, before=batch_id)
-    if ids_pin_ledger:
-        low, high = span["low"] // LEDGERS_PER_BUCKET, span["high"] // LEDGERS_PER_BUCKET
-        known = known.where(F.col("ledger_bucket").between(low, high))
-    rows = incoming.select(*EVENT_COLUMNS)
-    tables.put(clustered(merge.insert_new(known, rows)), out, "events", batch_id, by=["ledger_bucket"])
-
-    stored = _own(spark, out, "events", batch_id)
-    if stored is not None:
-        for name, project in VERTICALS.items():
-            tables.put(project(stored), out, name, batch_id)
-        tables.put(contract_summaries(stored), out, "contract_summaries", batch_id)
+    if ids_pin_ledger and span["low"] is not None:
+        few = len(span["buckets"]) <= NAMED_BUCKETS
+        touched = F.col("ledger_bucket").isin(span["buckets"]) if few else F.col("ledger_bucket").between(span["low"] // LEDGERS_PER_BUCKET, span["high"] // LEDGERS_PER_BUCKET)
+        known = known.where(touched)
+    tables.put(clustered(merge.insert_new(known, incoming.select(*EVENT_COLUMNS))), out, "events", batch_id, by=["ledger_bucket"])
+    own = spark.read.schema(STORED).parquet(f"{out}/events/batch={batch_id}")
+    for name, project in VERTICALS.items():
+        tables.put(with_bucket(project(own.select(*EVENT_COLUMNS))), out, name, batch_id, by=["ledger_bucket"])
+    tables.put(contract_summaries(own), out, "contract_summaries", batch_id)
     if reorg_ledgers > 0:
-        recent = F.col("ledger") >= span["high"] - reorg_ledgers
-        tables.put(changed_content(known.where(recent), rows.where(recent)), out, "revisions", batch_id)
-    counts = stored.agg(F.count("*").alias("ingested"), F.max("ledger").alias("_l")) if stored is not None else None
+        first = (span["high"] or 0) - reorg_ledgers
+        shown = _between(spark, out, batch_id, first, None).where(F.col("ledger_bucket").isin(span["buckets"])) if span["buckets"] and len(span["buckets"]) <= NAMED_BUCKETS else _between(spark, out, batch_id, first, None)
+        tables.put(with_bucket(changed_content(shown, rows.where(F.col("ledger") >= first)).select(*EVENT_COLUMNS)), out, "revisions", batch_id, by=["ledger_bucket"])
     log = incoming.agg(F.max("ledger").alias("last_ledger"), F.max("ledger_closed_at").alias("at"), F.count_if("bad_close_time").alias("errors"))
-    ingested = counts.select("ingested") if counts is not None else spark.range(1).select(F.lit(0).cast("bigint").alias("ingested"))
-    both = log.unionByName(ingested, allowMissingColumns=True)
-    tables.commit(out, batch_id, both.agg(*[F.max(c).alias(c) for c in both.columns]))
+    tables.commit(out, batch_id, log.crossJoin(own.agg(F.count("*").alias("ingested"))))  # one row each
+    tables.Files(spark, out).drop(staged)
+    if batch_id - tables.marked(spark, out, tables.FOLDED) >= fold_every:
+        fold(spark, out)
+
+
+def fold(spark: SparkSession, out: str) -> None:
+    """Fold all committed batches: revisions into their events, summaries into one row per contract."""
+    def vertical(name: str):
+        return lambda: tables.stored(spark, out, name, _foldered(VERTICALS[name](spark.createDataFrame([], EVENTS)).schema))
+
+    tables.fold(spark, out, {
+        "events": (lambda: clustered(committed_events(spark, out)), ["ledger_bucket"]),
+        **{name: (vertical(name), ["ledger_bucket"]) for name in VERTICALS},
+        "contract_summaries": (lambda: committed_summaries(spark, out), []),
+        "revisions": (lambda: tables.stored(spark, out, "revisions", STORED).limit(0), ["ledger_bucket"]),
+    })
+
+
+def retain(spark: SparkSession, out: str, first_ledger: int) -> int:
+    """Drop whole ledger folders before a ledger from the event and derived tables; how many went.
+
+    The folder that holds the ledger itself stays whole.
+    """
+    bucket = first_ledger // LEDGERS_PER_BUCKET
+    return sum(tables.drop_folders(spark, out, name, "ledger_bucket", bucket) for name in ("events", "revisions", *VERTICALS))
 
 
 def changed_content(known: DataFrame, incoming: DataFrame) -> DataFrame:
     """Incoming rows of stored ids whose decoded content differs."""
     old = known.select("event_id", F.struct(*merge.REFRESHED).alias("_old"))
-    joined = merge.first_copies(incoming).join(old, "event_id")
+    joined = merge.first_copies(incoming).join(old, "event_id")  # only ids the store shows
     same = F.lit(True)
     for name in merge.REFRESHED:
         same = same & F.col(name).eqNullSafe(F.col(f"_old.{name}"))
     return joined.where(~same).drop("_old")
 
 
-def _own(spark: SparkSession, out: str, table: str, batch_id: int) -> DataFrame | None:
-    """Rows this batch wrote, or None when it wrote none."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        return spark.read.parquet(f"{out}/{table}").where(F.col("batch") == batch_id)
-    except AnalysisException as error:
-        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-        return None
-
-
 def start_ingest(spark: SparkSession, pages_dir: str, out: str, checkpoint: str, interfaces: DataFrame | None = None,
                  contract_ids: Sequence[str] = (), reorg_ledgers: int = 0, max_files: int | None = None,
-                 trigger: dict | None = None, ids_pin_ledger: bool = True) -> StreamingQuery:
+                 trigger: dict | None = None, ids_pin_ledger: bool = True, fold_every: int = FOLD_EVERY) -> StreamingQuery:
     """Follow a folder of landed pages. The checkpoint is the ledger cursor."""
     reader = spark.readStream.format("text").schema("value string")
     if max_files is not None:
@@ -120,7 +161,7 @@ def start_ingest(spark: SparkSession, pages_dir: str, out: str, checkpoint: str,
     raw = parse_pages(reader.load(pages_dir), contract_ids)
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        ingest_batch(batch, batch_id, out, interfaces, reorg_ledgers, ids_pin_ledger)
+        ingest_batch(batch, batch_id, out, interfaces, reorg_ledgers, ids_pin_ledger, fold_every)
 
     return raw.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from wirebuild import account, b64, event, i128, symbol
 
 from eventloom.operators import interfaces as I
-from eventloom.operators import verticals
 from eventloom.operators.aggregates import contract_summaries
 from eventloom.schemas import QUEUED
 from eventloom.streaming import ingest, live, tables
@@ -44,7 +43,7 @@ def test_pages_are_stored_once_over_restarts(spark, folder):
     ev = ingest.committed_events(spark, out)
     assert rows(ev, "event_id") == [("e1",), ("e2",), ("e3",)]
     assert rows(ingest.committed_summaries(spark, out)) == rows(contract_summaries(ev))
-    transfers = tables.stored(spark, out, "token_transfers", verticals.token_transfers(ev).schema)
+    transfers = ingest.committed_rows(spark, out, "token_transfers")
     assert rows(transfers, "event_id", "kind", "amount") == [("e1", "mint", "5"), ("e3", "mint", "5")]
 
 
@@ -91,6 +90,50 @@ def test_changed_content_of_recent_ledgers(spark, folder):
     assert got == [("e0", '"5"'), ("e1", '"9"'), ("e2", '"5"')]
 
 
+def test_content_that_changes_back_shows_the_last_reading(spark, folder):
+    """Change, repeat, change back: one revision per real change."""
+    for k, amount in enumerate((5, 9, 9, 5)):
+        land(folder, f"{k}.json", entry("e1", 500, amount=amount))
+        follow(spark, folder, reorg_ledgers=50)
+        assert rows(ingest.committed_events(spark, f"{folder}/out"), "decoded_value") == [(f'"{amount}"',)]
+    changes = tables.stored(spark, f"{folder}/out", "revisions", ingest.STORED)
+    assert rows(changes, "decoded_value", "batch") == [('"5"', 3), ('"9"', 1)]
+
+
+def test_a_replay_replaces_all_its_rows(spark, folder):
+    df = spark.createDataFrame([(1, "x")], "a int, b string")
+    for by in ([], ["b"]):
+        name = f"t{len(by)}"
+        tables.put(df, folder, name, 0, by)
+        tables.put(df.limit(0), folder, name, 0, by)
+        tables.commit(folder, 0, spark.range(1))
+        assert tables.stored(spark, folder, name, df.schema).count() == 0
+
+
+def test_folding_keeps_what_readers_see(spark, folder):
+    out = f"{folder}/out"
+    for k in range(5):
+        land(folder, f"{k}.json", entry(f"e{k}", 500 + k), entry("e0", 500, amount=5 + k % 2), entry(f"s{k}", 20_000 + k, "swap"))
+        follow(spark, folder, reorg_ledgers=30_000, fold_every=2)
+    ev = ingest.committed_events(spark, out)
+    assert rows(ev, "event_id", "decoded_value")[0] == ("e0", '"5"') and ev.count() == 10
+    assert rows(ingest.committed_summaries(spark, out)) == rows(contract_summaries(ev))
+    assert ingest.committed_rows(spark, out, "token_transfers").count() == 5
+    assert tables.marked(spark, out, tables.FOLDED) == 3 and not os.path.exists(f"{out}/events/batch=1") and not os.listdir(f"{out}/staging")
+    assert len(os.listdir(f"{out}/marks")) <= 4  # with checksums of none
+    assert rows(ingest.committed_events(spark, out, 20_002, 20_003), "event_id") == [("s2",), ("s3",)]
+
+
+def test_retention_drops_folders_before_a_ledger(spark, folder):
+    out = f"{folder}/out"
+    width = ingest.LEDGERS_PER_BUCKET
+    land(folder, "1.json", entry("a", 5), entry("b", width - 1), entry("c", width), entry("d", 3 * width))
+    follow(spark, folder)
+    assert ingest.retain(spark, out, width) == 2  # of events and transfers
+    assert rows(ingest.committed_events(spark, out), "event_id") == [("c",), ("d",)]
+    assert rows(ingest.committed_rows(spark, out, "token_transfers"), "event_id") == [("c",), ("d",)]
+
+
 def test_ingest_enriches(spark, folder):
     section = event("mint", [("to", "Address", "topic"), ("amount", "i128", "data")])
     known = I.with_interface(spark.createDataFrame([("C1", bytearray(section))], "contract_id string, section binary")).select("contract_id", "interface")

@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import binascii
 import json
+import re
 import struct
 from collections.abc import Callable
 
@@ -224,6 +225,39 @@ def _good_addresses_batch(column: pa.Array) -> pa.Array:
     return pa.array([None if r is None else [t for t in r if t in good] for r in rows], pa.list_(pa.string()))
 
 
+# A string, or a brace outside of strings.
+_PARTS = re.compile(r'"(?:[^"\\]|\\.)*"|[{}]', re.S)
+
+
+def listed_texts(topic: str | None) -> list[str]:
+    """The string of a string topic, or all strings of a list nested to any depth.
+
+    Objects are not searched, wherever they stand: strings between braces are
+    passed over, however deep.
+    """
+    if not topic or topic[0] not in '"[':
+        return []
+    found, inside = [], 0
+    for part in _PARTS.findall(topic):
+        if part == "{":
+            inside += 1
+        elif part == "}":
+            inside -= 1
+        elif not inside:
+            found.append(json.loads(part))
+    return found
+
+
+@F.arrow_udf(T.ArrayType(T.ArrayType(T.StringType())))
+def _texts_batch(column: pa.Array) -> pa.Array:
+    return pa.array([None if row is None else [listed_texts(t) for t in row] for row in column.to_pylist()], pa.list_(pa.list_(pa.string())))
+
+
+def flat_texts(topics: Column) -> Column:
+    """Per topic (canonical JSON) of an array: its strings outside of objects."""
+    return _texts_batch(topics)
+
+
 def good_addresses(texts: Column) -> Column:
     """Elements of an array that are addresses."""
     return _good_addresses_batch(texts)

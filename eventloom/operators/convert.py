@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from eventloom.functions.once import computed_once
 from eventloom.functions.wire import decode_scval, decode_topics, event_name
 from eventloom.operators.enrich import enrich
 from eventloom.schemas import EVENT_COLUMNS
@@ -26,20 +27,12 @@ def to_events(raw: DataFrame, interfaces: DataFrame | None = None, created_at=No
     """
     is_text = dict(raw.dtypes)["ledger_closed_at"] == "string"
     closed = close_time(F.col("ledger_closed_at")) if is_text else F.col("ledger_closed_at").cast("timestamp")
-    decoded = raw.select(
-        "event_id",
-        "contract_id",
-        F.col("ledger").cast("bigint").alias("ledger"),
-        closed.alias("ledger_closed_at"),
-        "event_type",
-        "topics",
-        decode_topics(F.col("topics")).alias("decoded_topics"),
-        "value",
-        decode_scval(F.col("value")).alias("decoded_value"),
-        "tx_hash",
-        "in_successful_call",
-        F.coalesce(F.nullif("paging_token", F.lit("")), F.col("event_id")).alias("paging_token"),
+    plain = raw.select(
+        "event_id", "contract_id", F.col("ledger").cast("bigint").alias("ledger"), closed.alias("ledger_closed_at"), "event_type", "topics", "value",
+        "tx_hash", "in_successful_call", F.coalesce(F.nullif("paging_token", F.lit("")), F.col("event_id")).alias("paging_token"),
     )
+    # Filters on what is decoded stay above, so a value is read once.
+    decoded = computed_once(plain, *plain.columns, decoded_topics=decode_topics(F.col("topics")), decoded_value=decode_scval(F.col("value")))
     events = decoded.withColumn("event_name", event_name(F.col("decoded_topics")))
     if interfaces is None:
         events = events.withColumn("enriched", F.lit(None).cast("string"))

@@ -8,40 +8,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.functions.jsontext import text_of
-from eventloom.functions.wire import is_address, storage_key
+from eventloom.functions.once import computed_once
+from eventloom.functions.wire import flat_texts, is_address, storage_key
 from eventloom.operators.verticals import BALANCE_EVENTS
 
-# An object in canonical JSON, nested up to four deep, strings respected.
-_STRING = r'"(?:[^"\\]|\\.)*"'
-OBJECT = rf'\{{(?:[^{{}}"]|{_STRING})*\}}'
-for _ in range(3):
-    OBJECT = rf'\{{(?:[^{{}}"]|{_STRING}|{OBJECT})*\}}'
-
-
 def holders(ev: DataFrame, address_test=is_address) -> DataFrame:
     """Distinct (contract_id, holder): every address topic of a balance event."""
     named = ev.where(F.col("event_name").isin(*BALANCE_EVENTS))
     topics = named.select("contract_id", F.explode("decoded_topics").alias("t"))
     texts = topics.select("contract_id", text_of(F.col("t")).alias("holder")).where("holder is not null").distinct()
-    # Tested after the distinct, so each holder is checked once per contract.
-    return texts.where(address_test(F.col("holder")))
-
-
-def flat_texts(topic_json: Column) -> Column:
-    """The string of a string topic, or all strings of a list nested to any depth.
-
-    Objects inside a list are not searched. Only plain strings matter here:
-    address texts hold no escapes.
-    """
-    plain = F.array_compact(F.array(text_of(topic_json)))
-    listed = F.regexp_extract_all(
-        F.regexp_replace(topic_json, OBJECT, ""), F.lit(r'"((?:[^"\\]|\\.)*)"'), F.lit(1)
-    )
-    return (
-        F.when(topic_json.startswith('"'), plain)
-        .when(topic_json.startswith("["), listed)
-        .otherwise(F.array().cast("array<string>"))
-    )
+    # Tested above the distinct, so each holder is checked once per contract.
+    tested = computed_once(texts, *texts.columns, _good=address_test(F.col("holder")))
+    return tested.where("_good").drop("_good")
 
 
 def template_keys(ev: DataFrame, templates: DataFrame, address_test=is_address) -> DataFrame:
@@ -52,19 +30,18 @@ def template_keys(ev: DataFrame, templates: DataFrame, address_test=is_address)
     index that is missing or names no address yields no rows.
     """
     # Templates are configuration; one row per (template, event name).
-    from eventloom.plans.joins import lookup_join
+    from eventloom.plans.joins import few_rows, lookup_join
 
     per_name = templates.select(
         "symbol", "params", F.coalesce("durability", F.lit("persistent")).alias("durability"), "label",
         F.explode(F.array_distinct("events")).alias("event_name"),
     )
-    joined = lookup_join(ev.select("event_id", "contract_id", "event_name", "decoded_topics"), per_name, ["event_name"])
-    # One row per (event, template, parameter, address), the address checked once.
-    spread = joined.where(F.forall("params", lambda p: p < F.size("decoded_topics"))).select(
-        "event_id", "contract_id", "symbol", "durability", "label", "params",
-        F.transform("params", lambda p: flat_texts(F.get("decoded_topics", p))).alias("texts"),
-    )
-    flat = spread.withColumn("_texts", F.flatten("texts")).withColumn("_good", _good_of(F.col("_texts"), address_test))
+    joined = lookup_join(ev.select("event_id", "contract_id", "event_name", "decoded_topics"), per_name, ["event_name"], few=few_rows(templates))
+    wanted = joined.where(F.forall("params", lambda p: p < F.size("decoded_topics")))
+    names = ["event_id", "contract_id", "symbol", "durability", "label"]
+    # Each Arrow step runs once: what follows reads its result as a plain column.
+    spread = computed_once(wanted, *names, texts=flat_texts(F.transform("params", lambda p: F.get("decoded_topics", p))))
+    flat = computed_once(spread, *names, "texts", _good=_good_of(F.flatten("texts"), address_test))
     kept = flat.withColumn("lists", F.transform("texts", lambda one: F.filter(one, lambda t: F.array_contains(F.col("_good"), t))))
     # Combine one parameter after the other, inside the row: the addresses of
     # one event, never of a group.

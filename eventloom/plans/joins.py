@@ -24,11 +24,18 @@ def fits_broadcast(df: DataFrame) -> bool:
     return size_estimate(df) <= bound
 
 
-def lookup_join(facts: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "inner", salts: int = SALTS) -> DataFrame:
+def few_rows(df: DataFrame, rows: int = 10_000) -> bool:
+    """Whether a configuration table has at most so many rows; counted, not estimated."""
+    return df.limit(rows + 1).count() <= rows
+
+
+def lookup_join(facts: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "inner", salts: int = SALTS, few: bool = False) -> DataFrame:
     """Join a large table to a smaller one on ``on``.
 
-    - The lookup side is broadcast only when its estimated size is under the
-      session's broadcast bound.
+    - ``few`` says that the lookup's rows were counted and are few: it is
+      broadcast whatever its estimate.
+    - Under the session's broadcast bound the engine decides, and may decide
+      anew from measured sizes: a hint would bind it to an estimate.
     - Beyond it, both sides are shuffled with a salt: fact rows spread over
       ``salts`` buckets and every lookup row is copied to each of them, so a key
       holding a third of the facts is split ``salts`` ways and every fact row
@@ -39,8 +46,10 @@ def lookup_join(facts: DataFrame, lookup: DataFrame, on: Sequence[str], how: str
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join {how}")
     on = list(on)
-    if fits_broadcast(lookup):
+    if few:
         return facts.join(F.broadcast(lookup), on, how)
+    if fits_broadcast(lookup):
+        return facts.join(lookup, on, how)
     if size_estimate(lookup) * salts > size_estimate(facts):
         return facts.join(lookup, on, how)
     return salted_join(facts, lookup, on, how, salts)

@@ -266,6 +266,6 @@ def current_specs(observations: DataFrame) -> DataFrame:
         "contract_id",
         F.col("n.wasm_hash").alias("wasm_hash"),
         F.col("n.interface").alias("interface"),
-        (F.size("n.interface.events") > 0).alias("has_events"),
+        F.coalesce(F.size("n.interface.events") > 0, F.lit(False)).alias("has_events"),
         F.col("n.observed_at").alias("fetched_at"),
     )

@@ -33,6 +33,17 @@ def _src_archive(spark, sf):
     return _archive(spark, sf)[0].withColumn("topics", F.array_join("topics", ","))
 
 
+@query("src_archive_file", f"WITH b AS ({_BASE}) {ARCHIVE}")
+def _src_archive_file(spark, sf):
+    """The same lines, some behind tabs, in compressed files, with blank and comment lines behind tabs."""
+    path = shared_dir(spark, "archive")
+    tab = F.when(F.crc32(F.encode("value", "UTF-8")) % 2 == 0, F.lit("\t")).otherwise(F.lit(""))
+    lines = M.archive_lines(spark, sf).select(F.concat(tab, F.col("value")).alias("value"))
+    noise = spark.sql("SELECT explode(array('\\t# note', '\\t \\t', ' \\t#')) AS value")
+    lines.unionByName(noise).write.option("compression", "gzip").text(path)
+    return archive.read_archive(spark, path, 0, spread=8)[0].withColumn("topics", F.array_join("topics", ","))
+
+
 @query(
     "src_archive_range",
     f"WITH b AS ({_BASE}) SELECT * FROM ({ARCHIVE}) WHERE ledger BETWEEN 340900000 AND 341200000 AND contract_id IN ('C3', 'C7')",
@@ -64,14 +75,23 @@ def _src_pages(spark, sf):
     return found.withColumn("topics", F.size("topics")).drop("value")
 
 
-@query(
-    "src_entries",
-    """SELECT contract_id, kind, ledger, value, key, durability FROM (SELECT 'C' || (user_id % 10) AS contract_id, CAST(floor(epoch(ts) / 5) AS BIGINT) AS ledger,
+@query("src_pages_file", with_views("SELECT event_id, contract_id, ledger, 'tx' || (n // 3) AS tx_hash, 'value ' || amount AS amount FROM wired WHERE no % 3 = 0", WIRE))
+def _src_pages_file(spark, sf):
+    """Pages from files; bodies of one plain value are decoded and compared."""
+    from eventloom.functions.wire import decode_scval
+
+    path = shared_dir(spark, "pages")
+    M.page_lines_from(M.table(spark, sf, "events").where("user_id % 25 % 3 = 0")).write.text(path)
+    amount = F.concat(F.lit("value "), F.replace(decode_scval(F.col("value")), F.lit('"'), F.lit("")))
+    return pages.read_pages(spark, path).select("event_id", "contract_id", "ledger", "tx_hash", amount.alias("amount"))
+
+
+_ENTRIES = """SELECT contract_id, kind, ledger, value, key, durability FROM (SELECT 'C' || (user_id % 10) AS contract_id, CAST(floor(epoch(ts) / 5) AS BIGINT) AS ledger,
   '"' || CAST(round(value * 100) AS BIGINT) || '"' AS value, CASE WHEN event_id % 2 = 0 THEN 'instance' ELSE 'data' END AS kind,
-  CASE WHEN event_id % 2 = 1 THEN '"key' || user_id || '"' END AS key, CASE WHEN event_id % 2 = 1 THEN 'temporary' END AS durability FROM events)""",
-)
-def _src_entries(spark, sf):
-    rows = entries.parse_entries(M.entry_lines(spark, sf))
+  CASE WHEN event_id % 2 = 1 THEN '"key' || user_id || '"' END AS key, CASE WHEN event_id % 2 = 1 THEN 'temporary' END AS durability FROM events)"""
+
+
+def _observed_entries(rows):
     none = F.lit(None).cast("string")
     instances = entries.instance_observations(rows).select(
         "contract_id", F.lit("instance").alias("kind"), "ledger", F.col("storage").alias("value"), none.alias("key"), none.alias("durability")
@@ -80,6 +100,18 @@ def _src_entries(spark, sf):
     return instances.unionByName(data)
 
 
+@query("src_entries", _ENTRIES)
+def _src_entries(spark, sf):
+    return _observed_entries(entries.parse_entries(M.entry_lines(spark, sf)))
+
+
+@query("src_entries_file", _ENTRIES)
+def _src_entries_file(spark, sf):
+    path = shared_dir(spark, "entries")
+    M.entry_lines(spark, sf).write.text(path)
+    return _observed_entries(entries.read_entries(spark, path))
+
+
 @query("src_wasm", "SELECT 'M' || p_partkey AS contract_id, 'f' || p_partkey AS function_name FROM part")
 def _src_wasm(spark, sf):
     files = M.part_modules(spark, sf)

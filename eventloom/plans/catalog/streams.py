@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from eventloom.plans import mapping as M
 from eventloom.plans.catalog import query, stamped
-from eventloom.plans.catalog.decoding import BODY, TOPICS, WIRE
+from eventloom.plans.catalog.decoding import BODY, ENRICHED, TOPICS, WIRE, _interfaces
 from eventloom.plans.catalog.delivery import MATCHES, UPGRADES, now
 from eventloom.plans.catalog.reading import _EVENT_OUT, _SUMMARY, PLACE, _event_cols, _upsert_parts
 from eventloom.plans.oracle import EVENT_JSON, stamp, with_views
@@ -49,6 +49,32 @@ def _st_ingest_summaries(spark, sf):
     return ingest.committed_summaries(spark, _ingested(spark, sf))
 
 
+@query("st_ingest_enriched", with_views(f"SELECT event_id, {ENRICHED} AS enriched FROM wired", WIRE))
+def _st_ingest_enriched(spark, sf):
+    base = shared_dir(spark, "ingest")
+    M.page_lines_from(M.table(spark, sf, "events")).repartition(4).write.text(f"{base}/pages")
+    ingest.start_ingest(spark, f"{base}/pages", f"{base}/out", f"{base}/checkpoint", _interfaces(spark, sf), max_files=2).awaitTermination()
+    return ingest.committed_events(spark, f"{base}/out").select("event_id", "enriched")
+
+
+# Re-reading over several cycles: change, repeat, change some of it back.
+WINDOW = 60_000
+_AGAIN = f"""(SELECT * REPLACE (CASE WHEN event_id % 3 = 0 AND event_id % 6 <> 0 AND floor(epoch(ts) / 5) >=
+  (SELECT max(floor(epoch(ts) / 5)) FROM events WHERE event_id % 3 = 0) - {WINDOW} THEN value + 1 ELSE value END AS value) FROM events) e"""
+
+
+@query("st_reorg_cycles", with_views(f"SELECT event_id, {BODY} AS decoded_value FROM wired", WIRE.replace("FROM events e", f"FROM {_AGAIN}")))
+def _st_reorg_cycles(spark, sf):
+    base = shared_dir(spark, "reorg")
+    e = M.table(spark, sf, "events")
+    changed = e.where("event_id % 3 = 0").withColumn("value", F.col("value") + 1)
+    for part in (e, changed, changed, e.where("event_id % 6 = 0")):
+        M.page_lines_from(part).write.mode("append").text(f"{base}/pages")
+        # One batch per cycle; the store is folded in between.
+        ingest.start_ingest(spark, f"{base}/pages", f"{base}/out", f"{base}/checkpoint", reorg_ledgers=WINDOW, fold_every=2).awaitTermination()
+    return ingest.committed_events(spark, f"{base}/out").select("event_id", "decoded_value")
+
+
 @query("st_dedup", with_views(f"SELECT {_EVENT_OUT} FROM ev"))
 def _st_dedup(spark, sf):
     base = shared_dir(spark, "dedup")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from eventloom.functions.once import computed_once
 from eventloom.functions.jsontext import iso_text
 from eventloom.functions.signing import hmac_pads, hmac_sha256
 from eventloom.operators.reads import event_json
@@ -30,9 +31,10 @@ def enqueue(deliveries: DataFrame, matches: DataFrame, now: Column) -> DataFrame
             matches = matches.withColumn(name, F.lit(None).cast(kind))
     # Exactly one of the two ids is set; a text of it makes an ordinary join key.
     item = F.coalesce(F.concat(F.lit("e:"), F.col("event_id")), F.concat(F.lit("u:"), F.col("upgrade_id").cast("string")))
-    new = matches.select("subscription_id", "event_id", "upgrade_id").distinct().withColumn("_item", item)
+    new = matches.select("subscription_id", "event_id", "upgrade_id").withColumn("_item", item)
     known = deliveries.select("subscription_id", item.alias("_item"))
-    fresh = new.join(known, ["subscription_id", "_item"], "left_anti")
+    # Repeats are dropped among what is new, not among all matches.
+    fresh = new.join(known, ["subscription_id", "_item"], "left_anti").select("subscription_id", "event_id", "upgrade_id").distinct()
     return fresh.select(
         "subscription_id", "event_id", "upgrade_id",
         F.lit("pending").alias("status"), F.lit(0).alias("attempts"), F.lit(None).cast("string").alias("last_error"),
@@ -57,11 +59,12 @@ def _upgrade_json() -> Column:
 
 
 def due_deliveries(deliveries: DataFrame, subs: DataFrame, ev: DataFrame, versions: DataFrame, now: Column,
-                   limit: int | None = None) -> DataFrame:
+                   limit: int | None = None, with_pads: bool = False) -> DataFrame:
     """Pending deliveries that are due, oldest first, with their payloads.
 
     The queue is cut to ``limit`` before anything is joined. ``limit`` None
-    takes every due row.
+    takes every due row. ``with_pads`` adds each subscription's padded keys,
+    worked out once per subscription, for ``sign``.
     """
     due = deliveries.where((F.col("status") == "pending") & (F.col("next_attempt_at") <= now))
     due = lookup_join(due, subs.select(F.col("id").alias("subscription_id")), ["subscription_id"], "left_semi")
@@ -79,18 +82,21 @@ def due_deliveries(deliveries: DataFrame, subs: DataFrame, ev: DataFrame, versio
     upgrades = of_upgrades.join(versioned, "upgrade_id", "left").withColumn("payload", _upgrade_json())
     names = ["id", "subscription_id", "attempts", "next_attempt_at", "payload"]
     targets = subs.select(F.col("id").alias("subscription_id"), "url", "secret")
+    if with_pads:
+        targets = computed_once(targets, *targets.columns, pads=hmac_pads(F.col("secret")))
     joined = lookup_join(events.select(*names).unionByName(upgrades.select(*names)), targets, ["subscription_id"])
-    return joined.select("id", "subscription_id", "attempts", "url", "secret", "next_attempt_at", "payload")
+    return joined.select("id", "subscription_id", "attempts", "url", "secret", "next_attempt_at", "payload", *(["pads"] if with_pads else []))
 
 
 def sign(due: DataFrame) -> DataFrame:
-    """Add the signature and event-type headers of each payload."""
-    kind = F.try_variant_get(F.try_parse_json("payload"), "$.type", "string")
-    is_text = F.schema_of_variant(F.try_variant_get(F.try_parse_json("payload"), "$.type", "variant")) == "STRING"
-    return due.select(
-        "*",
-        F.concat(F.lit("sha256="), hmac_sha256(hmac_pads(F.col("secret")), F.col("payload"))).alias("signature"),
-        F.coalesce(F.when(is_text, kind), F.lit(EVENT_TYPE)).alias("event_header"),
+    """Add the signature and event-type headers of each payload, which is parsed once."""
+    pads = F.col("pads") if "pads" in due.columns else hmac_pads(F.col("secret"))
+    kind = F.try_variant_get(F.try_parse_json("payload"), "$.type", "variant")
+    typed = computed_once(due, *due.columns, _kind=kind)
+    return typed.select(
+        *[c for c in due.columns if c != "pads"],
+        F.concat(F.lit("sha256="), hmac_sha256(pads, F.col("payload"))).alias("signature"),
+        F.when(F.schema_of_variant("_kind") == "STRING", F.col("_kind").cast("string")).otherwise(EVENT_TYPE).alias("event_header"),
     )
 
 

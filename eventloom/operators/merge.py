@@ -25,9 +25,11 @@ def first_copies(incoming: DataFrame, order: Column | None = None) -> DataFrame:
 def insert_new(stored: DataFrame, incoming: DataFrame, order: Column | None = None) -> DataFrame:
     """Incoming rows whose id is not stored. Derived tables are made from these.
 
-    Only the id column of the store is read.
+    Only the id column of the store is read. Stored ids go first, so that only
+    what is new is sorted out among its copies.
     """
-    return first_copies(incoming, order).join(stored.select("event_id"), "event_id", "left_anti")
+    new = incoming.join(stored.select("event_id"), "event_id", "left_anti").select(*incoming.columns)
+    return first_copies(new, order)
 
 
 def upsert_events(stored: DataFrame, incoming: DataFrame, order: Column | None = None) -> tuple[DataFrame, DataFrame]:

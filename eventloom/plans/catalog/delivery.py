@@ -66,8 +66,8 @@ DUE = f"""due AS (SELECT d.id, d.subscription_id, d.attempts, s.url, s.secret,
   LEFT JOIN upg v ON v.id = d.upgrade_id WHERE d.status = 'pending' AND d.next_s <= {NOW_S})"""
 
 
-def _due(spark, sf):
-    found = D.due_deliveries(M.deliveries(spark, sf), M.subscriptions(spark, sf), M.ev(spark, sf), M.upgrade_rows(spark, sf), now())
+def _due(spark, sf, **kwargs):
+    found = D.due_deliveries(M.deliveries(spark, sf), M.subscriptions(spark, sf), M.ev(spark, sf), M.upgrade_rows(spark, sf), now(), **kwargs)
     return found.drop("next_attempt_at")
 
 
@@ -99,7 +99,7 @@ def _pad(byte: int) -> str:
     ),
 )
 def _sign_payloads(spark, sf):
-    return D.sign(_due(spark, sf)).select("id", "signature", "event_header")
+    return D.sign(_due(spark, sf, with_pads=True)).select("id", "signature", "event_header")
 
 
 @query(

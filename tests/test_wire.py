@@ -52,7 +52,7 @@ GOLDEN = [
     (b64(symbol("fee") + b"junk"), '"fee"'),
     # A vector that claims more items than there are bytes.
     (b64(u32(16) + u32(1) + u32(2**31)), None),
-    (b64((u32(16) + u32(1) + u32(1)) * 300 + u32(1)), None),
+    (b64((u32(16) + u32(1) + u32(1)) * 300 + u32(1)), "[" * 300 + "null" + "]" * 300),
 ]
 
 

@@ -98,8 +98,8 @@ def trailing(samples: DataFrame, increases: Mapping[str, int] | None = None, del
     """
     increases, deltas = increases or {}, deltas or {}
     lead = max([*increases.values(), *deltas.values()])
-    if lead > chunk_seconds:
-        raise ValueError("window is longer than a chunk")
+    # A window longer than a chunk takes chunks of as many days as it needs.
+    chunk_seconds *= max(1, -(-lead // chunk_seconds))
     at = F.unix_seconds("at")
     own = F.floor(at / F.lit(chunk_seconds))
     also = F.floor((at + lead) / F.lit(chunk_seconds))

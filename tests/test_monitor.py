@@ -71,3 +71,10 @@ def test_status_needs_no_events(spark):
     df = spark.createDataFrame([(1, 5, 6, *[1] * 8), (2, 9, 9, *[2] * 8)], f"cycle_id long, last_ledger long, tip_ledger long, {names}")
     row = monitor.status(df.withColumn("at", F.timestamp_seconds("cycle_id"))).first()
     assert (row["last_processed_ledger"], row["chain_tip_ledger"], row["ingested_total"], row["rpc_errors_total"]) == (9, 9, 3, 3)
+
+
+def test_windows_longer_than_a_chunk(spark):
+    data = [("i", 50_000 * k, 10 * k, 0, 0, 0) for k in range(12)]
+    got = monitor.trailing(samples(spark, data), increases={"ingested": 200_000})
+    want = [10 * min(k, 4) for k in range(12)]
+    assert [r[1] for r in rows(got.select(F.unix_seconds("at"), "ingested_increase"))] == want

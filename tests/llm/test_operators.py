@@ -1,6 +1,5 @@
 """The operators of the training-data package on small fixtures, against brute force."""
 
-import hashlib
 import math
 import re
 import zlib
@@ -286,6 +285,10 @@ def test_pieces_encode_like_whole_texts():
     assert own.in_pieces and own.width == 2
     for t in ODD_TEXTS:
         assert np.frombuffer(own.encode(t or ""), "<u2").tolist() == whole.encode(t or "", add_special_tokens=False).ids, t
+    rng = np.random.default_rng(13)
+    for _ in range(3000):
+        t = "".join(rng.choice(list("aBé .,\n'!1\u00a0日s\t|<>"), rng.integers(0, 25)))
+        assert np.frombuffer(own.encode(t), "<u2").tolist() == whole.encode(t, add_special_tokens=False).ids, repr(t)
 
 
 def test_token_shards_read_back(spark, folder):

@@ -79,7 +79,7 @@ def main() -> None:
     print(
         json.dumps(
             {
-                "metric": "headline_total", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds,
+                "metric": "headline_total", "value": round(sum(s for name, s in seconds.items() if name != "ingest_tail"), 3), "unit": "sec", "queries": seconds,
                 "sf": os.path.basename(sf_dir.rstrip("/")), "ingest_events": events,
                 "ingest_events_per_sec": round(events / seconds["ingest"], 1),
                 "ingest_tail_events": step_events, "ingest_tail_events_per_sec": round(step_events / seconds["ingest_tail"], 1),

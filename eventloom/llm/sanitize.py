@@ -6,7 +6,8 @@
 2. Over the corpus, a term t and an entity c that meet in ``SUPPORT`` different
    contexts or more are candidates: copies of one context are one piece of
    evidence.
-3. The candidates' document frequencies are counted over all texts, and a term
+3. The document frequencies of candidates that could pass (their frequency near
+   entities alone does not rule them out) are counted over all texts, and a term
    discloses an entity if its pointwise mutual information with it reaches the
    entity's information divided by ``ALPHA``: log p(c|t)/p(c) >= -log p(c) / ALPHA.
 4. Disclosing terms are marked wherever they stand, also away from the entity:
@@ -227,16 +228,20 @@ def find_terms(docs: DataFrame, shared, bits: int = BITS) -> DataFrame:
     return _marked(docs).mapInArrow(run, OCCURRENCE)
 
 
-def disclosures(base: DataFrame, occurrences: DataFrame, candidates: DataFrame, alpha: float = ALPHA) -> DataFrame:
-    """(term, strength) of terms that disclose some entity; strength is the largest p(c|t)."""
+def telling(pairs: DataFrame, base: DataFrame, alpha: float = ALPHA) -> DataFrame:
+    """The rows (term, entity, n_both, n_term) whose term discloses the entity, with ``given``, p(entity | term)."""
     whole = base.select("doc_id", "mark").count()
     known = base.where(F.size("entities") > 0).select("doc_id", "mark", F.explode("entities").alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    seen = occurrences.select("doc_id", "mark", "term").distinct().groupBy("term").agg(F.count("*").alias("n_term"))
-    pairs = candidates.join(seen, "term").join(known, "entity")
     given = F.least(F.lit(1.0), F.col("n_both") / F.col("n_term"))
     information = -F.log(F.col("n_entity") / F.lit(float(max(1, whole))))
     mutual = F.log(given) + information
-    return pairs.where(mutual >= information / F.lit(alpha)).groupBy("term").agg(F.max(given).alias("strength"))
+    return pairs.join(known, "entity").where(mutual >= information / F.lit(alpha)).withColumn("given", given)
+
+
+def disclosures(base: DataFrame, occurrences: DataFrame, candidates: DataFrame, alpha: float = ALPHA) -> DataFrame:
+    """(term, strength) of terms that disclose some entity; strength is the largest p(c|t)."""
+    seen = occurrences.select("doc_id", "mark", "term").distinct().groupBy("term").agg(F.count("*").alias("n_term"))
+    return telling(candidates.join(seen, "term"), base, alpha).groupBy("term").agg(F.max("given").alias("strength"))
 
 
 def find(docs: DataFrame, support: int = SUPPORT, alpha: float = ALPHA) -> DataFrame:
@@ -247,7 +252,10 @@ def find(docs: DataFrame, support: int = SUPPORT, alpha: float = ALPHA) -> DataF
     pairs = base.where(F.size("pairs") > 0).select("doc_id", "mark", F.explode("pairs").alias("p")).select("doc_id", "mark", "p.*")
     by_context = pairs.distinct().groupBy("term", "entity", "context").agg(F.count("*").alias("n"))
     candidates = by_context.groupBy("term", "entity").agg(F.sum("n").alias("n_both"), F.count("*").alias("contexts")).where(F.col("contexts") >= support)
-    candidates = write_read(candidates.select("term", "entity", "n_both"), f"{folder}/candidates")
+    # A term stands in at least as many documents as near any entity: what cannot disclose by that count is not looked for.
+    least = pairs.select("doc_id", "mark", "term").distinct().groupBy("term").agg(F.count("*").alias("n_term"))
+    possible = telling(candidates.join(least, "term"), base, alpha)
+    candidates = write_read(possible.select("term", "entity", "n_both"), f"{folder}/candidates")
     own = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.lit(1.0).alias("strength")))
     marked = base.select("doc_id", "mark", own.alias("spans"))
     shared = spark.sparkContext.broadcast(bitmap(candidates.select("term")))  # BITS bytes

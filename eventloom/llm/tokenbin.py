@@ -15,8 +15,9 @@ will do; they are written through Arrow's file systems.
 
 Encoding: texts are cut at single spaces between two visible characters, where
 a byte-level tokenizer always starts a new word, and each piece is encoded
-once and remembered; texts with other white space next to a space are cut more
-carefully, and a tokenizer of another kind gets whole texts.
+once and remembered; a piece of letters alone goes straight to the tokenizer's
+model. Texts with other white space next to a space are cut more carefully,
+and a tokenizer of another kind gets whole texts.
 
 Defined cases: a null text is empty and has the end id alone; rows without an
 id come first, their id is null when read back; rows with equal ids stand in
@@ -26,11 +27,13 @@ Only ``doc_id`` and ``text`` are read. A null text comes before an empty one.
 
 from __future__ import annotations
 
+import array
 import json
 import os
 import posixpath
 import re
 import struct
+import sys
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -50,7 +53,7 @@ from eventloom.session import shared_dir
 END_ID = 2
 # Bytes of ids after which a shard is closed.
 SHARD_BYTES = 32 << 20
-MEMO = 400_000
+MEMO = 700_000
 SAMPLE = 256
 MAGIC = b"IDSHARD1"
 # magic, bytes per id, documents, documents without an id, ids, sizes of the three parts, smallest id
@@ -170,16 +173,64 @@ class Shard:
 
 # -- encoding ----------------------------------------------------------------
 
-EDGE = re.compile(r"(?<=[^\s᠎])(?= [^\s᠎])")
+EDGE = re.compile(r"(?<=[^\s᠎]) (?=[^\s᠎])")
 OTHER_SPACE = re.compile(r"[^\S \n]|᠎")
+LINE = re.compile(r"[^\s᠎]\n[^\s᠎]")
+MARKS = ".,;:!?"
 
 
 def pieces(text: str) -> list[str]:
-    """The text cut before single spaces between visible characters."""
+    """The text cut at single spaces between visible characters; all but the first piece have lost a space."""
     parts = text.split(" ")
     if "" in parts or " \n" in text or "\n " in text or OTHER_SPACE.search(text):
         return EDGE.split(text)
-    return [parts[0], *[" " + p for p in parts[1:]]]
+    return parts
+
+
+def _byte_letters() -> dict[str, str]:
+    """How a byte-level vocabulary writes bytes: visible Latin-1 as itself, the rest from U+0100 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in shown]
+    return str.maketrans({**{chr(b): chr(b) for b in shown}, **{chr(b): chr(256 + i) for i, b in enumerate(hidden)}})
+
+
+class Pieces:
+    """Packed ids of pieces that all stand behind ``lead``, each piece encoded once."""
+
+    def __init__(self, owner: "Encoder", lead: str):
+        self.owner, self.lead, self.known = owner, lead, {}
+
+    def join(self, parts: list[str]) -> bytes:
+        known = self.known
+        missing = [p for p in parts if p not in known]
+        if missing:
+            if len(known) + len(missing) > MEMO:
+                known.clear()
+                missing = parts
+            for p in missing:
+                self.one(p)
+        return b"".join(map(known.__getitem__, parts))
+
+    def one(self, piece: str) -> bytes:
+        got = self.known.get(piece)
+        if got is None:
+            got = self.known[piece] = self._encode(piece)
+        return got
+
+    def _encode(self, piece: str) -> bytes:
+        owner = self.owner
+        if piece.isalpha():
+            # A run of letters is one word to the tokenizer: its model alone is asked.
+            letters = (self.lead + piece).encode("utf-8").decode("latin-1").translate(owner.letters)
+            return owner.pack([t.id for t in owner.model.tokenize(letters)])
+        # A mark behind a letter, and a line break between visible characters, are words of their own.
+        if piece[-1:] in MARKS and piece[-2:-1].isalpha():
+            return self.one(piece[:-1]) + owner.bare.one(piece[-1])
+        line = LINE.search(piece)
+        if line:
+            at = line.start() + 1
+            return self.one(piece[:at]) + owner.bare.one("\n") + owner.bare.one(piece[at + 1:])
+        return owner.whole(self.lead + piece)
 
 
 class Encoder:
@@ -190,34 +241,35 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.model = self.tokenizer.model
+        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.width = array.array(self.code).itemsize
         with open(path, encoding="utf-8") as f:
             told = json.load(f)
         pre = told.get("pre_tokenizer") or {}
         plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
         specials = told.get("added_tokens") or []
-        tight = all(not (t.get("lstrip") or t.get("rstrip") or " " in t["content"]) for t in specials)
-        self.in_pieces = plain and tight and not told.get("normalizer")
-        self.memo: dict[str, bytes] = {}
+        tight = all(not (t.get("lstrip") or t.get("rstrip") or t["content"].isalpha() or re.search(r"\s", t["content"])) for t in specials)
+        self.in_pieces = plain and tight and not told.get("normalizer") and told["model"].get("type") == "BPE"
+        self.letters = _byte_letters()
+        self.spaced, self.bare = Pieces(self, " "), Pieces(self, "")
 
     def pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, dtype=f"<u{self.width}").tobytes()
+        packed = array.array(self.code, ids)
+        if sys.byteorder == "big":
+            packed.byteswap()
+        return packed.tobytes()
+
+    def whole(self, text: str) -> bytes:
+        return self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
         if not self.in_pieces:
-            return self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
+            return self.whole(text)
         cut = pieces(text)
-        memo = self.memo
-        missing = list(set(cut).difference(memo))
-        if missing:
-            if len(memo) + len(missing) > MEMO:
-                memo.clear()
-                missing = list(set(cut))
-            for piece, got in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
-                memo[piece] = self.pack(got.ids)
-        return b"".join(map(memo.__getitem__, cut))
+        return self.bare.join(cut[:1]) + self.spaced.join(cut[1:])
 
 
 def encoder(path: str) -> Encoder:

@@ -270,10 +270,10 @@ def near_duplicates(docs: DataFrame, dense: int = DENSE) -> DataFrame:
     base = shared_dir(spark, "simhash-fp")
     marks = write_read(fingerprints(docs), f"{base}/rows")
     nodes = write_read(marks.groupBy("fp").agg(F.min("doc_id").alias("node")), f"{base}/nodes")
-    # One id with several fingerprints is one node: linked through its id.
-    ids = marks.where("doc_id is not null").join(nodes, "fp").where("doc_id <> node")
-    several = marks.where("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("f1"), F.max("fp").alias("f2")).where("f1 <> f2").select("doc_id")
-    same_id = ids.join(several, "doc_id").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    # One id with several fingerprints is one node: linked through its id. Such ids go first, so copies of one text do not meet here.
+    named_rows = marks.where("doc_id is not null")
+    several = named_rows.groupBy("doc_id").agg(F.min("fp").alias("f1"), F.max("fp").alias("f2")).where("f1 <> f2").select("doc_id")
+    same_id = named_rows.join(several, "doc_id").join(nodes, "fp").where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     named = nodes.where("node is not null")
     found = components(spark, links(spark, named, dense).unionByName(same_id))
     labelled = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))

@@ -44,9 +44,9 @@ from eventloom.session import shared_dir
 THRESHOLD = 0.7
 MAX_FEATURES = 20_000
 # Labels are broadcast up to this many rows (12 bytes each), joined by shuffle beyond.
-BROADCAST_LABELS = 2_000_000
+BROADCAST_LABELS = 500_000
 PREFIXES = (4, 5, 6)
-MEMO = 200_000
+MEMO = 400_000
 # Log odds of a text without a telling word.
 PRIOR = math.log(0.02)
 
@@ -64,6 +64,11 @@ TRIM_FRONT = "\"'([{<*#%&~_-.,;:=/\\"
 TRIM_BACK = "\"')]}>*#%&~_-.,;:!?=/\\|"
 MIXED = re.compile(r"[^\W\d_].*[0-9@$!|+(<€£*#?]|[0-9@$!|+(<€£*#?].*[^\W\d_]", re.S)
 REPEATED = re.compile(r"([^\W\d_])\1\1")
+# Bytes that part tokens: white space and marks that stand for no letter.
+PARTS = bytes(b if chr(b) not in " \t\n\r\v\f.,;:?\"')]}{[>%&~_-=/\\^`" else 32 for b in range(256))
+LETTER = rb"(?:[!-~]|[\xc2-\xdf][\x80-\xbf])"
+SPELT_OUT = re.compile(rb" " + LETTER + rb"(?: " + LETTER + rb"){2,}(?= )")
+TRIPLE = re.compile(rb"([a-z])\1\1")
 DOTTED = re.compile(r"\w(?:[._\-]\w){2,}")
 SPELT = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
 WORDS = re.compile(r"[^\W_]+")
@@ -91,13 +96,26 @@ def trigram_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds, total = _class_table(), np.zeros(64**3, np.int64)
+        held: list[str] = []
+        size = 0
+
+        def count() -> None:
+            # Borders at either end and between texts; what spans two texts has a border in its middle.
+            c = classes(" " + "  ".join(held) + " ", kinds)
+            code = c[:-2] * 4096 + c[1:-1] * 64 + c[2:]
+            total[:] += np.bincount(code, minlength=64**3)
+
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                if text:
-                    for lo in range(0, len(text), 1 << 20):
-                        # Two letters of what went before, and a border at either end.
-                        c = classes((" " + text + " ")[lo:lo + (1 << 20) + 2], kinds)
-                        total += np.bincount(c[:-2] * 4096 + c[1:-1] * 64 + c[2:], minlength=64**3)
+                # A long text goes piece by piece; a cut acts as a word border.
+                for lo in range(0, len(text or ""), 1 << 20):
+                    held.append(text[lo:lo + (1 << 20)])
+                    size += len(held[-1])
+                    if size >= 1 << 20:
+                        count()
+                        held, size = [], 0
+        if held:
+            count()
         code = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(total[code])], names=["code", "n"])
 
@@ -202,8 +220,14 @@ def word_features(word: str) -> list[str]:
     return [word, *[f"{word[:k]}~" for k in PREFIXES if len(word) > k]]
 
 
-def token_words(token: str, logp: np.ndarray) -> list[str]:
-    return WORDS.findall(restore_token(token, logp).lower())
+def token_words(token: bytes, logp: np.ndarray) -> list[str]:
+    """Lower-case words of a token, restored."""
+    if token.isalpha() and not TRIPLE.search(token):
+        return [token.decode()]
+    text = token.decode("utf-8", "replace").lower()
+    if text.isalpha() and not REPEATED.search(text):
+        return [text]
+    return WORDS.findall(restore_token(text, logp).lower())
 
 
 def word_weight(word: str, weights: dict[str, float]) -> float:
@@ -218,15 +242,16 @@ class Features:
 
     def __init__(self, logp: np.ndarray):
         self.logp = logp
-        self.memo: dict[str, tuple] = {}
-
-    def tokens(self, text: str) -> set[str]:
-        """Distinct tokens, words spelt letter by letter decoded."""
-        found = set(text.split())
-        for m in SPELT.finditer(text):
-            joined = re.sub(r"\s", "", m.group())
+        self.memo: dict[bytes, tuple] = {}
+
+    def tokens(self, text: str) -> set[bytes]:
+        """Distinct tokens, A-Z lower-cased, words spelt letter by letter decoded."""
+        data = b" " + text.encode("utf-8", "surrogatepass").lower().translate(PARTS) + b" "
+        found = set(data.split())
+        for m in SPELT_OUT.finditer(data):
+            joined = m.group().replace(b" ", b"").decode("utf-8", "replace")
             if any(c.isalpha() for c in joined):
-                found.update(decode(lattice(joined), self.logp, breaks=True).split())
+                found.update(decode(lattice(joined), self.logp, breaks=True).encode().split())
         return found
 
     def remembered(self, text: str | None, make) -> set:
@@ -250,7 +275,7 @@ class Features:
 
     def telling(self, text: str | None, weights: dict[str, float]) -> set[tuple[str, float]]:
         """Distinct words that carry weight."""
-        def weighed(token: str) -> tuple:
+        def weighed(token: bytes) -> tuple:
             return tuple((w, x) for w in token_words(token, self.logp) if (x := word_weight(w, weights)))
 
         return self.remembered(text, weighed)

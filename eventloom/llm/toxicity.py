@@ -9,8 +9,8 @@
    lattice under the character model gives the restored spelling.
 3. Words and word beginnings of restored texts are counted by label over all
    labelled training rows. A feature is kept if its log-likelihood ratio is
-   beyond what chance gives among all features seen (2 ln of their number) and
-   most rows that have it are toxic. A text's log odds are a low start plus the
+   beyond what chance gives among all features seen (2 ln of their number), nine
+   in ten rows that have it are toxic, and one in fifty toxic rows has it. A text's log odds are a low start plus the
    log likelihood ratio of each distinct telling word; a word whose own ratio is
    not known takes that of its most telling beginning.
 
@@ -47,6 +47,9 @@ MAX_FEATURES = 20_000
 BROADCAST_LABELS = 500_000
 PREFIXES = (4, 5, 6)
 MEMO = 400_000
+# Least share of toxic rows among those that have a feature, and least share of
+# all toxic rows that have it: what only a group of copies has tells little.
+PURE, SUPPORT = 0.9, 0.02
 # Log odds of a text without a telling word.
 PRIOR = math.log(0.02)
 
@@ -343,7 +346,7 @@ def fit(spark: SparkSession, rows: DataFrame, logp, max_features: int = MAX_FEAT
     toxic_share = (F.col("pos") + base) / (have + 1)
     ratio = F.log((F.col("pos") + 0.1) / (pos + 0.1)) - F.log((F.col("neg") + 0.5) / (neg + 0.5))
     kept = counts.where("feature is not null").withColumn("g2", g2).withColumn("ratio", ratio)
-    kept = kept.where((F.col("g2") >= 2 * math.log(seen)) & (toxic_share >= 0.5)).orderBy(F.desc("g2"), "feature").limit(max_features)
+    kept = kept.where((F.col("g2") >= 2 * math.log(seen)) & (toxic_share >= PURE) & (F.col("pos") >= SUPPORT * pos)).orderBy(F.desc("g2"), "feature").limit(max_features)
     return {r["feature"]: float(r["ratio"]) for r in kept.select("feature", "ratio").collect()}
 
 

@@ -175,7 +175,10 @@ class Shard:
 
 EDGE = re.compile(r"(?<=[^\s᠎]) (?=[^\s᠎])")
 OTHER_SPACE = re.compile(r"[^\S \n]|᠎")
-LINE = re.compile(r"[^\s᠎]\n[^\s᠎]")
+# A line break between visible characters.
+LINE = re.compile(r"(?<=[^\s᠎])\n(?=[^\s᠎])")
+# Pieces of so many lines are encoded without remembering the lines.
+LINES = 64
 MARKS = ".,;:!?"
 
 
@@ -226,10 +229,13 @@ class Pieces:
         # A mark behind a letter, and a line break between visible characters, are words of their own.
         if piece[-1:] in MARKS and piece[-2:-1].isalpha():
             return self.one(piece[:-1]) + owner.bare.one(piece[-1])
-        line = LINE.search(piece)
-        if line:
-            at = line.start() + 1
-            return self.one(piece[:at]) + owner.bare.one("\n") + owner.bare.one(piece[at + 1:])
+        lines = [m.start() for m in LINE.finditer(piece)]
+        if lines:
+            # No part holds such a break, so this goes one level down at most; the parts of long pieces are not remembered.
+            first, rest = piece[:lines[0]], [piece[lo + 1:hi] for lo, hi in zip(lines, [*lines[1:], len(piece)])]
+            encode = owner.bare.one if len(lines) < LINES else owner.bare._encode
+            end = owner.bare.one("\n")
+            return self.one(first) + b"".join(end + encode(part) for part in rest)
         return owner.whole(self.lead + piece)
 
 

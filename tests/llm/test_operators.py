@@ -291,6 +291,16 @@ def test_pieces_encode_like_whole_texts():
         assert np.frombuffer(own.encode(t), "<u2").tolist() == whole.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_pieces_of_very_many_lines():
+    from tokenizers import Tokenizer
+
+    path = tokenbin.default_tokenizer()
+    whole, own = Tokenizer.from_file(path), tokenbin.Encoder(path)
+    for t in ("\n".join(f"w{i % 1000}/x." for i in range(100_000)), "lead " + "\n".join("日本語" for _ in range(100_000)), "a\nb\n\nc\nd!\n", "x\ny\n1\n.\nz"):
+        assert np.frombuffer(own.encode(t), "<u2").tolist() == whole.encode(t, add_special_tokens=False).ids
+    assert sum(map(len, [*own.bare.known, *own.spaced.known])) < 5_000_000
+
+
 def test_token_shards_read_back(spark, folder):
     from tokenizers import Tokenizer
 

@@ -8,26 +8,35 @@
    letters, a spelt-out word may break anywhere. Viterbi decoding of that
    lattice under the character model gives the restored spelling.
 3. Words and word beginnings of restored texts are counted by label over all
-   labelled training rows. A feature is kept if its log-likelihood ratio is
-   beyond what chance gives among all features seen (2 ln of their number), nine
-   in ten rows that have it are toxic, and one in fifty toxic rows has it. A text's log odds are a low start plus the
-   log likelihood ratio of each distinct telling word; a word whose own ratio is
-   not known takes that of its most telling beginning.
+   different labelled training texts (a text once per label). A feature is kept
+   if its log-likelihood ratio is beyond what chance gives among all features
+   seen (2 ln of their number), however rare or mixed it is. What edited copies
+   share is one piece of evidence: a kept feature counts at most once for each
+   label and pair of neighbouring tokens, and has to be beyond chance with these
+   counts as well. Its weight is its log ratio, of either sign, drawn towards 0.
+4. A text's evidence is the sum of the weights of its distinct words, and the
+   strongest one alone (a sum of weak ones does not outdo it); a word
+   without a weight of its own takes that of its most telling beginning.
+5. The training texts, each summed without its own share in the counts, give the
+   share of toxic ones by evidence, made to rise throughout (pooled adjacent
+   violators): the score of a text is the larger of the shares at its sum and at
+   its strongest word.
 
 Labels, language, source and id are no inputs of a score. Label counts use
 every labelled training row; the kept features are the ``MAX_FEATURES`` most
 telling ones, a bound on the model only.
 
-Defined cases: null and empty texts have no words and get the score of the
-start, about 0.02; a null id is never held out and never learnt from; null
-labels are left out; several labels of one id count once per row pair; without
-any toxic label all texts get that score; repeated rows are scored one by one.
+Defined cases: null and empty texts have no words and get the score of no
+evidence; a null id is never held out and never learnt from; null labels are
+left out; a text with both labels counts once for each; without labels of both
+kinds all texts score 0.02; repeated rows are scored one by one.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +44,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
 from eventloom.llm.registry import query, table
 from eventloom.llm.text import remainder, write_read
@@ -47,11 +56,12 @@ MAX_FEATURES = 20_000
 BROADCAST_LABELS = 500_000
 PREFIXES = (4, 5, 6)
 MEMO = 400_000
-# Least share of toxic rows among those that have a feature, and least share of
-# all toxic rows that have it: what only a group of copies has tells little.
-PURE, SUPPORT = 0.9, 0.02
-# Log odds of a text without a telling word.
-PRIOR = math.log(0.02)
+# Score where nothing can be learnt.
+UNKNOWN = 0.02
+# Pseudo-rows that draw a ratio towards 0.
+SHRINK = 2.0
+# Evidence is held in steps of 1/STEPS between the bounds where shares are learnt.
+STEPS, LEAST, MOST = 10, -100.0, 300.0
 
 # Letters that get a class of their own (0 is the word border, 63 any other letter) ...
 LETTERS = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿß"
@@ -237,7 +247,7 @@ def word_weight(word: str, weights: dict[str, float]) -> float:
     """Log likelihood ratio of a word: its own, or else that of its most telling beginning."""
     if word in weights:
         return weights[word]
-    return max((weights[f] for f in word_features(word)[1:] if f in weights), default=0.0)
+    return max((weights[f] for f in word_features(word)[1:] if f in weights), key=abs, default=0.0)
 
 
 class Features:
@@ -247,51 +257,91 @@ class Features:
         self.logp = logp
         self.memo: dict[bytes, tuple] = {}
 
-    def tokens(self, text: str) -> set[bytes]:
-        """Distinct tokens, A-Z lower-cased, words spelt letter by letter decoded."""
-        data = b" " + text.encode("utf-8", "surrogatepass").lower().translate(PARTS) + b" "
-        found = set(data.split())
+    def parts(self, text: str) -> list[bytes]:
+        """Tokens in order, A-Z lower-cased."""
+        return text.encode("utf-8", "surrogatepass").lower().translate(PARTS).split()
+
+    def spelt(self, parts: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """Words spelt letter by letter, decoded, and what stands around them; blanks and marks between letters may be any."""
+        data = b" " + b" ".join(parts) + b" "
         for m in SPELT_OUT.finditer(data):
             joined = m.group().replace(b" ", b"").decode("utf-8", "replace")
             if any(c.isalpha() for c in joined):
-                found.update(decode(lattice(joined), self.logp, breaks=True).encode().split())
-        return found
+                around = data[max(0, m.start() - 8):m.start()] + b" " + data[m.end():m.end() + 8]
+                for token in decode(lattice(joined), self.logp, breaks=True).encode().split():
+                    yield token, around
 
-    def remembered(self, text: str | None, make) -> set:
-        """Union of what ``make`` (the same one in every call) gives for each token."""
-        found: set = set()
-        memo = self.memo
-        for token in self.tokens(text) if text else ():
-            known = memo.get(token)
-            if known is None:
-                known = make(token)
-                if len(memo) >= MEMO:
-                    memo.clear()
-                memo[token] = known
-            if known:
-                found.update(known)
-        return found
+    def tokens(self, text: str) -> set[bytes]:
+        """Distinct tokens and words spelt letter by letter."""
+        parts = self.parts(text)
+        return {*parts, *(token for token, _ in self.spelt(parts))}
+
+    def known(self, token: bytes, make) -> tuple:
+        known = self.memo.get(token)
+        if known is None:
+            known = make(token)
+            if len(self.memo) >= MEMO:
+                self.memo.clear()
+            self.memo[token] = known
+        return known
+
+    def words(self, token: bytes) -> list[str]:
+        return token_words(token, self.logp)
 
     def of(self, text: str | None) -> set[str]:
         """Distinct features."""
-        return self.remembered(text, lambda token: tuple(f for w in token_words(token, self.logp) for f in word_features(w)))
+        found: set[str] = set()
+        for token in self.tokens(text) if text else ():
+            found.update(self.known(token, lambda t: tuple(f for w in self.words(t) for f in word_features(w))))
+        return found
+
+    def placed(self, text: str | None, kept: set[str]) -> tuple[dict[str, int], dict[str, int]]:
+        """Words and features among ``kept``, each with a hash of the tokens beside its first place."""
+        words: dict[str, int] = {}
+        found: dict[str, int] = {}
+        if not text:
+            return words, found
+
+        def make(token: bytes) -> tuple:
+            out = ((w, tuple(f for f in word_features(w) if f in kept)) for w in self.words(token))
+            return tuple((w, own) for w, own in out if own)
+
+        def put(token: bytes, around: bytes) -> None:
+            for word, own in self.known(token, make):
+                context = zlib.crc32(around)
+                words.setdefault(word, context)
+                for f in own:
+                    found.setdefault(f, context)
+
+        parts = self.parts(text)
+        seen: set[bytes] = set()
+        for before, token, after in zip([b"", *parts], parts, [*parts[1:], b""]):
+            if token not in seen:
+                seen.add(token)
+                put(token, before + b" " + after)
+        for token, around in self.spelt(parts):
+            put(token, around)
+        return words, found
 
     def telling(self, text: str | None, weights: dict[str, float]) -> set[tuple[str, float]]:
         """Distinct words that carry weight."""
-        def weighed(token: bytes) -> tuple:
-            return tuple((w, x) for w in token_words(token, self.logp) if (x := word_weight(w, weights)))
-
-        return self.remembered(text, weighed)
+        found: set[tuple[str, float]] = set()
+        if not text:
+            return found
+        parts = self.parts(text)
+        for token in {*parts, *(token for token, _ in self.spelt(parts))}:
+            found.update(self.known(token, lambda t: tuple((w, x) for w in self.words(t) if (x := word_weight(w, weights)))))
+        return found
 
 
 # -- learning and scoring ----------------------------------------------------
 
 def labelled(docs: DataFrame, labels: DataFrame, training: Column) -> DataFrame:
-    """(text, toxic) of labelled training rows."""
+    """(text, toxic) of labelled training rows, each text once per label."""
     own = labels.where("doc_id is not null and toxic is not null").select("doc_id", F.col("toxic").cast("int").alias("_toxic"))
     if own.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS:
         own = F.broadcast(own)
-    return docs.where(training).select("doc_id", "text").join(own, "doc_id").select("text", F.col("_toxic").alias("toxic"))
+    return docs.where(training).select("doc_id", "text").join(own, "doc_id").select("text", F.col("_toxic").alias("toxic")).distinct()
 
 
 def feature_counts(rows: DataFrame, logp) -> DataFrame:
@@ -325,42 +375,124 @@ def feature_counts(rows: DataFrame, logp) -> DataFrame:
     return rows.mapInArrow(run, schema).groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
-def fit(spark: SparkSession, rows: DataFrame, logp, max_features: int = MAX_FEATURES) -> dict[str, float]:
-    """Log likelihood ratio of each kept feature."""
-    counts = write_read(feature_counts(rows, logp), f"{shared_dir(spark, 'toxicity')}/features")
-    whole = counts.where("feature is null").first()
-    pos, neg, seen = (whole["pos"], whole["neg"], counts.count()) if whole else (0, 0, 0)
-    if not pos:
-        return {}
-    base = pos / (pos + neg)
+def significance(pos: Column, neg: Column, whole_pos: int, whole_neg: int) -> Column:
+    """Log-likelihood ratio of a feature that stands in ``pos`` toxic and ``neg`` other texts."""
 
-    def part(n: Column, of: float) -> Column:
+    def part(n: Column, of: Column) -> Column:
         return F.when(n > 0, n * F.log(n / of)).otherwise(0.0)
 
-    have = F.col("pos") + F.col("neg")
-    rest = F.lit(float(pos + neg)) - have
-    missing_pos, missing_neg = F.lit(float(pos)) - F.col("pos"), F.lit(float(neg)) - F.col("neg")
-    g2 = 2 * (
-        part(F.col("pos"), have * base) + part(F.col("neg"), have * (1 - base)) + part(missing_pos, rest * base) + part(missing_neg, rest * (1 - base))
+    base = whole_pos / (whole_pos + whole_neg)
+    have = pos + neg
+    rest = F.lit(float(whole_pos + whole_neg)) - have
+    return 2 * (
+        part(pos, have * base) + part(neg, have * (1 - base))
+        + part(F.lit(float(whole_pos)) - pos, rest * base) + part(F.lit(float(whole_neg)) - neg, rest * (1 - base))
     )
-    toxic_share = (F.col("pos") + base) / (have + 1)
-    ratio = F.log((F.col("pos") + 0.1) / (pos + 0.1)) - F.log((F.col("neg") + 0.5) / (neg + 0.5))
-    kept = counts.where("feature is not null").withColumn("g2", g2).withColumn("ratio", ratio)
-    kept = kept.where((F.col("g2") >= 2 * math.log(seen)) & (toxic_share >= PURE) & (F.col("pos") >= SUPPORT * pos)).orderBy(F.desc("g2"), "feature").limit(max_features)
-    return {r["feature"]: float(r["ratio"]) for r in kept.select("feature", "ratio").collect()}
 
 
-def score_texts(docs: DataFrame, weights: dict[str, float], logp) -> DataFrame:
+def log_ratio(pos: float, neg: float, base: float) -> float:
+    """Log likelihood ratio drawn towards 0; ``base`` is the share of toxic texts."""
+    return math.log((max(pos, 0) + SHRINK * base) / (max(neg, 0) + SHRINK * (1 - base))) - math.log(base / (1 - base))
+
+
+EVIDENCE = StructType([
+    StructField("toxic", LongType()), StructField("words", ArrayType(StringType())), StructField("features", ArrayType(StringType())), StructField("contexts", ArrayType(LongType())),
+])
+
+
+def evidence(rows: DataFrame, kept, logp) -> DataFrame:
+    """Words and features of each training text that are among ``kept``, with the features' contexts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features, wanted = Features(logp.value), kept.value
+        for batch in batches:
+            out = {"toxic": batch.column(1).cast(pa.int64()), "words": [], "features": [], "contexts": []}
+            for text in batch.column(0).to_pylist():
+                words, found = features.placed(text, wanted)
+                out["words"].append(list(words))
+                out["features"].append(list(found))
+                out["contexts"].append(list(found.values()))
+            kinds = {"words": pa.list_(pa.string()), "features": pa.list_(pa.string()), "contexts": pa.list_(pa.int64())}
+            yield pa.RecordBatch.from_arrays([out["toxic"], *(pa.array(out[k], kind) for k, kind in kinds.items())], names=list(out))
+
+    return rows.select("text", "toxic").mapInArrow(run, EVIDENCE)
+
+
+def sums_by_label(given: DataFrame, counts, base: float) -> DataFrame:
+    """(alone, step, pos, neg): training texts by their sum and (alone = 1) by their strongest word, each without its own share in the counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = [{f: log_ratio(p, n - 1, base) for f, (p, n) in counts.value.items()}, {f: log_ratio(p - 1, n, base) for f, (p, n) in counts.value.items()}]
+        found: dict[tuple[int, int], list[int]] = {}
+        for batch in batches:
+            for toxic, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                weights = [word_weight(w, own[1 if toxic else 0]) for w in words]
+                for alone, x in enumerate((math.fsum(weights), max(weights, default=0.0))):
+                    found.setdefault((alone, round(min(MOST, max(LEAST, x)) * STEPS)), [0, 0])[0 if toxic else 1] += 1
+        columns = [[k[0] for k in found], [k[1] for k in found], [c[0] for c in found.values()], [c[1] for c in found.values()]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["alone", "step", "pos", "neg"])
+
+    schema = StructType([StructField(name, LongType()) for name in ("alone", "step", "pos", "neg")])
+    return given.select("toxic", "words").mapInArrow(run, schema).groupBy("alone", "step").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+
+
+def rising_shares(steps: list[tuple[float, int, int]]) -> list[tuple[float, float]]:
+    """(evidence, log odds) through the shares of (evidence, toxic, other), neighbours pooled until the shares rise."""
+    base = sum(p for _, p, _ in steps) / sum(p + n for _, p, n in steps)
+    blocks: list[list[float]] = []
+    for x, p, n in sorted(steps):
+        blocks.append([x, x, p, n])
+        while len(blocks) > 1 and blocks[-2][2] * (blocks[-1][2] + blocks[-1][3]) >= blocks[-1][2] * (blocks[-2][2] + blocks[-2][3]):
+            _, hi, p2, n2 = blocks.pop()
+            blocks[-1][1:] = [hi, blocks[-1][2] + p2, blocks[-1][3] + n2]
+    out, least = [], -math.inf
+    for lo, hi, p, n in blocks:
+        least = max(least, math.log((p + base) / (n + 1 - base)))
+        out += [(lo, least), (hi, least)]
+    return out
+
+
+class Model:
+    """Weights of features and the log odds that go with their sum and with the strongest one."""
+
+    def __init__(self, weights: dict[str, float], odds: list[list[tuple[float, float]]]):
+        self.weights, self.odds = weights, odds
+
+
+def fit(spark: SparkSession, rows: DataFrame, logp, max_features: int = MAX_FEATURES) -> Model:
+    """Learn from (text, toxic)."""
+    folder = shared_dir(spark, "toxicity")
+    rows = write_read(rows, f"{folder}/rows")
+    counts = write_read(feature_counts(rows, logp), f"{folder}/features")
+    whole = counts.where("feature is null").first()
+    pos, neg, seen = (whole["pos"], whole["neg"], counts.count()) if whole else (0, 0, 0)
+    if not pos or not neg:
+        return Model({}, [[(0.0, math.log(UNKNOWN / (1 - UNKNOWN)))]] * 2)
+    base, chance = pos / (pos + neg), 2 * math.log(seen)
+    kept = counts.where("feature is not null").withColumn("g2", significance(F.col("pos"), F.col("neg"), pos, neg)).where(F.col("g2") >= chance)
+    kept = {r["feature"]: (r["pos"], r["neg"]) for r in kept.orderBy(F.desc("g2"), "feature").limit(max_features).collect()}
+    given = write_read(evidence(rows, spark.sparkContext.broadcast(set(kept)), logp), f"{folder}/evidence")
+    pairs = given.select("toxic", F.explode(F.arrays_zip("features", "contexts")).alias("p")).select("p.features", "p.contexts", "toxic").distinct()
+    apart = pairs.groupBy(F.col("features").alias("feature")).agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg"))
+    apart = apart.where(significance(F.col("pos"), F.col("neg"), pos, neg) >= chance)
+    told = {r["feature"]: (r["pos"], r["neg"]) for r in apart.collect()}  # at most MAX_FEATURES rows
+    steps = sums_by_label(given, spark.sparkContext.broadcast(told), base).collect()
+    odds = [rising_shares([(r["step"] / STEPS, r["pos"], r["neg"]) for r in steps if r["alone"] == k]) for k in (0, 1)]
+    return Model({f: log_ratio(p, n, base) for f, (p, n) in told.items()}, odds)
+
+
+def score_texts(docs: DataFrame, model: Model, logp) -> DataFrame:
     """All columns of ``docs`` and ``score``."""
-    spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(weights)  # at most MAX_FEATURES entries
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.odds))  # at most MAX_FEATURES entries
 
     @F.pandas_udf(DoubleType())
     def score(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        features, known = Features(logp.value), model.value
+        features, (weights, odds) = Features(logp.value), shared.value
         for texts in series:
-            sums = [math.fsum(x for _, x in features.telling(t, known)) for t in texts]
-            yield pd.Series([1 / (1 + math.exp(-(PRIOR + x))) for x in sums], dtype="float64")
+            found = [[x for _, x in features.telling(t, weights)] for t in texts]
+            by_kind = ([math.fsum(x) for x in found], [max(x, default=0.0) for x in found])
+            level = np.max([np.interp(np.array(x, dtype="float64"), *np.array(o).T) for x, o in zip(by_kind, odds)], axis=0)
+            yield pd.Series(1 / (1 + np.exp(-level)), dtype="float64")
 
     return docs.withColumn("score", score("text"))
 

@@ -203,6 +203,30 @@ def test_toxicity_sees_through_noise(spark):
     assert score[3000] >= 0.7 and score[None] >= 0.7 and max(score[3001], score[3002], score[3003]) < 0.7
 
 
+def test_toxicity_learns_rare_words_and_counts_copies_once(spark):
+    rng = np.random.default_rng(5)
+    words = [f"{a}{b}{c}" for a in ("lam", "ten", "sor", "vid") for b in ("ari", "ope", "uni") for c in ("sta", "lor", "den", "mik", "fes")]
+    names = [f"{a}{b}" for a in ("zuk", "qir", "xob", "wyj", "pfa", "kru", "gno", "hja", "bwe", "yzo") for b in ("ax", "ept", "ulm", "ord", "iff", "yng", "osk", "ebb")]
+    rows, labels = [], []
+    for i in range(9000):
+        w = list(rng.choice(words, 25))
+        bad = i % 3 == 0
+        if bad:
+            w[int(rng.integers(0, 25))] = names[i // 3 % len(names)]
+        rows.append((i, " ".join(w)))
+        labels.append((i, 1, int(bad)))
+    for i in range(9000, 9400):  # edited copies of one toxic text share a word
+        w = ["calm", "stagnant", "waterfall", "behind", "narrow", "bridges", "under", words[i % 60]]
+        rows.append((i, " ".join(w)))
+        labels.append((i, 1, 1))
+    rows += [(20_000, "lamarista waterfall tenopelor"), *((30_000 + k, f"lamarista {w} tenopelor") for k, w in enumerate(names))]
+    given = docs(spark, rows)
+    score = {r.doc_id: r.score for r in toxicity.toxicity(given.select("doc_id", "text"), given, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    # Each of the 80 words stands in little over one in a hundred toxic rows.
+    assert [w for k, w in enumerate(names) if score[30_000 + k] < 0.7] == []
+    assert score[20_000] < 0.7
+
+
 def test_toxicity_filter_and_empty_tables(spark):
     rows, labels = toxic_corpus()
     given = docs(spark, [(*r, None, None, None, 1.0, "x") for r in rows], ", score double, _row string")

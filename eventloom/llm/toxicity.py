@@ -16,7 +16,9 @@
    counts as well. Its weight is its log ratio, of either sign, drawn towards 0.
 4. A text's evidence is the sum of the weights of its distinct words, and the
    strongest one alone (a sum of weak ones does not outdo it); a word
-   without a weight of its own takes that of its most telling beginning.
+   without a weight of its own takes that of its most telling beginning. Words
+   broken in two to four are put together where the whole is a strongly telling
+   word and the character model does not break it.
 5. The training texts, each summed without its own share in the counts, give the
    share of toxic ones by evidence, made to rise throughout (pooled adjacent
    violators): the score of a text is the larger of the shares at its sum and at
@@ -38,6 +40,7 @@ import math
 import re
 import zlib
 from collections.abc import Iterator
+from operator import concat
 
 import numpy as np
 import pandas as pd
@@ -60,6 +63,8 @@ MEMO = 400_000
 UNKNOWN = 0.02
 # Pseudo-rows that draw a ratio towards 0.
 SHRINK = 2.0
+# Least weight of a word that may be put together from fragments, and most fragments.
+STRONG, FRAGMENTS = math.log(10), 4
 # Evidence is held in steps of 1/STEPS between the bounds where shares are learnt.
 STEPS, LEAST, MOST = 10, -100.0, 300.0
 
@@ -81,6 +86,8 @@ REPEATED = re.compile(r"([^\W\d_])\1\1")
 PARTS = bytes(b if chr(b) not in " \t\n\r\v\f.,;:?\"')]}{[>%&~_-=/\\^`" else 32 for b in range(256))
 LETTER = rb"(?:[!-~]|[\xc2-\xdf][\x80-\xbf])"
 SPELT_OUT = re.compile(rb" " + LETTER + rb"(?: " + LETTER + rb"){2,}(?= )")
+WIDE = (b"\xc2\xa0", b"\xe2\x80", b"\xe3\x80\x80")
+BLANK = re.compile(rb"\xc2\xa0|\xe2\x80[\x80-\x8a\xaf]|\xe3\x80\x80")
 TRIPLE = re.compile(rb"([a-z])\1\1")
 DOTTED = re.compile(r"\w(?:[._\-]\w){2,}")
 SPELT = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
@@ -250,16 +257,26 @@ def word_weight(word: str, weights: dict[str, float]) -> float:
     return max((weights[f] for f in word_features(word)[1:] if f in weights), key=abs, default=0.0)
 
 
+def is_noisy(token: bytes) -> bool:
+    """A token that mixes letters and signs."""
+    return not token.isalpha() and bool(MIXED.search(token.decode("utf-8", "replace").lstrip(TRIM_FRONT).rstrip(TRIM_BACK)))
+
+
 class Features:
     """Distinct features of a text; what a token gives is remembered within a worker."""
 
     def __init__(self, logp: np.ndarray):
         self.logp = logp
         self.memo: dict[bytes, tuple] = {}
+        self.noisy: dict[bytes, bool] = {}
+        self.whole: dict[bytes, str] = {}
 
     def parts(self, text: str) -> list[bytes]:
         """Tokens in order, A-Z lower-cased."""
-        return text.encode("utf-8", "surrogatepass").lower().translate(PARTS).split()
+        data = text.encode("utf-8", "surrogatepass").lower()
+        if any(w in data for w in WIDE):
+            data = BLANK.sub(b" ", data)
+        return data.translate(PARTS).split()
 
     def spelt(self, parts: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
         """Words spelt letter by letter, decoded, and what stands around them; blanks and marks between letters may be any."""
@@ -323,13 +340,49 @@ class Features:
             put(token, around)
         return words, found
 
-    def telling(self, text: str | None, weights: dict[str, float]) -> set[tuple[str, float]]:
+    def is_noisy(self, token: bytes) -> bool:
+        known = self.noisy.get(token)
+        if known is None:
+            if len(self.noisy) >= MEMO:
+                self.noisy.clear()
+            known = self.noisy[token] = is_noisy(token)
+        return known
+
+    def restored(self, joined: bytes) -> str:
+        """Fragments put together, as the lattice with breaks has them."""
+        known = self.whole.get(joined)
+        if known is None:
+            if len(self.whole) >= MEMO:
+                self.whole.clear()
+            known = self.whole[joined] = decode(lattice(joined.decode("utf-8", "replace")), self.logp, breaks=True)
+        return known
+
+    def together(self, parts: list[bytes], strong: set[bytes]) -> set[bytes]:
+        """Words of ``strong`` that stand in fragments side by side."""
+        found: set[bytes] = set()
+        if len(parts) < 2 or not strong:
+            return found
+        joined = parts
+        for k in range(1, FRAGMENTS):
+            joined = list(map(concat, joined, parts[k:]))
+            found.update(w for w in strong.intersection(joined) if self.restored(w).encode() == w)
+        longest = 2 * max(map(len, strong))
+        signs = {t for t in set(parts) if self.is_noisy(t)}
+        for i in [i for i, t in enumerate(parts) if t in signs] if signs else ():
+            for lo in range(max(0, i - FRAGMENTS + 1), i + 1):
+                for hi in range(max(lo + 2, i + 1), min(len(parts), lo + FRAGMENTS) + 1):
+                    whole = b"".join(parts[lo:hi])
+                    if len(whole) <= longest and (word := self.restored(whole).encode()) in strong:
+                        found.add(word)
+        return found
+
+    def telling(self, text: str | None, weights: dict[str, float], strong: set[bytes]) -> set[tuple[str, float]]:
         """Distinct words that carry weight."""
         found: set[tuple[str, float]] = set()
         if not text:
             return found
         parts = self.parts(text)
-        for token in {*parts, *(token for token, _ in self.spelt(parts))}:
+        for token in {*parts, *(token for token, _ in self.spelt(parts)), *self.together(parts, strong)}:
             found.update(self.known(token, lambda t: tuple((w, x) for w in self.words(t) if (x := word_weight(w, weights)))))
         return found
 
@@ -457,6 +510,7 @@ class Model:
 
     def __init__(self, weights: dict[str, float], odds: list[list[tuple[float, float]]]):
         self.weights, self.odds = weights, odds
+        self.strong = {f.encode() for f, x in weights.items() if x >= STRONG and not f.endswith("~")}
 
 
 def fit(spark: SparkSession, rows: DataFrame, logp, max_features: int = MAX_FEATURES) -> Model:
@@ -483,13 +537,13 @@ def fit(spark: SparkSession, rows: DataFrame, logp, max_features: int = MAX_FEAT
 
 def score_texts(docs: DataFrame, model: Model, logp) -> DataFrame:
     """All columns of ``docs`` and ``score``."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.odds))  # at most MAX_FEATURES entries
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.strong, model.odds))  # at most MAX_FEATURES entries
 
     @F.pandas_udf(DoubleType())
     def score(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        features, (weights, odds) = Features(logp.value), shared.value
+        features, (weights, strong, odds) = Features(logp.value), shared.value
         for texts in series:
-            found = [[x for _, x in features.telling(t, weights)] for t in texts]
+            found = [[x for _, x in features.telling(t, weights, strong)] for t in texts]
             by_kind = ([math.fsum(x) for x in found], [max(x, default=0.0) for x in found])
             level = np.max([np.interp(np.array(x, dtype="float64"), *np.array(o).T) for x, o in zip(by_kind, odds)], axis=0)
             yield pd.Series(1 / (1 + np.exp(-level)), dtype="float64")

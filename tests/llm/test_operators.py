@@ -227,6 +227,18 @@ def test_toxicity_learns_rare_words_and_counts_copies_once(spark):
     assert score[20_000] < 0.7
 
 
+def test_toxicity_sees_spaced_and_broken_words(spark):
+    rows, labels = toxic_corpus()
+    forms = ["i  d  i  o  t", "i . d . i . o . t", "i, d, i, o, t", "i - d - i - o - t", "i\u00a0d\u00a0i\u00a0o\u00a0t", "id iot", "idi-ot", "id - iot", "1d 10t", "i di ot", "stu pid", "mo - r0n"]
+    clean = ["id est", "stu dio", "r  i  v  e  r", "win dow", "1 2 3"]
+    noisy = [(5000 + k, f"river stone {w} garden") for k, w in enumerate(forms)] + [(6000 + k, f"river stone {w} garden") for k, w in enumerate(clean)]
+    given = docs(spark, rows + noisy)
+    got = toxicity.toxicity(given.select("doc_id", "text"), given, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    score = {r.doc_id: r.score for r in got.where("doc_id >= 5000").collect()}
+    assert [w for k, w in enumerate(forms) if score[5000 + k] < 0.7] == []
+    assert [w for k, w in enumerate(clean) if score[6000 + k] >= 0.7] == []
+
+
 def test_toxicity_filter_and_empty_tables(spark):
     rows, labels = toxic_corpus()
     given = docs(spark, [(*r, None, None, None, 1.0, "x") for r in rows], ", score double, _row string")

@@ -7,8 +7,10 @@ import types
 import zlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -72,3 +74,31 @@ def write_read(df: DataFrame, path: str) -> DataFrame:
     """Cut the lineage: write Parquet to a shared path and read it back."""
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shuffle_partitions(spark: SparkSession) -> int:
+    """For work that is heavier than its rows are wide: adaptive execution joins no partitions that were asked for by number."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def sorted_runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, pa.Table]]:
+    """(key values, rows) for each run of equal values in the first ``keys`` columns of rows sorted by them."""
+    held: list[pa.RecordBatch] = []
+    current = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        changed = np.zeros(batch.num_rows, bool)
+        for k in range(keys):
+            column = batch.column(k)
+            changed[1:] |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+        bounds = [0, *np.flatnonzero(changed).tolist(), batch.num_rows]
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            key = tuple(batch.column(k)[a].as_py() for k in range(keys))
+            if held and key != current:
+                yield current, pa.Table.from_batches(held)
+                held = []
+            current = key
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield current, pa.Table.from_batches(held)

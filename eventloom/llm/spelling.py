@@ -124,7 +124,7 @@ def tile(first: list[str], second: list[str], longer: int, suffix: bool, same: b
     b, b_back = _points(second, longer, 1)
     ahead = _common(a, b)
     near = ahead + _common(a_back, b_back) >= longer - 1
-    full_a, full_b = np.array([len(w) == longer for w in first]), np.array([len(w) == longer for w in second])
+    full_a, full_b = np.array([len(w) == longer for w in first], bool), np.array([len(w) == longer for w in second], bool)
     near &= full_a[:, None] | full_b[None, :]
     if suffix:
         near &= ahead < longer // 2

@@ -38,6 +38,7 @@ from pyspark.sql.window import Window
 
 from eventloom.llm.registry import query, table
 from eventloom.llm.text import shuffle_partitions, sorted_runs, write_read
+from eventloom.plans.joins import few_rows, lookup_join
 from eventloom.session import shared_dir
 
 SCALE = 256
@@ -149,10 +150,12 @@ def _tiles(rows: DataFrame, anchors: DataFrame, by: list[str], anchor_block: int
     """Rows and anchors (with ``asked``) dealt to tiles, sorted by tile, anchors first: by, i, j, row, id, label, planes, packed, asked."""
     sizes = rows.groupBy(*by).agg(F.ceil(F.count("*") / row_block).alias("row_blocks"))
     sizes = anchors.groupBy(*by).agg(F.ceil(F.count("*") / anchor_block).alias("anchor_blocks")).join(sizes, by)
+    sizes = write_read(sizes, shared_dir(rows.sparkSession, "tiles"))
+    few = few_rows(sizes)
 
     def dealt(side: DataFrame, own: str, other: str, is_row: bool) -> DataFrame:
         block, every = F.pmod(F.xxhash64("id"), F.col(own)), F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1))
-        placed = side.join(sizes, by).withColumn("own", block).withColumn("other", every)
+        placed = lookup_join(side, sizes, by, few=few).withColumn("own", block).withColumn("other", every)
         i, j = ("other", "own") if is_row else ("own", "other")
         return placed.select(
             *[F.col(b).alias(f"by_{b}") for b in by], F.col(i).alias("i"), F.col(j).alias("j"), F.lit(is_row).alias("row"), "dims", "id", "label", "planes", "packed", "asked"

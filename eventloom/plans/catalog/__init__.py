@@ -41,4 +41,4 @@ def stamped(df: DataFrame, *cols: str) -> DataFrame:
 
 
 def load() -> None:
-    from eventloom.plans.catalog import decoding, delivery, reading, series, sources, streams  # noqa: F401
+    from eventloom.plans.catalog import decoding, delivery, lookups, reading, series, sources, streams  # noqa: F401

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.functions import wire
+from eventloom.functions.ids import event_id_at
+
 # Fixed values of the mapping.
 NAMES = {"purchase": "transfer", "signup": "mint", "click": "burn", "error": "clawback"}
 WIRE_CONTRACTS = 25
@@ -82,6 +84,12 @@ def ev(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events_from(table(spark, sf_dir, "events"))
 
 
+def encoded_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events under ids that encode their ledger."""
+    own = event_id_at(F.col("ledger"), F.col("event_id").cast("bigint"), F.lit(0))
+    return ev(spark, sf_dir).withColumns({"event_id": own, "paging_token": own})
+
+
 def _line_base(li: DataFrame) -> DataFrame:
     return li.select(
         "*",

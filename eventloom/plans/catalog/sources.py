@@ -10,7 +10,7 @@ from eventloom.plans.catalog import query
 from eventloom.plans.catalog.decoding import WIRE
 from eventloom.plans.oracle import stamp, with_views
 from eventloom.session import shared_dir
-from eventloom.sources import archive, entries, modules, pages, store
+from eventloom.sources import archive, entries, history, modules, pages, store
 from eventloom.sources.watchlist import watchlist, watchlist_total
 
 _ISO = "strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ')"
@@ -62,6 +62,36 @@ def _src_archive_rejects(spark, sf):
     return _archive(spark, sf)[1].groupBy("reason").agg(F.count("*").alias("lines"))
 
 
+def _history(spark, sf):
+    path = shared_dir(spark, "history")
+    history.write_history(M.history_lines(spark, sf), path)
+    return path
+
+
+@query("src_history", f"WITH b AS ({_BASE}) SELECT * FROM ({ARCHIVE}) WHERE ledger BETWEEN 340900000 AND 341200000")
+def _src_history(spark, sf):
+    """A ledger range of a foldered history, through the pluggable source."""
+    found = history.read_history(spark, _history(spark, sf), 340_900_000, 341_200_000)[0]
+    return found.withColumn("topics", F.array_join("topics", ","))
+
+
+@query("src_history_contract", f"WITH b AS ({_BASE}) SELECT * FROM ({ARCHIVE}) WHERE contract_id = 'C3'")
+def _src_history_contract(spark, sf):
+    found = history.read_history(spark, _history(spark, sf), contract_ids=["C3"])[0]
+    return found.withColumn("topics", F.array_join("topics", ","))
+
+
+@query("st_history", f"WITH b AS ({_BASE}) {ARCHIVE}")
+def _st_history(spark, sf):
+    """The same history followed as a stream, its ranges up to the last but one first."""
+    path = _history(spark, sf)
+    for final in (False, True):
+        raw = history.follow_history(spark, path, final=final).withColumn("topics", F.array_join("topics", ","))
+        kept = raw.writeStream.format("parquet").option("path", f"{path}-out").option("checkpointLocation", f"{path}-checkpoint")
+        kept.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}-out")
+
+
 @query(
     "src_pages",
     with_views(

@@ -390,8 +390,8 @@ def page_lines_from(e: DataFrame) -> DataFrame:
     return r.select(F.to_json(F.struct(F.col("ledger").alias("latestLedger"), F.array(entry).alias("events"))).alias("value"))
 
 
-def archive_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """History lines: flat records, envelopes, bad lines and comments by event id."""
+def history_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """History lines with the ledger they were written in: flat records, envelopes, bad lines and comments by event id."""
     e = table(spark, sf_dir, "events")
     n = F.col("event_id")
     ledger = text(_ledger("ts"))
@@ -414,7 +414,11 @@ def archive_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(n % 2 == 0, flat)
         .otherwise(F.concat(F.lit(" "), envelope, F.lit(" ")))
     )
-    return e.select(line.alias("value"))
+    return e.select(_ledger("ts").alias("ledger"), line.alias("value"))
+
+
+def archive_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history_lines(spark, sf_dir).select("value")
 
 
 def entry_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

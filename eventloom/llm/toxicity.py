@@ -75,6 +75,7 @@ SIGNS = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il",
     "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "*": "abcdefghijklmnopqrstuvwxyz", "#": "h", "?": "abcdefghijklmnopqrstuvwxyz",
 }
+SIGN_LETTERS = frozenset(SIGNS)
 CLASS = {c: i + 1 for i, c in enumerate(LETTERS)}
 OTHER = 63
 
@@ -257,9 +258,40 @@ def word_weight(word: str, weights: dict[str, float]) -> float:
     return max((weights[f] for f in word_features(word)[1:] if f in weights), key=abs, default=0.0)
 
 
-def is_noisy(token: bytes) -> bool:
-    """A token that mixes letters and signs."""
-    return not token.isalpha() and bool(MIXED.search(token.decode("utf-8", "replace").lstrip(TRIM_FRONT).rstrip(TRIM_BACK)))
+def word_trie(words: set[bytes]) -> dict:
+    """Letters as nested keys; the empty key ends a word."""
+    root: dict = {}
+    for word in words:
+        node = root
+        for c in word.decode("utf-8", "replace"):
+            node = node.setdefault(c, {})
+        node[""] = {}
+    return root
+
+
+def spells(token: str, trie: dict) -> bool | None:
+    """Whether the lattice of a token (without breaks) can spell a word of the trie; None if not even the beginning of one."""
+    nodes = [trie]
+    i, size = 0, len(token)
+    while i < size:
+        c, j = token[i], i + 1
+        while j < size and token[j] == c:
+            j += 1
+        letters = SIGNS.get(c) or (c if c.isalpha() else "")
+        if letters:
+            after = []
+            for node in nodes:
+                for letter in letters:
+                    child = node.get(letter)
+                    if child is not None:
+                        after.append(child)
+                        if j - i > 1 and letter in child:
+                            after.append(child[letter])
+            if not after:
+                return None
+            nodes = after
+        i = j
+    return any("" in node for node in nodes)
 
 
 class Features:
@@ -340,12 +372,15 @@ class Features:
             put(token, around)
         return words, found
 
-    def is_noisy(self, token: bytes) -> bool:
+    def opens(self, token: bytes) -> bool:
+        """A token that holds signs, but no plain number."""
+        if token.isalnum() and (token.isalpha() or token.isdigit()):
+            return False
         known = self.noisy.get(token)
         if known is None:
             if len(self.noisy) >= MEMO:
                 self.noisy.clear()
-            known = self.noisy[token] = is_noisy(token)
+            known = self.noisy[token] = not SIGN_LETTERS.isdisjoint(token.decode("utf-8", "replace"))
         return known
 
     def restored(self, joined: bytes) -> str:
@@ -357,32 +392,42 @@ class Features:
             known = self.whole[joined] = decode(lattice(joined.decode("utf-8", "replace")), self.logp, breaks=True)
         return known
 
-    def together(self, parts: list[bytes], strong: set[bytes]) -> set[bytes]:
-        """Words of ``strong`` that stand in fragments side by side."""
+    def together(self, parts: list[bytes], strong: set[bytes], trie: dict) -> set[bytes]:
+        """Words of ``strong`` (also as a ``trie``) that stand in fragments side by side, or in one token of signs.
+
+        Only windows whose lattice can spell such a word are decoded; from a
+        beginning that spells none no longer window is tried.
+        """
         found: set[bytes] = set()
-        if len(parts) < 2 or not strong:
+        if not strong:
             return found
         joined = parts
         for k in range(1, FRAGMENTS):
             joined = list(map(concat, joined, parts[k:]))
             found.update(w for w in strong.intersection(joined) if self.restored(w).encode() == w)
-        longest = 2 * max(map(len, strong))
-        signs = {t for t in set(parts) if self.is_noisy(t)}
+        signs = {t for t in set(parts) if self.opens(t)}
+        tried: dict[int, int] = {}
         for i in [i for i, t in enumerate(parts) if t in signs] if signs else ():
             for lo in range(max(0, i - FRAGMENTS + 1), i + 1):
-                for hi in range(max(lo + 2, i + 1), min(len(parts), lo + FRAGMENTS) + 1):
+                end = min(len(parts), lo + FRAGMENTS)
+                for hi in range(max(i + 1, tried.get(lo, 0)), end + 1):
                     whole = b"".join(parts[lo:hi])
-                    if len(whole) <= longest and (word := self.restored(whole).encode()) in strong:
+                    can = spells(whole.decode("utf-8", "replace").lower(), trie)
+                    if can is None:
+                        tried[lo] = end + 1
+                        break
+                    tried[lo] = hi + 1
+                    if can and (word := self.restored(whole).encode()) in strong:
                         found.add(word)
         return found
 
-    def telling(self, text: str | None, weights: dict[str, float], strong: set[bytes]) -> set[tuple[str, float]]:
+    def telling(self, text: str | None, weights: dict[str, float], strong: set[bytes], trie: dict) -> set[tuple[str, float]]:
         """Distinct words that carry weight."""
         found: set[tuple[str, float]] = set()
         if not text:
             return found
         parts = self.parts(text)
-        for token in {*parts, *(token for token, _ in self.spelt(parts)), *self.together(parts, strong)}:
+        for token in {*parts, *(token for token, _ in self.spelt(parts)), *self.together(parts, strong, trie)}:
             found.update(self.known(token, lambda t: tuple((w, x) for w in self.words(t) if (x := word_weight(w, weights)))))
         return found
 
@@ -542,8 +587,9 @@ def score_texts(docs: DataFrame, model: Model, logp) -> DataFrame:
     @F.pandas_udf(DoubleType())
     def score(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
         features, (weights, strong, odds) = Features(logp.value), shared.value
+        trie = word_trie(strong)
         for texts in series:
-            found = [[x for _, x in features.telling(t, weights, strong)] for t in texts]
+            found = [[x for _, x in features.telling(t, weights, strong, trie)] for t in texts]
             by_kind = ([math.fsum(x) for x in found], [max(x, default=0.0) for x in found])
             level = np.max([np.interp(np.array(x, dtype="float64"), *np.array(o).T) for x, o in zip(by_kind, odds)], axis=0)
             yield pd.Series(1 / (1 + np.exp(-level)), dtype="float64")

@@ -5,8 +5,7 @@ up and then timed; the whole result is produced (noop sink), never sampled.
 ``ingest`` is the reference workload: undecoded events are read from files,
 decoded, enriched, de-duplicated, stored and projected; its rate is reported
 as events per second. ``ingest_tail`` is the last of several smaller batches
-into the store that the first one filled, with re-read ledgers compared and the
-store folded on the way.
+into the store that the first one filled, with re-read ledgers compared.
 """
 
 from __future__ import annotations
@@ -75,7 +74,7 @@ def main() -> None:
     step_events = step.count()
     for k in range(1, TAIL_BATCHES + 1):
         more = step.withColumn("event_id", F.concat(F.lit(f"b{k}-"), F.col("event_id"))).withColumn("ledger", F.col("ledger") + 10 * k)
-        seconds["ingest_tail"] = timed(lambda: ingest.ingest_batch(more, k, f"{base}/out", known, reorg_ledgers=1000, fold_every=5))
+        seconds["ingest_tail"] = timed(lambda: ingest.ingest_batch(more, k, f"{base}/out", known, reorg_ledgers=1000))
     print(
         json.dumps(
             {

@@ -21,25 +21,34 @@ UPGRADE_TYPE, EVENT_TYPE = "contract.upgraded", "contract.event"
 HOUR_SECONDS = 3600
 
 
+def _with_both_ids(matches: DataFrame) -> DataFrame:
+    for name, kind in (("event_id", "string"), ("upgrade_id", "bigint")):
+        if name not in matches.columns:
+            matches = matches.withColumn(name, F.lit(None).cast(kind))
+    return matches.select("subscription_id", "event_id", "upgrade_id")
+
+
+def pending(matches: DataFrame, now: Column) -> DataFrame:
+    """Pending deliveries of matches; each row becomes one."""
+    return _with_both_ids(matches).select(
+        "subscription_id", "event_id", "upgrade_id",
+        F.lit("pending").alias("status"), F.lit(0).alias("attempts"), F.lit(None).cast("string").alias("last_error"),
+        now.alias("next_attempt_at"), F.lit(None).cast("timestamp").alias("delivered_at"), now.alias("created_at"),
+    )
+
+
 def enqueue(deliveries: DataFrame, matches: DataFrame, now: Column) -> DataFrame:
     """New pending deliveries for matches not queued yet.
 
     ``matches`` has subscription_id and event_id or upgrade_id.
     """
-    for name, kind in (("event_id", "string"), ("upgrade_id", "bigint")):
-        if name not in matches.columns:
-            matches = matches.withColumn(name, F.lit(None).cast(kind))
     # Exactly one of the two ids is set; a text of it makes an ordinary join key.
     item = F.coalesce(F.concat(F.lit("e:"), F.col("event_id")), F.concat(F.lit("u:"), F.col("upgrade_id").cast("string")))
-    new = matches.select("subscription_id", "event_id", "upgrade_id").withColumn("_item", item)
+    new = _with_both_ids(matches).withColumn("_item", item)
     known = deliveries.select("subscription_id", item.alias("_item"))
     # Repeats are dropped among what is new, not among all matches.
     fresh = new.join(known, ["subscription_id", "_item"], "left_anti").select("subscription_id", "event_id", "upgrade_id").distinct()
-    return fresh.select(
-        "subscription_id", "event_id", "upgrade_id",
-        F.lit("pending").alias("status"), F.lit(0).alias("attempts"), F.lit(None).cast("string").alias("last_error"),
-        now.alias("next_attempt_at"), F.lit(None).cast("timestamp").alias("delivered_at"), now.alias("created_at"),
-    )
+    return pending(fresh, now)
 
 
 def _upgrade_json() -> Column:

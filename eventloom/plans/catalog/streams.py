@@ -68,11 +68,14 @@ def _st_reorg_cycles(spark, sf):
     base = shared_dir(spark, "reorg")
     e = M.table(spark, sf, "events")
     changed = e.where("event_id % 3 = 0").withColumn("value", F.col("value") + 1)
-    for part in (e, changed, changed, e.where("event_id % 6 = 0")):
+    for k, part in enumerate((e, changed, changed, e.where("event_id % 6 = 0"))):
         M.page_lines_from(part).write.mode("append").text(f"{base}/pages")
-        # One batch per cycle; the store is folded in between.
-        ingest.start_ingest(spark, f"{base}/pages", f"{base}/out", f"{base}/checkpoint", reorg_ledgers=WINDOW, fold_every=2).awaitTermination()
-    return ingest.committed_events(spark, f"{base}/out").select("event_id", "decoded_value")
+        # One batch per cycle; the store is compacted before the third.
+        out = f"{base}/out{k // 2}"
+        if k == 2:
+            ingest.compact(spark, f"{base}/out0", out)
+        ingest.start_ingest(spark, f"{base}/pages", out, f"{base}/checkpoint", reorg_ledgers=WINDOW).awaitTermination()
+    return ingest.committed_events(spark, out).select("event_id", "decoded_value")
 
 
 @query("st_dedup", with_views(f"SELECT {_EVENT_OUT} FROM ev"))

@@ -18,6 +18,9 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # Stream state beyond memory; only changes are uploaded per batch.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     # The JVM never compiles methods above 8000 bytes; such a stage runs faster
     # as separate operators than as one interpreted method.
     "spark.sql.codegen.hugeMethodLimit": "8000",

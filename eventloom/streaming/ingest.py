@@ -24,8 +24,11 @@ VERTICALS = {
     "liquidity_events": verticals.liquidity_events,
 }
 STORED = T.StructType([*EVENTS.fields, T.StructField("ledger_bucket", T.LongType())])
-# Batches after which the store is folded.
-FOLD_EVERY = 50
+# One row per finished batch, written last: what readers take as the end of the tables.
+CYCLES = "cycles"
+CYCLE = T.StructType([
+    T.StructField("last_ledger", T.LongType()), T.StructField("at", T.TimestampType()), T.StructField("errors", T.LongType()), T.StructField("ingested", T.LongType()),
+])
 # Ledger folders a batch may name one by one; a batch over more reads from the first to the last.
 NAMED_BUCKETS = 500
 
@@ -41,12 +44,18 @@ def _overlaid(base: DataFrame, revisions: DataFrame) -> DataFrame:
     ])
 
 
+def next_batch(spark: SparkSession, out: str) -> int:
+    """One more than the last finished batch: the log of cycles is written after a batch's tables."""
+    last = tables.stored(spark, out, CYCLES, CYCLE).agg(F.max("batch")).first()[0]
+    return 0 if last is None else last + 1
+
+
 def committed_events(spark: SparkSession, out: str, from_ledger: int | None = None, to_ledger: int | None = None) -> DataFrame:
-    """Events of committed batches with their newest re-scanned content; other ledgers' folders are not read."""
-    return _between(spark, out, None, from_ledger, to_ledger).select(*EVENT_COLUMNS)
+    """Events of finished batches with their newest re-scanned content; other ledgers' folders are not read."""
+    return _between(spark, out, next_batch(spark, out), from_ledger, to_ledger).select(*EVENT_COLUMNS)
 
 
-def _between(spark: SparkSession, out: str, before: int | None, low: int | None, high: int | None) -> DataFrame:
+def _between(spark: SparkSession, out: str, before: int, low: int | None, high: int | None) -> DataFrame:
     where = F.lit(True)
     if low is not None:
         where = where & (F.col("ledger_bucket") >= low // LEDGERS_PER_BUCKET) & (F.col("ledger") >= low)
@@ -60,7 +69,7 @@ def _between(spark: SparkSession, out: str, before: int | None, low: int | None,
 def committed_rows(spark: SparkSession, out: str, table: str) -> DataFrame:
     """Rows of one of the derived tables (``VERTICALS``)."""
     schema = VERTICALS[table](spark.createDataFrame([], EVENTS)).schema
-    return tables.stored(spark, out, table, _foldered(schema)).select(*schema.names)
+    return tables.stored(spark, out, table, _foldered(schema), next_batch(spark, out)).select(*schema.names)
 
 
 def _foldered(schema: T.StructType) -> T.StructType:
@@ -69,7 +78,7 @@ def _foldered(schema: T.StructType) -> T.StructType:
 
 def committed_summaries(spark: SparkSession, out: str) -> DataFrame:
     """Running summaries: the per-batch partial rows folded together."""
-    parts = tables.stored(spark, out, "contract_summaries", SUMMARIES)
+    parts = tables.stored(spark, out, "contract_summaries", SUMMARIES, next_batch(spark, out))
     return parts.groupBy("contract_id").agg(
         F.sum("event_count").alias("event_count"),
         F.min("first_seen_ledger").alias("first_seen_ledger"),
@@ -78,22 +87,19 @@ def committed_summaries(spark: SparkSession, out: str) -> DataFrame:
 
 
 def ingest_batch(raw: DataFrame, batch_id: int, out: str, interfaces: DataFrame | None = None, reorg_ledgers: int = 0,
-                 ids_pin_ledger: bool = True, fold_every: int = FOLD_EVERY) -> None:
+                 ids_pin_ledger: bool = True) -> None:
     """Store one micro-batch of raw events and everything derived from it.
 
     An event id encodes its ledger, so with ``ids_pin_ledger`` the store is
     read only in the ledger folders the batch touches. With ``reorg_ledgers``,
     re-read events of the last ledgers become revisions where their content
-    differs from what the store shows for them. A batch that a fold already
-    holds is done.
+    differs from what the store shows for them.
     """
     spark = raw.sparkSession
-    if batch_id <= tables.marked(spark, out, tables.FOLDED):
-        return
-    # The batch is decoded once: staged, then read back by every step.
-    tables.put(to_events(raw, interfaces), out, "staging", batch_id)
-    staged = f"{out}/staging/batch={batch_id}"
-    incoming = spark.read.parquet(staged)
+    # The batch is decoded once: staged, then read back by every step. The next batch replaces it.
+    decoded = to_events(raw, interfaces)
+    decoded.write.mode("overwrite").parquet(f"{out}/staging")
+    incoming = spark.read.schema(decoded.schema).parquet(f"{out}/staging")
     rows = with_bucket(incoming.select(*EVENT_COLUMNS))
     span = rows.agg(
         F.min("ledger").alias("low"), F.max("ledger").alias("high"), F.slice(F.collect_set("ledger_bucket"), 1, NAMED_BUCKETS + 1).alias("buckets")
@@ -110,35 +116,35 @@ def ingest_batch(raw: DataFrame, batch_id: int, out: str, interfaces: DataFrame
     tables.put(contract_summaries(own), out, "contract_summaries", batch_id)
     if reorg_ledgers > 0:
         first = (span["high"] or 0) - reorg_ledgers
-        shown = _between(spark, out, batch_id, first, None).where(F.col("ledger_bucket").isin(span["buckets"])) if span["buckets"] and len(span["buckets"]) <= NAMED_BUCKETS else _between(spark, out, batch_id, first, None)
+        shown = _between(spark, out, batch_id, first, None)
+        if span["buckets"] and len(span["buckets"]) <= NAMED_BUCKETS:
+            shown = shown.where(F.col("ledger_bucket").isin(span["buckets"]))
         tables.put(with_bucket(changed_content(shown, rows.where(F.col("ledger") >= first)).select(*EVENT_COLUMNS)), out, "revisions", batch_id, by=["ledger_bucket"])
     log = incoming.agg(F.max("ledger").alias("last_ledger"), F.max("ledger_closed_at").alias("at"), F.count_if("bad_close_time").alias("errors"))
-    tables.commit(out, batch_id, log.crossJoin(own.agg(F.count("*").alias("ingested"))))  # one row each
-    tables.Files(spark, out).drop(staged)
-    if batch_id - tables.marked(spark, out, tables.FOLDED) >= fold_every:
-        fold(spark, out)
-
+    tables.put(log.withColumn("ingested", F.lit(own.count()).cast("bigint")), out, CYCLES, batch_id)
 
-def fold(spark: SparkSession, out: str) -> None:
-    """Fold all committed batches: revisions into their events, summaries into one row per contract."""
-    def vertical(name: str):
-        return lambda: tables.stored(spark, out, name, _foldered(VERTICALS[name](spark.createDataFrame([], EVENTS)).schema))
 
-    tables.fold(spark, out, {
-        "events": (lambda: clustered(committed_events(spark, out)), ["ledger_bucket"]),
-        **{name: (vertical(name), ["ledger_bucket"]) for name in VERTICALS},
-        "contract_summaries": (lambda: committed_summaries(spark, out), []),
-        "revisions": (lambda: tables.stored(spark, out, "revisions", STORED).limit(0), ["ledger_bucket"]),
-    })
+def compact(spark: SparkSession, out: str, target: str, first_ledger: int | None = None) -> None:
+    """Write the finished batches of a store as one batch of a new one: revisions into their events, one summary row per contract.
 
-
-def retain(spark: SparkSession, out: str, first_ledger: int) -> int:
-    """Drop whole ledger folders before a ledger from the event and derived tables; how many went.
-
-    The folder that holds the ledger itself stays whole.
+    A plain batch job for between two runs of the stream, which then goes on
+    from ``target`` with the same checkpoint. Rows before ``first_ledger`` are
+    left behind, with whole folders not read at all.
     """
-    bucket = first_ledger // LEDGERS_PER_BUCKET
-    return sum(tables.drop_folders(spark, out, name, "ledger_bucket", bucket) for name in ("events", "revisions", *VERTICALS))
+    last = next_batch(spark, out) - 1
+    if last < 0:
+        return
+    tables.put(clustered(_between(spark, out, last + 1, first_ledger, None).select(*EVENT_COLUMNS)), target, "events", last, by=["ledger_bucket"])
+    for name, project in VERTICALS.items():
+        rows = tables.stored(spark, out, name, _foldered(project(spark.createDataFrame([], EVENTS)).schema), last + 1).drop("batch")
+        if first_ledger is not None:
+            rows = rows.where((F.col("ledger_bucket") >= first_ledger // LEDGERS_PER_BUCKET) & (F.col("ledger") >= first_ledger))
+        tables.put(clustered(rows.drop("ledger_bucket")), target, name, last, by=["ledger_bucket"])
+    # Summaries are lifetime counts: they outlive pruned events.
+    tables.put(committed_summaries(spark, out), target, "contract_summaries", last)
+    cycles = tables.stored(spark, out, CYCLES, CYCLE, last + 1)
+    totals = cycles.agg(F.max("last_ledger").alias("last_ledger"), F.max("at").alias("at"), F.sum("errors").alias("errors"), F.sum("ingested").alias("ingested"))
+    tables.put(totals, target, CYCLES, last)
 
 
 def changed_content(known: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -153,7 +159,7 @@ def changed_content(known: DataFrame, incoming: DataFrame) -> DataFrame:
 
 def start_ingest(spark: SparkSession, pages_dir: str, out: str, checkpoint: str, interfaces: DataFrame | None = None,
                  contract_ids: Sequence[str] = (), reorg_ledgers: int = 0, max_files: int | None = None,
-                 trigger: dict | None = None, ids_pin_ledger: bool = True, fold_every: int = FOLD_EVERY) -> StreamingQuery:
+                 trigger: dict | None = None, ids_pin_ledger: bool = True) -> StreamingQuery:
     """Follow a folder of landed pages. The checkpoint is the ledger cursor."""
     reader = spark.readStream.format("text").schema("value string")
     if max_files is not None:
@@ -161,7 +167,7 @@ def start_ingest(spark: SparkSession, pages_dir: str, out: str, checkpoint: str,
     raw = parse_pages(reader.load(pages_dir), contract_ids)
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        ingest_batch(batch, batch_id, out, interfaces, reorg_ledgers, ids_pin_ledger, fold_every)
+        ingest_batch(batch, batch_id, out, interfaces, reorg_ledgers, ids_pin_ledger)
 
     return raw.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

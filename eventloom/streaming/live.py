@@ -10,12 +10,13 @@ from pyspark.sql.streaming import StreamingQuery
 
 from eventloom.operators import matching
 from eventloom.operators.aggregates import BUCKET_TEXT, contract_summaries
-from eventloom.operators.deliveries import enqueue
+from eventloom.operators.deliveries import pending
 from eventloom.operators.reads import event_json, matching as equal
-from eventloom.schemas import QUEUED
 from eventloom.streaming import tables
 
 NOW_ONCE = {"availableNow": True}
+# How long an item that was fanned out is remembered: as long as nodes can be asked for it again.
+KEPT_FOR = "7 days"
 
 
 def dedup_stream(ev: DataFrame, lateness: str = "1 hour") -> DataFrame:
@@ -47,11 +48,10 @@ def tail_stream(ev: DataFrame, contract_id: str | None = None, event_name: str |
 
 
 def start_updates(df: DataFrame, out: str, table: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Update-mode sink: each batch writes the rows that changed in it."""
+    """Update-mode sink: each batch writes the rows that changed in it; ``tables.compact_updates`` sums them up."""
 
     def store(batch: DataFrame, batch_id: int) -> None:
         tables.put(batch, out, table, batch_id)
-        tables.commit(out, batch_id, batch.sparkSession.range(1).select(F.lit(table).alias("table_name")))
 
     query = df.writeStream.outputMode("update").foreachBatch(store).option("checkpointLocation", checkpoint)
     return query.trigger(**(trigger or NOW_ONCE)).start()
@@ -66,31 +66,39 @@ def start_tail(df: DataFrame, out: str, checkpoint: str, trigger: dict | None =
 
     def store(batch: DataFrame, batch_id: int) -> None:
         tables.put(batch.orderBy("ledger", "event_id"), out, "tail", batch_id)
-        tables.commit(out, batch_id, batch.sparkSession.range(1).select(F.lit("tail").alias("table_name")))
 
     return df.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(**(trigger or NOW_ONCE)).start()
 
 
+def first_seen(stream: DataFrame, keys: list[str], kept_for: str = KEPT_FOR) -> DataFrame:
+    """Each key once: rows whose key arrived before, within ``kept_for`` of arrival, are dropped.
+
+    The bound is on arrival, not on the rows' own time, so old rows are never
+    late and none is lost. Keys live in the state store for that long.
+    """
+    arrived = stream.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", kept_for)
+    return arrived.dropDuplicatesWithinWatermark(keys).drop("_arrived")
+
+
 def start_fanout(events: DataFrame, upgrades: DataFrame, subscriptions: Callable[[], DataFrame], out: str, checkpoint: str,
-                 now: Callable[[], Column] = F.current_timestamp, trigger: dict | None = None) -> tuple[StreamingQuery, StreamingQuery]:
+                 now: Callable[[], Column] = F.current_timestamp, trigger: dict | None = None, kept_for: str = KEPT_FOR) -> tuple[StreamingQuery, StreamingQuery]:
     """Two independent fan-outs with their own positions.
 
-    ``subscriptions`` is read anew for every batch, so a subscription sees only
-    items that arrive once it exists.
+    An item passes once (``first_seen``), so each (subscription, item) is queued
+    once without a look at what was queued before: a batch costs what it
+    brings, however long the history. ``subscriptions`` is read anew for every
+    batch, so a subscription sees only items that arrive once it exists.
     """
 
-    def start(name: str, stream: DataFrame, match) -> StreamingQuery:
+    def start(name: str, stream: DataFrame, key: str, match) -> StreamingQuery:
         def store(batch: DataFrame, batch_id: int) -> None:
-            base = f"{out}/{name}"
-            queued = tables.stored(batch.sparkSession, base, "deliveries", QUEUED, before=batch_id)
-            made = enqueue(queued, match(batch, subscriptions()), now())
-            tables.put(made, base, "deliveries", batch_id)
-            tables.commit(base, batch_id, batch.sparkSession.range(1).select(F.lit(name).alias("table_name")))
+            made = pending(match(batch, subscriptions()).distinct(), now())
+            tables.put(made, f"{out}/{name}", "deliveries", batch_id)
 
-        query = stream.writeStream.foreachBatch(store).option("checkpointLocation", f"{checkpoint}/{name}")
+        query = first_seen(stream, [key], kept_for).writeStream.foreachBatch(store).option("checkpointLocation", f"{checkpoint}/{name}")
         return query.trigger(**(trigger or NOW_ONCE)).start()
 
     return (
-        start("events", events, matching.match_events),
-        start("upgrades", upgrades, matching.match_upgrades),
+        start("events", events, "event_id", matching.match_events),
+        start("upgrades", upgrades, "id", matching.match_upgrades),
     )

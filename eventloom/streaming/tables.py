@@ -1,50 +1,21 @@
-"""Batch-addressed tables: every micro-batch owns its folders.
+"""Tables written by micro-batches: ordinary partitioned tables with the batch as first partition.
 
-A micro-batch writes ``table/batch=<id>`` and replaces that whole folder, so a
-replay leaves nothing of an earlier attempt, also when it has fewer rows or
-none. A mark set last makes the batch visible. Marks are one or two names in a
-folder of their own, so looking up the newest takes the same time however many
-batches there were. ``fold`` writes what is visible so far as one table per
-name; readers take the fold and the few batches after it and never list older
-folders.
+A micro-batch writes ``table/batch=<id>`` in overwrite mode, so a replay leaves
+nothing of an earlier attempt, also when it has fewer rows or none. Readers
+read the table's folder. Compaction is a plain batch job that writes what a
+reader sees into a new table, from which the stream then goes on; the old one
+stays until nobody reads it, so no reader and no recomputation loses files.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-COMMITS = "commits"
-LAST, FOLDED = "last", "folded"
-
-
-class Files:
-    """The few file-system calls the store needs, on whatever store the path names."""
-
-    def __init__(self, spark: SparkSession, base: str):
-        self.jvm = spark._jvm
-        self.fs = self.path(base).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def path(self, text: str):
-        return self.jvm.org.apache.hadoop.fs.Path(text)
-
-    def exists(self, text: str) -> bool:
-        return self.fs.exists(self.path(text))
-
-    def names(self, text: str) -> list[str]:
-        if not self.exists(text):
-            return []
-        return [status.getPath().getName() for status in self.fs.listStatus(self.path(text))]
-
-    def make(self, text: str) -> None:
-        self.fs.mkdirs(self.path(text))
-
-    def drop(self, text: str) -> None:
-        self.fs.delete(self.path(text), True)
-
 
 def put(df: DataFrame, base: str, table: str, batch_id: int, by: Sequence[str] = ()) -> None:
     """Replace a batch's rows of a table, optionally foldered by ``by``."""
@@ -52,84 +23,16 @@ def put(df: DataFrame, base: str, table: str, batch_id: int, by: Sequence[str] =
     (writer.partitionBy(*by) if by else writer).parquet(f"{base}/{table}/batch={batch_id}")
 
 
-def commit(base: str, batch_id: int, summary: DataFrame) -> None:
-    """Make a batch visible; ``summary`` is its one-row log entry."""
-    put(summary, base, COMMITS, batch_id)
-    _mark(summary.sparkSession, base, LAST, batch_id)
-
-
-def _mark(spark: SparkSession, base: str, kind: str, batch_id: int) -> None:
-    """Set the newest mark, then drop older ones; a reader in between sees both and takes the larger."""
-    files = Files(spark, base)
-    files.make(f"{base}/marks/{kind}-{batch_id}")
-    for name in files.names(f"{base}/marks"):
-        if name.startswith(f"{kind}-") and int(name.split("-")[1]) < batch_id:
-            files.drop(f"{base}/marks/{name}")
-
-
-def marked(spark: SparkSession, base: str, kind: str) -> int:
-    """Newest batch with a mark of a kind, -1 for none."""
-    found = [int(name.split("-")[1]) for name in Files(spark, base).names(f"{base}/marks") if name.startswith(f"{kind}-")]
-    return max(found, default=-1)
-
-
 def stored(spark: SparkSession, base: str, table: str, schema: T.StructType, before: int | None = None) -> DataFrame:
-    """Committed rows of a table and their batch, of batches before ``before`` when given.
-
-    Batches commit in order, so the newest mark bounds the visible ones. Rows
-    of a fold carry the fold's batch.
-    """
-    last, fold = marked(spark, base, LAST), marked(spark, base, FOLDED)
-    if before is not None:
-        last = min(last, before - 1)
-    files = Files(spark, base)
-    read = spark.read.schema(T.StructType([*[f for f in schema.fields if f.name != "batch"], T.StructField("batch", T.LongType())]))
-    parts = []
-    if 0 <= fold and files.exists(f"{base}/{FOLDED}/{table}/batch={fold}"):
-        parts.append(read.option("basePath", f"{base}/{FOLDED}/{table}").parquet(f"{base}/{FOLDED}/{table}/batch={fold}"))
-    fresh = [path for b in range(fold + 1, last + 1) if files.exists(path := f"{base}/{table}/batch={b}")]
-    if fresh:
-        parts.append(read.option("basePath", f"{base}/{table}").parquet(*fresh))
-    if not parts:
-        return spark.createDataFrame([], schema).withColumn("batch", F.lit(None).cast("bigint"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
-
-
-def fold(spark: SparkSession, base: str, tables: dict[str, tuple[Callable[[], DataFrame], Sequence[str]]]) -> None:
-    """Write each table's visible rows as one; the mark switches readers over, then what it replaces is dropped.
-
-    ``tables`` gives, per name, the rows to keep and the columns to folder by.
-    """
-    last, old = marked(spark, base, LAST), marked(spark, base, FOLDED)
-    if last <= old:
-        return
-    for name, (rows, by) in tables.items():
-        writer = rows().drop("batch").write.mode("overwrite").option("partitionOverwriteMode", "static")
-        (writer.partitionBy(*by) if by else writer).parquet(f"{base}/{FOLDED}/{name}/batch={last}")
-    _mark(spark, base, FOLDED, last)
-    files = Files(spark, base)
-    for name in tables:
-        if old >= 0:
-            files.drop(f"{base}/{FOLDED}/{name}/batch={old}")
-        for b in range(old + 1, last + 1):
-            files.drop(f"{base}/{name}/batch={b}")
-
-
-def drop_folders(spark: SparkSession, base: str, table: str, column: str, below: int) -> int:
-    """Drop the folders ``column=<n>`` with n below a bound; how many went."""
-    last, fold_at = marked(spark, base, LAST), marked(spark, base, FOLDED)
-    files = Files(spark, base)
-    roots = [f"{base}/{FOLDED}/{table}/batch={fold_at}", *[f"{base}/{table}/batch={b}" for b in range(fold_at + 1, last + 1)]]
-    gone = 0
-    for root in roots:
-        for name in files.names(root):
-            if name.startswith(f"{column}=") and name.split("=")[1].lstrip("-").isdigit() and int(name.split("=")[1]) < below:
-                files.drop(f"{root}/{name}")
-                gone += 1
-    return gone
+    """Rows of a table and their batch, of batches before ``before`` when given; none if nothing was written yet."""
+    typed = T.StructType([*[f for f in schema.fields if f.name != "batch"], T.StructField("batch", T.LongType())])
+    try:
+        found = spark.read.schema(typed).parquet(f"{base}/{table}")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], typed)
+    return found if before is None else found.where(F.col("batch") < before)
 
 
 def newest_per_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -137,3 +40,11 @@ def newest_per_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     rest = [c for c in df.columns if c not in (*keys, "batch")]
     picked = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r"))
     return picked.select(*keys, *[F.col(f"r.{c}").alias(c) for c in rest])
+
+
+def compact_updates(spark: SparkSession, base: str, table: str, schema: T.StructType, keys: Sequence[str], target: str) -> None:
+    """Write an update-mode table's newest rows into a new folder, as its last batch; run it between two runs of the stream."""
+    rows = stored(spark, base, table, schema)
+    last = rows.agg(F.max("batch")).first()[0]
+    if last is not None:
+        put(newest_per_key(rows, keys), target, table, last)

@@ -1,5 +1,6 @@
 import json
 import os
+import time
 
 import pytest
 from conftest import rows
@@ -68,11 +69,15 @@ def test_unfinished_batch_is_invisible(spark, folder, monkeypatch):
     out = f"{folder}/out"
     from eventloom.sources.pages import read_pages
 
-    def fail(*args):
-        raise RuntimeError("lost")
+    put = tables.put
+
+    def lost_at_the_end(df, base, table, *rest, **by):
+        if table == ingest.CYCLES:
+            raise RuntimeError("lost")
+        put(df, base, table, *rest, **by)
 
     with monkeypatch.context() as m:
-        m.setattr(tables, "commit", fail)
+        m.setattr(tables, "put", lost_at_the_end)
         with pytest.raises(RuntimeError):
             ingest.ingest_batch(read_pages(spark, f"{folder}/pages"), 1, out)
     assert rows(ingest.committed_events(spark, out), "event_id") == [("e1",)]
@@ -106,32 +111,42 @@ def test_a_replay_replaces_all_its_rows(spark, folder):
         name = f"t{len(by)}"
         tables.put(df, folder, name, 0, by)
         tables.put(df.limit(0), folder, name, 0, by)
-        tables.commit(folder, 0, spark.range(1))
         assert tables.stored(spark, folder, name, df.schema).count() == 0
 
 
-def test_folding_keeps_what_readers_see(spark, folder):
+def test_compaction_keeps_what_readers_see(spark, folder):
+    """The stream goes on from the compacted store; the old one stays readable."""
     out = f"{folder}/out"
-    for k in range(5):
+    for k in range(6):
         land(folder, f"{k}.json", entry(f"e{k}", 500 + k), entry("e0", 500, amount=5 + k % 2), entry(f"s{k}", 20_000 + k, "swap"))
-        follow(spark, folder, reorg_ledgers=30_000, fold_every=2)
+        if k in (2, 4):
+            held = ingest.committed_events(spark, out)
+            before = rows(held)
+            ingest.compact(spark, out, f"{folder}/out{k}")
+            assert rows(ingest.committed_events(spark, f"{folder}/out{k}")) == before == rows(held)
+            assert spark.read.parquet(f"{folder}/out{k}/contract_summaries").count() == 1
+            out = f"{folder}/out{k}"
+        ingest.start_ingest(spark, f"{folder}/pages", out, f"{folder}/ckpt", max_files=1, reorg_ledgers=30_000).awaitTermination()
     ev = ingest.committed_events(spark, out)
-    assert rows(ev, "event_id", "decoded_value")[0] == ("e0", '"5"') and ev.count() == 10
+    assert rows(ev, "event_id", "decoded_value")[0] == ("e0", '"6"') and ev.count() == 12
     assert rows(ingest.committed_summaries(spark, out)) == rows(contract_summaries(ev))
-    assert ingest.committed_rows(spark, out, "token_transfers").count() == 5
-    assert tables.marked(spark, out, tables.FOLDED) == 3 and not os.path.exists(f"{out}/events/batch=1") and not os.listdir(f"{out}/staging")
-    assert len(os.listdir(f"{out}/marks")) <= 4  # with checksums of none
+    assert ingest.committed_rows(spark, out, "token_transfers").count() == 6
     assert rows(ingest.committed_events(spark, out, 20_002, 20_003), "event_id") == [("s2",), ("s3",)]
+    assert sorted(r[0] for r in spark.read.parquet(f"{out}/cycles").select("batch").collect()) == [3, 4, 5]
+    ingest.compact(spark, f"{folder}/none", f"{folder}/nothing")
+    assert ingest.committed_events(spark, f"{folder}/nothing").count() == 0
 
 
-def test_retention_drops_folders_before_a_ledger(spark, folder):
-    out = f"{folder}/out"
+def test_compaction_leaves_old_ledgers_behind(spark, folder):
+    out, kept = f"{folder}/out", f"{folder}/kept"
     width = ingest.LEDGERS_PER_BUCKET
     land(folder, "1.json", entry("a", 5), entry("b", width - 1), entry("c", width), entry("d", 3 * width))
     follow(spark, folder)
-    assert ingest.retain(spark, out, width) == 2  # of events and transfers
-    assert rows(ingest.committed_events(spark, out), "event_id") == [("c",), ("d",)]
-    assert rows(ingest.committed_rows(spark, out, "token_transfers"), "event_id") == [("c",), ("d",)]
+    ingest.compact(spark, out, kept, first_ledger=width)
+    assert rows(ingest.committed_events(spark, kept), "event_id") == [("c",), ("d",)]
+    assert rows(ingest.committed_rows(spark, kept, "token_transfers"), "event_id") == [("c",), ("d",)]
+    assert ingest.committed_summaries(spark, kept).first()["event_count"] == 4  # lifetime
+    assert sorted(f for f in os.listdir(f"{kept}/events/batch=0") if f.startswith("ledger")) == ["ledger_bucket=1", "ledger_bucket=3"]
 
 
 def test_ingest_enriches(spark, folder):
@@ -148,8 +163,15 @@ def file_stream(spark, folder, df, name):
     return spark.readStream.schema(df.schema).parquet(f"{folder}/{name}")
 
 
+SUBS = "id string, kind string, contract_id string, event_name string, active boolean"
+
+
+def queued(spark, folder, name):
+    return rows(tables.stored(spark, f"{folder}/out/{name}", "deliveries", QUEUED), "subscription_id", "event_id", "upgrade_id")
+
+
 def test_fan_out_has_own_positions(spark, folder):
-    subs = spark.createDataFrame([("s1", "event", None, "mint", True), ("s2", "upgrade", "C", None, True)], "id string, kind string, contract_id string, event_name string, active boolean")
+    subs = spark.createDataFrame([("s1", "event", None, "mint", True), ("s2", "upgrade", "C", None, True)], SUBS)
     ev = file_stream(spark, folder, spark.createDataFrame([("e1", "C", "mint"), ("e2", "C", None)], "event_id string, contract_id string, event_name string"), "ev")
     up = file_stream(spark, folder, spark.createDataFrame([(1, "C", 1), (2, "C", 2)], "id long, contract_id string, version int"), "up")
 
@@ -160,8 +182,47 @@ def test_fan_out_has_own_positions(spark, folder):
     run()
     spark.createDataFrame([("e1", "C", "mint"), ("e3", "D", "mint")], ev.schema).write.mode("append").parquet(f"{folder}/ev")
     run()
-    got = [rows(tables.stored(spark, f"{folder}/out/{n}", "deliveries", QUEUED), "subscription_id", "event_id", "upgrade_id") for n in ("events", "upgrades")]
-    assert got == [[("s1", "e1", None), ("s1", "e3", None)], [("s2", None, 2)]]
+    assert [queued(spark, folder, n) for n in ("events", "upgrades")] == [[("s1", "e1", None), ("s1", "e3", None)], [("s2", None, 2)]]
+
+
+def test_fan_out_over_many_batches_and_restarts(spark, folder):
+    """Repeats in a batch, across batches and across restarts are queued once; a new subscription sees only what comes later; a batch does not slow down."""
+    shape = "event_id string, contract_id string, event_name string"
+    none = file_stream(spark, folder, spark.createDataFrame([], "id long, contract_id string, version int"), "up")
+    spark.createDataFrame([], shape).write.parquet(f"{folder}/ev")
+    subs = [("s1", "event", None, None, True)]
+    took, batches = [], 50
+    for start in range(0, batches, 25):
+        for k in range(start, start + 25):
+            given = [(f"e{k}-{i}", "C", "mint") for i in range(20)] * 2 + [(f"e{max(0, k - 3)}-{i}", "C", "mint") for i in range(20)]
+            spark.createDataFrame(given, shape).coalesce(1).write.mode("append").parquet(f"{folder}/ev")
+        ev = spark.readStream.schema(shape).option("maxFilesPerTrigger", 1).parquet(f"{folder}/ev")
+        queries = live.start_fanout(ev, none, lambda: spark.createDataFrame(subs, SUBS), f"{folder}/out", f"{folder}/ckpt")
+        for q in queries:
+            q.awaitTermination()
+        took += [p.durationMs["triggerExecution"] for p in queries[0].recentProgress if p.numInputRows]
+        subs.append(("s2", "event", None, None, True))
+    want = [("s1", f"e{k}-{i}", None) for k in range(batches) for i in range(20)] + [("s2", f"e{k}-{i}", None) for k in range(25, batches) for i in range(20)]
+    assert queued(spark, folder, "events") == sorted(want, key=repr)
+    assert len(took) >= batches
+    assert sorted(took[-15:])[7] < 2 * sorted(took[5:20])[7] + 500
+
+
+def test_first_seen_keeps_old_rows_and_forgets_after_a_while(spark, folder):
+    df = spark.createDataFrame([("a", 5), ("b", 1)], "k string, v long")
+    src = file_stream(spark, folder, df, "in")
+
+    def run(kept_for):
+        q = live.first_seen(src, ["k"], kept_for).writeStream.format("parquet").option("path", f"{folder}/o").option("checkpointLocation", f"{folder}/c")
+        q.trigger(availableNow=True).start().awaitTermination()
+        return sorted(r.k for r in spark.read.parquet(f"{folder}/o").collect())
+
+    assert run("1 second") == ["a", "b"]
+    df.write.mode("append").parquet(f"{folder}/in")
+    time.sleep(3)
+    spark.createDataFrame([("c", 0)], df.schema).write.mode("append").parquet(f"{folder}/in")
+    got = run("1 second")
+    assert got[-1] == "c" and set(got) == {"a", "b", "c"}
 
 
 def test_summaries_and_stats_equal_batch(spark, folder):
@@ -173,7 +234,15 @@ def test_summaries_and_stats_equal_batch(spark, folder):
     more.write.mode("append").parquet(f"{folder}/ev")
     q = live.summaries_stream(src)
     live.start_updates(q, f"{folder}/s", "t", f"{folder}/c1").awaitTermination()
-    assert rows(tables.newest_per_key(tables.stored(spark, f"{folder}/s", "t", q.schema), ["contract_id"])) == rows(contract_summaries(df.unionAll(more)))
+    want = rows(contract_summaries(df.unionAll(more)))
+    assert rows(tables.newest_per_key(tables.stored(spark, f"{folder}/s", "t", q.schema), ["contract_id"])) == want
+    # Compacted, the stream goes on in the new folder.
+    tables.compact_updates(spark, f"{folder}/s", "t", q.schema, ["contract_id"], f"{folder}/s2")
+    last = df.where("ledger < 500").withColumn("event_id", F.concat("event_id", F.lit("y")))
+    last.write.mode("append").parquet(f"{folder}/ev")
+    live.start_updates(live.summaries_stream(src), f"{folder}/s2", "t", f"{folder}/c1").awaitTermination()
+    got = tables.newest_per_key(tables.stored(spark, f"{folder}/s2", "t", q.schema), ["contract_id"])
+    assert rows(got) == rows(contract_summaries(df.unionAll(more).unionAll(last)))
 
 
 def test_dedup_within_lateness(spark, folder):

@@ -47,16 +47,18 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, StringType, StructField, StructType
 
 from eventloom.llm.registry import query, table
-from eventloom.llm.text import remainder, write_read
+from eventloom.llm.text import remainder, shuffle_partitions, sorted_runs, write_read
 from eventloom.session import shared_dir
 
 THRESHOLD = 0.7
 MAX_FEATURES = 20_000
 # Labels are broadcast up to this many rows (12 bytes each), joined by shuffle beyond.
 BROADCAST_LABELS = 500_000
+# Numbers of (feature, label, context) that one bucket of a shuffle is to hold.
+BUCKET_CODES = 20_000_000
 PREFIXES = (4, 5, 6)
 MEMO = 400_000
 # Score where nothing can be learnt.
@@ -516,6 +518,58 @@ def evidence(rows: DataFrame, kept, logp) -> DataFrame:
     return rows.select("text", "toxic").mapInArrow(run, EVIDENCE)
 
 
+def context_counts(given: DataFrame, index, rows: int) -> DataFrame:
+    """(feature, pos, neg): different contexts of each feature by label.
+
+    A (feature, label, context) is one number. Tasks hand on each of theirs
+    once, packed by buckets of a hash, so a feature of very many texts is dealt
+    out too, and a bucket holds some ``BUCKET_CODES`` numbers.
+    """
+    buckets = max(shuffle_partitions(given.sparkSession), rows * 64 // BUCKET_CODES)
+    packed = StructType([StructField("bucket", LongType()), StructField("codes", BinaryType())])
+    counts = StructType([StructField("feature", StringType()), StructField("pos", LongType()), StructField("neg", LongType())])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held, size = index.value, [], 0
+
+        def ready() -> pa.RecordBatch:
+            codes = np.unique(np.concatenate(held))
+            to = ((codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(buckets)
+            order = np.argsort(to, kind="stable")
+            codes, to = codes[order], to[order]
+            own, at = np.unique(to, return_index=True)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(own.astype(np.int64)), pa.array([x.tobytes() for x in np.split(codes, at[1:])], pa.binary())], names=packed.names
+            )
+
+        for batch in batches:
+            for toxic, features, contexts in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                if features:
+                    label = 1 if toxic else 0
+                    held.append(np.array([(2 * number[f] + label) << 32 | c for f, c in zip(features, contexts)], np.int64))
+                    size += len(features)
+            if size > 2_000_000:
+                yield ready()
+                held, size = [], 0
+        if held:
+            yield ready()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = sorted(index.value, key=index.value.get)
+        total = np.zeros(2 * len(names), np.int64)
+        for _, part in sorted_runs(batches, 1):
+            codes = np.unique(np.concatenate([np.frombuffer(x, np.int64) for x in part.column(1).to_pylist()]))
+            total += np.bincount(codes >> 32, minlength=len(total))
+        by_feature = total.reshape(-1, 2)
+        seen = np.flatnonzero(by_feature.sum(1))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([names[k] for k in seen], pa.string()), pa.array(by_feature[seen, 1]), pa.array(by_feature[seen, 0])], names=counts.names
+        )
+
+    dealt = given.select("toxic", "features", "contexts").mapInArrow(deal, packed).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(count, counts).groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+
+
 def sums_by_label(given: DataFrame, counts, base: float) -> DataFrame:
     """(alone, step, pos, neg): training texts by their sum and (alone = 1) by their strongest word, each without its own share in the counts."""
 
@@ -571,8 +625,7 @@ def fit(spark: SparkSession, rows: DataFrame, logp, max_features: int = MAX_FEAT
     kept = counts.where("feature is not null").withColumn("g2", significance(F.col("pos"), F.col("neg"), pos, neg)).where(F.col("g2") >= chance)
     kept = {r["feature"]: (r["pos"], r["neg"]) for r in kept.orderBy(F.desc("g2"), "feature").limit(max_features).collect()}
     given = write_read(evidence(rows, spark.sparkContext.broadcast(set(kept)), logp), f"{folder}/evidence")
-    pairs = given.select("toxic", F.explode(F.arrays_zip("features", "contexts")).alias("p")).select("p.features", "p.contexts", "toxic").distinct()
-    apart = pairs.groupBy(F.col("features").alias("feature")).agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg"))
+    apart = context_counts(given, spark.sparkContext.broadcast({f: k for k, f in enumerate(sorted(kept))}), pos + neg)
     apart = apart.where(significance(F.col("pos"), F.col("neg"), pos, neg) >= chance)
     told = {r["feature"]: (r["pos"], r["neg"]) for r in apart.collect()}  # at most MAX_FEATURES rows
     steps = sums_by_label(given, spark.sparkContext.broadcast(told), base).collect()

@@ -79,3 +79,12 @@ def cascade(child: DataFrame, kept_events: DataFrame) -> DataFrame:
         return held
     return held.unionByName(child.where("event_id is null"))
 
+
+
+def carry_over(old: DataFrame, kept: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The newest old row of each key that no kept row has: what outlives the folders of ``old``."""
+    keys = list(keys)
+    rest = [c for c in old.columns if c not in keys]
+    newest = old.groupBy(*keys).agg(F.max_by(F.struct(*rest), "ledger").alias("r"))
+    quiet = newest.join(kept.select(*keys), keys, "left_anti")
+    return quiet.select(*[F.col(f"r.{c}").alias(c) if c in rest else F.col(c) for c in old.columns])

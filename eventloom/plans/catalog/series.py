@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from eventloom.operators import interfaces as I
-from eventloom.operators import monitor, reads, series, verticals
+from eventloom.operators import gaps, monitor, reads, series, verticals
 from eventloom.plans import mapping as M
 from eventloom.plans.catalog import query, stamp, stamped
 from eventloom.plans.oracle import stamp as sql_stamp
 from eventloom.plans.oracle import with_views
+from eventloom.session import shared_dir
+from eventloom.sources import snapshots
 
 TIP, KEEP = 341_300_000, 300_000
 FIRST = TIP - KEEP
@@ -170,6 +172,22 @@ def _retain_data(spark, sf):
     return kept.select("contract_id", "key_hash", "ledger", "label", "value")
 
 
+@query(
+    "retain_data_stored",
+    with_views(
+        "SELECT contract_id, key_hash, ledger, label, value FROM (SELECT *, max(ledger) OVER (PARTITION BY contract_id, key_hash) AS newest FROM cdata) WHERE ledger >= 3413200000 OR ledger = newest"
+    ),
+)
+def _retain_data_stored(spark, sf):
+    """The same over stored folders, with the cut moved twice."""
+    base, keys, width = shared_dir(spark, "series"), ["contract_id", "key_hash"], 172_800
+    snapshots.write_snapshots(M.contract_data(spark, sf), f"{base}/rows", keys, width=width)
+    snapshots.move_cut(spark, f"{base}/rows", keys, 3_411_000_000, f"{base}/carried-1", width=width)
+    snapshots.move_cut(spark, f"{base}/rows", keys, 3_413_200_000, f"{base}/carried-2", f"{base}/carried-1", 3_411_000_000, width)
+    kept = snapshots.read_snapshots(spark, f"{base}/rows", 3_413_200_000, f"{base}/carried-2", width)
+    return kept.select("contract_id", "key_hash", "ledger", "label", "value")
+
+
 @query("retain_cascade", with_views(f"SELECT event_id, kind FROM transfers WHERE ledger >= {FIRST}"))
 def _retain_cascade(spark, sf):
     ev = M.ev(spark, sf)
@@ -300,3 +318,37 @@ def _st_start(spark, sf):
 )
 def _st_start_gaps(spark, sf):
     return monitor.start_gaps(monitor.plan_start(_requests(spark, sf))).select("id", "from_ledger", "to_ledger", "reason")
+
+
+# ---- ranges skipped and filled later
+
+_RANGES = f"""{_PLAN}, skipped AS (SELECT id % 7 AS instance, asked AS f, served - 1 AS t FROM final WHERE asked <= tip AND asked < served
+  UNION ALL SELECT id % 7, served, final - 1 FROM final WHERE asked <= tip AND served < final),
+  filled AS (SELECT o_orderkey % 7 AS instance, 800000 + o_orderkey * 7919 % 190000 AS f, 800000 + o_orderkey * 7919 % 190000 + o_orderkey % 90 - 10 AS t FROM orders WHERE o_orderkey % 5 < 3),
+  steps AS (SELECT instance, f AS p, 1 AS s, 0 AS d FROM skipped UNION ALL SELECT instance, t + 1, -1, 0 FROM skipped
+    UNION ALL SELECT instance, f, 0, 1 FROM filled WHERE f <= t UNION ALL SELECT instance, t + 1, 0, -1 FROM filled WHERE f <= t),
+  level AS (SELECT instance, p, sum(sum(s)) OVER w AS s, sum(sum(d)) OVER w AS d, lead(p) OVER w AS q FROM steps GROUP BY instance, p WINDOW w AS (PARTITION BY instance ORDER BY p)),
+  opened AS (SELECT *, CASE WHEN lag(q) OVER (PARTITION BY instance ORDER BY p) = p THEN 0 ELSE 1 END AS fresh FROM level WHERE s > 0 AND d = 0),
+  runs AS (SELECT *, sum(fresh) OVER (PARTITION BY instance ORDER BY p) AS run FROM opened),
+  gaps AS (SELECT instance, min(p) AS from_ledger, max(q) - 1 AS to_ledger FROM runs GROUP BY instance, run)"""
+
+
+def _open_gaps(spark, sf):
+    skipped = monitor.start_gaps(monitor.plan_start(_requests(spark, sf))).withColumn("instance", F.col("id") % 7)
+    k = F.col("o_orderkey")
+    first = F.lit(800_000) + k * 7919 % 190_000
+    filled = M.table(spark, sf, "orders").where(k % 5 < 3).select((k % 7).alias("instance"), first.alias("from_ledger"), (first + k % 90 - 10).alias("to_ledger"))
+    return gaps.open_gaps(skipped, filled, chunk=50_000)
+
+
+@query("st_open_gaps", with_views("SELECT instance, from_ledger, to_ledger FROM gaps", _RANGES))
+def _st_open_gaps(spark, sf):
+    return _open_gaps(spark, sf)
+
+
+@query(
+    "st_backfill_jobs",
+    with_views("SELECT instance, f AS from_ledger, least(f + 3999, to_ledger) AS to_ledger FROM (SELECT instance, to_ledger, unnest(range(from_ledger, to_ledger + 1, 4000)) AS f FROM gaps)", _RANGES),
+)
+def _st_backfill_jobs(spark, sf):
+    return gaps.backfill_jobs(_open_gaps(spark, sf))

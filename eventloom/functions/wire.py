@@ -20,6 +20,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from eventloom.functions.deepjson import dump
+
 # Fixed values of the wire format.
 # Scalar tags: (struct layout, rendering).
 SCALARS: dict[int, tuple[str, Callable]] = {
@@ -151,10 +153,6 @@ def read_json(buf: bytes, at: int = 0) -> tuple[str, int]:
             open_[-1][2].append((text, None))
 
 
-def dump(value: object) -> str:
-    return json.dumps(value, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
-
-
 def value_json(text: str) -> str:
     """Canonical JSON of one base64 value; unreadable input is kept as an object."""
     try:

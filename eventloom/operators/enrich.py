@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from eventloom.functions.interface import relabel
@@ -109,15 +109,14 @@ def enrich_with_keys(events: DataFrame, keys: DataFrame) -> DataFrame:
     return labelled.select(*names, F.when(schema.isNotNull(), text).alias("enriched"))
 
 
-def reenrich(events: DataFrame, interfaces: DataFrame) -> tuple[DataFrame, DataFrame]:
+def reenrich(events: DataFrame, interfaces: DataFrame) -> tuple[DataFrame, Observation]:
     """Retry named events that were stored unenriched, in one set-based pass.
 
-    Returns the whole table and one stats row (processed, updated). Only the
-    retried rows take part in the join.
+    Returns the whole table and its stats (processed, updated), which fill while
+    the table is written. Only the retried rows take part in the join.
     """
+    stats = Observation()
     retry = (F.col("enriched").isNull()) & F.col("event_name").isNotNull()
     tried = enrich(events.where(retry).drop("enriched"), interfaces).select(*events.columns)
-    stats = tried.agg(
-        F.count("*").alias("processed"), F.coalesce(F.count_if(F.col("enriched").isNotNull()), F.lit(0)).alias("updated")
-    )
-    return events.where(~retry).unionByName(tried), stats
+    watched = tried.observe(stats, F.count(F.lit(1)).alias("processed"), F.count_if(F.col("enriched").isNotNull()).alias("updated"))
+    return events.where(~retry).unionByName(watched), stats

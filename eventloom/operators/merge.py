@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 # Columns a re-scan may change; everything else of a stored event is fixed.
@@ -32,17 +32,16 @@ def insert_new(stored: DataFrame, incoming: DataFrame, order: Column | None = No
     return first_copies(new, order)
 
 
-def upsert_events(stored: DataFrame, incoming: DataFrame, order: Column | None = None) -> tuple[DataFrame, DataFrame]:
+def upsert_events(stored: DataFrame, incoming: DataFrame, order: Column | None = None) -> tuple[DataFrame, Observation]:
     """(merged, stats): known ids refresh decoded content, unknown ids insert.
 
-    "updated" counts known ids whose content really differs.
+    ``stats`` fills while the merged rows are written: ``inserted`` and
+    ``updated``, known ids whose content really differs. The join runs once.
     """
+    stats = Observation()
     merged = _merged(stored, first_copies(incoming, order))
-    stats = merged.agg(
-        F.coalesce(F.count_if("_inserted"), F.lit(0)).alias("inserted"),
-        F.coalesce(F.count_if("_updated"), F.lit(0)).alias("updated"),
-    )
-    return merged.select(*stored.columns), stats
+    watched = merged.observe(stats, F.count_if("_inserted").alias("inserted"), F.count_if("_updated").alias("updated"))
+    return watched.select(*stored.columns), stats
 
 
 def _merged(stored: DataFrame, incoming: DataFrame) -> DataFrame:

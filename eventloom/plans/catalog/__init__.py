@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.session import apply_settings
@@ -40,5 +40,11 @@ def stamped(df: DataFrame, *cols: str) -> DataFrame:
     return df.select(*[stamp(c) if c in cols else F.col(c) for c in df.columns])
 
 
+def counted(df: DataFrame, stats: Observation, *names: str) -> DataFrame:
+    """What an observation counted while a table was written, as one row."""
+    df.write.format("noop").mode("overwrite").save()
+    return df.sparkSession.createDataFrame([tuple(stats.get[n] for n in names)], ", ".join(f"{n} long" for n in names))
+
+
 def load() -> None:
     from eventloom.plans.catalog import decoding, delivery, lookups, reading, series, sources, streams  # noqa: F401

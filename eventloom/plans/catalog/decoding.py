@@ -9,8 +9,9 @@ from eventloom.functions.interface import parse_interface, relabel, spec_section
 from eventloom.operators import discovery, interfaces as I
 from eventloom.operators.convert import to_events
 from eventloom.operators.enrich import reenrich
+from eventloom.operators.typed import typed_events
 from eventloom.plans import mapping as M
-from eventloom.plans.catalog import query, stamp
+from eventloom.plans.catalog import counted, query, stamp
 from eventloom.plans.oracle import stamp as sql_stamp
 from eventloom.plans.oracle import strkey_ctes, with_views
 
@@ -166,6 +167,25 @@ def _enrich(spark, sf):
     return to_events(M.raw(spark, sf), _interfaces(spark, sf)).select("event_id", "enriched")
 
 
+@query(
+    "typed_events",
+    with_views(
+        f"""SELECT event_id, ledger, json_extract_string(e, '$.params.from.value') AS sender, json_extract_string(e, '$.params.to.value') AS receiver,
+  CAST(json_extract_string(e, '$.params.amount.value') AS BIGINT) AS amount, json_extract_string(e, '$.params.status.value') AS status
+  FROM (SELECT *, {ENRICHED} AS e FROM wired) WHERE no = 5 AND event_name = 'transfer'""",
+        WIRE,
+    ),
+)
+def _typed_events(spark, sf):
+    """One contract's transfers with a column per declared parameter."""
+    interfaces = _interfaces(spark, sf)
+    contract = M.raw(spark, sf).where("contract_no = 5").select("contract_id").first()[0]
+    interface = interfaces.where(F.col("contract_id") == contract).first()["interface"]
+    found = typed_events(to_events(M.raw(spark, sf), interfaces), contract, interface, "Transfer")
+    p = F.col("params")
+    return found.select("event_id", "ledger", p["from"].alias("sender"), p["to"].alias("receiver"), p["amount"].cast("bigint").alias("amount"), p["status"].alias("status"))
+
+
 def _stale(spark, sf):
     """Decoded events of which every third kept its record."""
     events = to_events(M.raw(spark, sf), _interfaces(spark, sf)).drop("bad_close_time")
@@ -186,7 +206,8 @@ def _reenrich(spark, sf):
     ),
 )
 def _reenrich_stats(spark, sf):
-    return reenrich(_stale(spark, sf), _interfaces(spark, sf))[1]
+    table, stats = reenrich(_stale(spark, sf), _interfaces(spark, sf))
+    return counted(table, stats, "processed", "updated")
 
 
 TYPE_DEFS = (

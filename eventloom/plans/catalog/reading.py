@@ -9,7 +9,7 @@ from eventloom.functions.wire import event_name
 from eventloom.operators import aggregates as A
 from eventloom.operators import discovery, merge, reads, verticals
 from eventloom.plans import mapping as M
-from eventloom.plans.catalog import query, stamped
+from eventloom.plans.catalog import counted, query, stamped
 from eventloom.plans.oracle import EVENT_JSON, stamp, with_views
 
 CONTRACT = "C003"
@@ -406,4 +406,5 @@ def _upsert(spark, sf):
     ),
 )
 def _upsert_stats(spark, sf):
-    return merge.upsert_events(*_upsert_parts(spark, sf))[1]
+    table, stats = merge.upsert_events(*_upsert_parts(spark, sf))
+    return counted(table, stats, "inserted", "updated")

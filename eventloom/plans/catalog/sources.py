@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from eventloom.functions.wire import decode_scval, decode_topics
 from eventloom.operators.interfaces import with_interface
 from eventloom.plans import mapping as M
 from eventloom.plans.catalog import query
-from eventloom.plans.catalog.decoding import WIRE
+from eventloom.plans.catalog.decoding import BODY, TOPICS, WIRE
 from eventloom.plans.oracle import stamp, with_views
 from eventloom.session import shared_dir
 from eventloom.sources import archive, entries, history, modules, pages, store
@@ -62,6 +63,19 @@ def _src_archive_rejects(spark, sf):
     return _archive(spark, sf)[1].groupBy("reason").agg(F.count("*").alias("lines"))
 
 
+@query(
+    "src_archive_loaded",
+    f"""WITH b AS ({_BASE}) SELECT event_id, contract_id, ledger, tx_hash, NULL AS reason FROM ({ARCHIVE}) UNION ALL
+  SELECT NULL, NULL, NULL, CAST(count(*) AS VARCHAR), CASE n % 10 WHEN 1 THEN 'invalid JSON' WHEN 3 THEN 'contract_id missing' ELSE 'ledger missing or not an integer' END AS reason
+  FROM b WHERE n % 10 IN (1, 3, 4) GROUP BY reason""",
+)
+def _src_archive_loaded(spark, sf):
+    """Events and rejects of one parse."""
+    events, rejects = archive.load_archive(M.archive_lines(spark, sf), shared_dir(spark, "archive"))
+    counted = rejects.groupBy("reason").agg(F.count("*").cast("string").alias("tx_hash"))
+    return events.select("event_id", "contract_id", "ledger", "tx_hash").unionByName(counted, allowMissingColumns=True)
+
+
 def _history(spark, sf):
     path = shared_dir(spark, "history")
     history.write_history(M.history_lines(spark, sf), path)
@@ -105,15 +119,14 @@ def _src_pages(spark, sf):
     return found.withColumn("topics", F.size("topics")).drop("value")
 
 
-@query("src_pages_file", with_views("SELECT event_id, contract_id, ledger, 'tx' || (n // 3) AS tx_hash, 'value ' || amount AS amount FROM wired WHERE no % 3 = 0", WIRE))
+@query("src_pages_file", with_views(f"SELECT event_id, contract_id, ledger, 'tx' || (n // 3) AS tx_hash, {BODY} AS decoded_value, {TOPICS} AS decoded_topics FROM wired", WIRE))
 def _src_pages_file(spark, sf):
-    """Pages from files; bodies of one plain value are decoded and compared."""
-    from eventloom.functions.wire import decode_scval
-
+    """Pages from files; bodies of all three kinds are decoded and compared."""
     path = shared_dir(spark, "pages")
-    M.page_lines_from(M.table(spark, sf, "events").where("user_id % 25 % 3 = 0")).write.text(path)
-    amount = F.concat(F.lit("value "), F.replace(decode_scval(F.col("value")), F.lit('"'), F.lit("")))
-    return pages.read_pages(spark, path).select("event_id", "contract_id", "ledger", "tx_hash", amount.alias("amount"))
+    M.page_lines_from(M.table(spark, sf, "events")).write.text(path)
+    topics = F.concat(F.lit("["), F.array_join(decode_topics(F.col("topics")), ","), F.lit("]"))
+    found = pages.read_pages(spark, path)
+    return found.select("event_id", "contract_id", "ledger", "tx_hash", decode_scval(F.col("value")).alias("decoded_value"), topics.alias("decoded_topics"))
 
 
 _ENTRIES = """SELECT contract_id, kind, ledger, value, key, durability FROM (SELECT 'C' || (user_id % 10) AS contract_id, CAST(floor(epoch(ts) / 5) AS BIGINT) AS ledger,

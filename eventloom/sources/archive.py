@@ -97,25 +97,15 @@ def _classify(lines: DataFrame) -> DataFrame:
     return shaped.select("line", "items", ledger.alias("ledger"), closed.try_cast("string").alias("closed_text"), reason.alias("reason"))
 
 
-def parse_archive(
-    lines: DataFrame,
-    from_ledger: int,
-    to_ledger: int | None = None,
-    contract_ids: Sequence[str] = (),
-) -> tuple[DataFrame, DataFrame]:
-    """(events, rejects) of a DataFrame with one text column ``value``.
-
-    Envelope entries without id or contract are dropped one by one; a bad flat
-    record or envelope becomes one reject row (line, reason).
-    """
+def archive_rows(lines: DataFrame, from_ledger: int, to_ledger: int | None = None, contract_ids: Sequence[str] = ()) -> DataFrame:
+    """Events and rejects in one frame, each line parsed once: event columns, or ``line`` and ``reason``."""
     classified = _classify(lines)
+    bad = F.col("reason").isNotNull()
+    # A bad line is one row without an item.
+    items = F.when(bad, F.array(F.lit(None).cast(FIELDS))).otherwise(F.col("items"))
+    exploded = classified.select("ledger", "closed_text", F.when(bad, F.col("line")).alias("line"), "reason", F.explode(items).alias("item"))
     item = F.col("item")
-    ids = classified.where("reason is null").select(
-        "ledger",
-        "closed_text",
-        F.explode("items").alias("item"),
-    )
-    events = ids.select(
+    rows = exploded.select(
         _id(item).alias("event_id"),
         _text(item, "contract_id").alias("contract_id"),
         "ledger",
@@ -128,14 +118,44 @@ def parse_archive(
             "in_successful_call"
         ),
         F.coalesce(F.nullif(_text(item, "paging_token"), F.lit("")), _id(item)).alias("paging_token"),
-    ).where("event_id is not null and contract_id is not null")
-    events = events.where(F.col("ledger") >= from_ledger)
+        "line",
+        "reason",
+    )
+    wanted = F.col("event_id").isNotNull() & F.col("contract_id").isNotNull() & (F.col("ledger") >= from_ledger)
     if to_ledger is not None:
-        events = events.where(F.col("ledger") <= to_ledger)
+        wanted = wanted & (F.col("ledger") <= to_ledger)
     if contract_ids:
-        events = events.where(F.col("contract_id").isin(list(contract_ids)))
-    rejects = classified.where("reason is not null").select("line", "reason")
-    return events, rejects
+        wanted = wanted & F.col("contract_id").isin(list(contract_ids))
+    return rows.where(F.col("reason").isNotNull() | wanted)
+
+
+def split_rows(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(events, rejects) of ``archive_rows``."""
+    return rows.where("reason is null").drop("line", "reason"), rows.where("reason is not null").select("line", "reason")
+
+
+def parse_archive(
+    lines: DataFrame,
+    from_ledger: int,
+    to_ledger: int | None = None,
+    contract_ids: Sequence[str] = (),
+) -> tuple[DataFrame, DataFrame]:
+    """(events, rejects) of a DataFrame with one text column ``value``.
+
+    Envelope entries without id or contract are dropped one by one; a bad flat
+    record or envelope becomes one reject row (line, reason). Both are lazy:
+    who uses both parses twice, unless through ``load_archive``.
+    """
+    return split_rows(archive_rows(lines, from_ledger, to_ledger, contract_ids))
+
+
+def load_archive(lines: DataFrame, path: str, from_ledger: int = 0, to_ledger: int | None = None, contract_ids: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """The same, parsed once into a table with a folder for either."""
+    rows = archive_rows(lines, from_ledger, to_ledger, contract_ids).withColumn("rejected", F.col("reason").isNotNull())
+    rows.write.mode("overwrite").partitionBy("rejected").parquet(path)
+    kept = lines.sparkSession.read.schema(rows.schema).parquet(path)
+    events = kept.where(~F.col("rejected")).drop("rejected", "line", "reason")
+    return events, kept.where("rejected").select("line", "reason")
 
 
 def read_archive(

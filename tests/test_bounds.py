@@ -6,7 +6,7 @@ import struct
 from conftest import rows
 from pyspark.sql import functions as F
 
-from eventloom.functions import interface, wire
+from eventloom.functions import deepjson, interface, wire
 from eventloom.functions.jsontext import stripped
 from eventloom.operators import deliveries as D
 
@@ -42,6 +42,32 @@ def test_deep_types_and_long_lists():
     assert interface._Reader(wide).type()[0].count("u32") == 60
 
 
+def test_deep_json_is_read_and_written():
+    odd = {"b": [1, {"a": 'x]{,:\\"', "é": None}, [], {}, -2.5, True], "": "q"}
+    text = json.dumps(odd, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
+    assert deepjson._read(text) == odd and deepjson._write(odd) == text == deepjson.dump(odd)
+    for inner in ("7", '{"k":["a"]}'):
+        text = "[" * 200_000 + inner + "]" * 200_000
+        assert deepjson.dump(deepjson.load(text)) == text
+    text = '{"a":' * 50_000 + "1" + "}" * 50_000
+    assert deepjson.dump(deepjson.load(text)) == text
+    assert deepjson.load("5") == 5 and deepjson._read('"x"') == "x" and deepjson._write([]) == "[]"
+
+
+def test_deep_values_are_relabelled(spark):
+    """No depth keeps its numbers: neither of the value, nor of the type."""
+    depth = 3_000
+    shape = ["udt", "Stage"]
+    for _ in range(depth):
+        shape = ["vec", shape]
+    defs = '{"Node":["struct",[["next",["udt","Node"]],["state",["udt","Stage"]]]],"Stage":["enum",{"7":"Done"}]}'
+    chain = '{"next":' * depth + "null" + ',"state":7}' * depth
+    given = [("[" * depth + "7" + "]" * depth, deepjson.dump(shape), "[" * depth + '"Done"' + "]" * depth), (chain, '["udt","Node"]', chain.replace("7", '"Done"'))]
+    df = spark.createDataFrame([([v], [s], defs) for v, s, _ in given], "v array<string>, s array<string>, d string")
+    got = df.select(interface.relabel(F.col("v"), F.col("s"), F.col("d")).alias("r")).collect()
+    assert [r.r for r in got] == [[want] for _, _, want in given]
+
+
 def test_all_white_space_is_stripped(spark):
     texts = ["\t# note", " x ", " \t\r\n", "a b", "", None]
     df = spark.createDataFrame([(t,) for t in texts], "v string")

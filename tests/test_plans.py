@@ -12,11 +12,12 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 import __spark_entry__ as entry  # noqa: E402
 from eventloom.plans import catalog, mapping as M  # noqa: E402
 from eventloom.operators import matching, reads, series  # noqa: E402
+from eventloom.sources import archive  # noqa: E402
 from eventloom.plans.joins import fits_broadcast, lookup_join, salted_join  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 # Queries that run a job or a stream while they are built.
-EAGER = {"src_history", "src_history_contract", "st_history", "retain_data_stored", "q_event_stored", "q_events_by_id", "q_tx_stored", "q_transfers_stored", "q_events_indexed", "q_param_indexed", "src_archive_file", "src_pages_file", "src_entries_file", "st_ingest_enriched", "st_reorg_cycles", "sink_parts", "st_ingest", "st_ingest_summaries", "st_dedup", "st_match", "st_summaries", "st_stats", "st_tail"}
+EAGER = {"src_archive_loaded", "sink_upsert_stats", "reenrich_stats", "src_history", "src_history_contract", "st_history", "retain_data_stored", "q_event_stored", "q_events_by_id", "q_tx_stored", "q_transfers_stored", "q_events_indexed", "q_param_indexed", "src_archive_file", "src_pages_file", "src_entries_file", "st_ingest_enriched", "st_reorg_cycles", "sink_parts", "st_ingest", "st_ingest_summaries", "st_dedup", "st_match", "st_summaries", "st_stats", "st_tail"}
 PYTHON = {
     "decode_value", "decode_topics", "to_event", "strkey", "valid_contract", "wasm_section", "parse_interface", "list_functions", "signatures",
     "enrich", "reenrich", "reenrich_stats", "relabel", "storage_key", "holders", "template_keys", "src_pages", "src_wasm", "src_entries",
@@ -94,3 +95,27 @@ def test_newest_deliveries_limits_before_the_shuffle(spark):
     from eventloom.operators.aggregates import newest_deliveries
 
     assert plan(newest_deliveries(M.deliveries(spark, SF))).count("WindowGroupLimit") == 2
+
+
+def evaluations(df):
+    """Python evaluations in a plan."""
+    return len(re.findall(r"EvalPython", plan(df)))
+
+
+def test_each_row_is_read_once(spark):
+    """A filter or a second use above must not bring a second evaluation of what is costly."""
+    decoded = entry.queries()["to_event"](spark, SF)
+    assert evaluations(decoded.where("event_name = 'mint'")) == evaluations(decoded)
+    again = entry.queries()["reenrich"](spark, SF)
+    assert plan(again).count("CollectMetrics") == 1
+    lines = archive.archive_rows(M.archive_lines(spark, SF), 0)
+    text = plan(lines.where("reason is null and event_id > 'e5'"))
+    assert text.count("Scan parquet") == 1 and text.count("try_parse_json") == 1
+
+
+def test_both_sides_of_an_archive_come_from_one_parse(spark, folder):
+    events, rejects = archive.load_archive(M.archive_lines(spark, SF), f"{folder}/a")
+    lazy = archive.parse_archive(M.archive_lines(spark, SF), 0)
+    assert sorted(map(str, events.collect())) == sorted(map(str, lazy[0].select(*events.columns).collect()))
+    assert sorted(map(str, rejects.collect())) == sorted(map(str, lazy[1].collect())) and rejects.count() > 0
+    assert "PartitionFilters: [isnotnull(rejected" in scan_details(events) and "variant" not in plan(events)

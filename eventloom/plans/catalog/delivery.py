@@ -9,6 +9,8 @@ from eventloom.operators import matching
 from eventloom.plans import mapping as M
 from eventloom.plans.catalog import query
 from eventloom.plans.oracle import EVENT_JSON, with_views
+from eventloom.session import shared_dir
+from eventloom.sources import queue
 
 # 1999-01-01 00:00:00 UTC
 NOW_S = 915_148_800
@@ -117,6 +119,27 @@ def _apply_outcomes(spark, sf):
     return seconds(done, "next_attempt_at", "delivered_at").select("id", "status", "attempts", "last_error", "next_attempt_at", "delivered_at")
 
 
+@query(
+    "queue_rounds",
+    with_views(
+        f"""SELECT d.id, CASE WHEN d.next_s >= {NOW_S} OR o.ok IS NULL THEN d.status WHEN o.ok THEN 'delivered' WHEN d.attempts + 1 >= 6 THEN 'failed' ELSE d.status END AS status,
+  CAST(CASE WHEN d.next_s < {NOW_S} AND o.ok IS NOT NULL THEN d.attempts + 1 ELSE d.attempts END AS INT) AS attempts,
+  CASE WHEN d.next_s < {NOW_S} AND NOT o.ok AND d.attempts + 1 < 6 THEN CAST({NOW_S} + least(pow(2, d.attempts + 1), 3600) AS BIGINT) ELSE d.next_s END AS next_attempt_at
+  FROM deliv d LEFT JOIN outc o ON o.delivery_id = d.id"""
+    ),
+)
+def _queue_rounds(spark, sf):
+    """Two rounds over time buckets: half of what was due, then the rest; every delivery as it stands."""
+    base, schema, width = f"{shared_dir(spark, 'queue')}/q", M.deliveries(spark, sf).schema, 32 * 86_400
+    end = NOW_S // width
+    middle = end - 40
+    queue.put(M.deliveries(spark, sf), base, 0, 0, width)
+    for number, start, upto in ((1, 0, middle), (2, middle, end)):
+        rows = queue.due(spark, base, schema, number, start, upto)
+        queue.settle(rows, M.outcomes(spark, sf), base, now(), number, upto, width, jitter="max")
+    return seconds(queue.deliveries(spark, base, schema, end), "next_attempt_at").select("id", "status", "attempts", "next_attempt_at")
+
+
 _RUNS = """ordered AS (SELECT *, sum(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY subscription_id ORDER BY at_s, delivery_id) AS island FROM outc),
   runs AS (SELECT o.*, CAST(sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (PARTITION BY subscription_id, island ORDER BY at_s, delivery_id) +
     CASE WHEN island = 0 THEN s.consecutive_failures ELSE 0 END AS BIGINT) AS run FROM ordered o JOIN subs s ON s.id = o.subscription_id)"""

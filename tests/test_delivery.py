@@ -1,6 +1,9 @@
 import hashlib
 import hmac
+import os
 import random
+import zlib
+from datetime import datetime
 
 from conftest import rows
 from pyspark.sql import functions as F
@@ -8,6 +11,7 @@ from pyspark.sql import functions as F
 from eventloom.functions.signing import hmac_pads, hmac_sha256
 from eventloom.operators import deliveries as D
 from eventloom.operators import matching
+from eventloom.sources import queue as buckets
 
 SUBS = "id string, url string, kind string, contract_id string, event_name string, secret string, active boolean, consecutive_failures int"
 
@@ -139,3 +143,34 @@ def test_hmac(spark):
     assert signed.where("secret = 's'").first()["event_header"] == "contract.upgraded"
     assert signed.where("secret = 'k'").first()["event_header"] == "contract.event"
     assert signed.where("secret = 'k'").first()["signature"].startswith("sha256=")
+
+
+QUEUE = "id string, attempts int, status string, last_error string, next_attempt_at timestamp, delivered_at timestamp"
+
+
+def test_bucketed_rounds_equal_the_whole_table(spark, folder):
+    """Six rounds, one of them run twice: the deliveries of transitions of the whole table, and earlier folders stay as they are."""
+    rng = random.Random(6)
+    given = [(f"d{i}", rng.randrange(6), "pending" if i % 9 else "failed", None, datetime.fromtimestamp(1_000_000 + rng.randrange(600)), None) for i in range(120)]
+    whole = spark.createDataFrame(given, QUEUE)
+    base, position, state = f"{folder}/q", 0, {r.id: r for r in whole.collect()}
+    buckets.put(whole, base, 0, position)
+    for number in range(1, 7):
+        now_s = 1_000_000 + number * 130
+        now, upto = F.timestamp_seconds(F.lit(now_s)), now_s // buckets.BUCKET_SECONDS
+        want = sorted(i for i, r in state.items() if r.status == "pending" and r.next_attempt_at.timestamp() // buckets.BUCKET_SECONDS < upto)
+        told = [(i, zlib.crc32(f"{i}-{number}".encode()) % 10 < 3, "e") for i in want if int(i[1:]) % 5]
+        outcomes = spark.createDataFrame(told, "delivery_id string, ok boolean, error string")
+        files = {os.path.join(d, f) for d, _, names in os.walk(base) for f in names}
+        times = {f: os.path.getmtime(f) for f in files}
+        for _ in range(2 if number == 3 else 1):
+            taken = buckets.due(spark, base, whole.schema, number, position, upto)
+            assert sorted(r.id for r in taken.collect()) == want
+            assert "due_bucket" in taken._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("]")[0]
+            buckets.settle(taken, outcomes, base, now, number, upto, jitter="max")
+        assert {f: os.path.getmtime(f) for f in files} == times
+        moved = D.apply_outcomes(spark.createDataFrame(list(state.values()), QUEUE), outcomes, now, jitter="max")
+        state, position = {r.id: r for r in moved.collect()}, upto
+        assert {r.id: r for r in buckets.deliveries(spark, base, whole.schema, position).collect()} == state
+    assert {r.status for r in state.values()} == {"pending", "failed", "delivered"}
+    assert buckets.due(spark, f"{folder}/none", whole.schema, 1, 0, 9).count() == 0

@@ -17,7 +17,7 @@ from eventloom.plans.joins import fits_broadcast, lookup_join, salted_join  # no
 
 SF = "/root/testdata/sf0.001"
 # Queries that run a job or a stream while they are built.
-EAGER = {"src_archive_loaded", "sink_upsert_stats", "reenrich_stats", "src_history", "src_history_contract", "st_history", "retain_data_stored", "q_event_stored", "q_events_by_id", "q_tx_stored", "q_transfers_stored", "q_events_indexed", "q_param_indexed", "src_archive_file", "src_pages_file", "src_entries_file", "st_ingest_enriched", "st_reorg_cycles", "sink_parts", "st_ingest", "st_ingest_summaries", "st_dedup", "st_match", "st_summaries", "st_stats", "st_tail"}
+EAGER = {"queue_rounds", "typed_events", "src_archive_loaded", "sink_upsert_stats", "reenrich_stats", "src_history", "src_history_contract", "st_history", "retain_data_stored", "q_event_stored", "q_events_by_id", "q_tx_stored", "q_transfers_stored", "q_events_indexed", "q_param_indexed", "src_archive_file", "src_pages_file", "src_entries_file", "st_ingest_enriched", "st_reorg_cycles", "sink_parts", "st_ingest", "st_ingest_summaries", "st_dedup", "st_match", "st_summaries", "st_stats", "st_tail"}
 PYTHON = {
     "decode_value", "decode_topics", "to_event", "strkey", "valid_contract", "wasm_section", "parse_interface", "list_functions", "signatures",
     "enrich", "reenrich", "reenrich_stats", "relabel", "storage_key", "holders", "template_keys", "src_pages", "src_wasm", "src_entries",

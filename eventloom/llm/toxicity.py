@@ -39,8 +39,8 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
-from operator import concat
 
 import numpy as np
 import pandas as pd
@@ -260,6 +260,22 @@ def word_weight(word: str, weights: dict[str, float]) -> float:
     return max((weights[f] for f in word_features(word)[1:] if f in weights), key=abs, default=0.0)
 
 
+class Told:
+    """The weights of a model, as texts are looked up in them."""
+
+    def __init__(self, weights: dict[str, float], strong: set[bytes]):
+        self.weights, self.strong, self.trie = weights, strong, word_trie(strong)
+        # What a word with a known beginning starts with, and what a strong word in fragments does.
+        self.heads = {f[:PREFIXES[0]] for f in weights if f.endswith("~")}
+        self.starts = {w[:k] for w in strong for k in range(1, len(w))}
+
+    def weight(self, word: str) -> float:
+        own = self.weights.get(word)
+        if own is not None:
+            return own
+        return word_weight(word, self.weights) if word[:PREFIXES[0]] in self.heads else 0.0
+
+
 def word_trie(words: set[bytes]) -> dict:
     """Letters as nested keys; the empty key ends a word."""
     root: dict = {}
@@ -302,8 +318,8 @@ class Features:
     def __init__(self, logp: np.ndarray):
         self.logp = logp
         self.memo: dict[bytes, tuple] = {}
-        self.noisy: dict[bytes, bool] = {}
         self.whole: dict[bytes, str] = {}
+        self.dull: set[bytes] = set()
 
     def parts(self, text: str) -> list[bytes]:
         """Tokens in order, A-Z lower-cased."""
@@ -342,8 +358,12 @@ class Features:
     def of(self, text: str | None) -> set[str]:
         """Distinct features."""
         found: set[str] = set()
+        memo = self.memo
         for token in self.tokens(text) if text else ():
-            found.update(self.known(token, lambda t: tuple(f for w in self.words(t) for f in word_features(w))))
+            own = memo.get(token)
+            if own is None:
+                own = self.known(token, lambda t: tuple(f for w in self.words(t) for f in word_features(w)))
+            found.update(own)
         return found
 
     def placed(self, text: str | None, kept: set[str]) -> tuple[dict[str, int], dict[str, int]]:
@@ -374,16 +394,10 @@ class Features:
             put(token, around)
         return words, found
 
-    def opens(self, token: bytes) -> bool:
+    @staticmethod
+    def opens(token: bytes) -> bool:
         """A token that holds signs, but no plain number."""
-        if token.isalnum() and (token.isalpha() or token.isdigit()):
-            return False
-        known = self.noisy.get(token)
-        if known is None:
-            if len(self.noisy) >= MEMO:
-                self.noisy.clear()
-            known = self.noisy[token] = not SIGN_LETTERS.isdisjoint(token.decode("utf-8", "replace"))
-        return known
+        return not token.isalpha() and not token.isdigit() and not SIGN_LETTERS.isdisjoint(token.decode("utf-8", "replace"))
 
     def restored(self, joined: bytes) -> str:
         """Fragments put together, as the lattice with breaks has them."""
@@ -394,27 +408,30 @@ class Features:
             known = self.whole[joined] = decode(lattice(joined.decode("utf-8", "replace")), self.logp, breaks=True)
         return known
 
-    def together(self, parts: list[bytes], strong: set[bytes], trie: dict) -> set[bytes]:
-        """Words of ``strong`` (also as a ``trie``) that stand in fragments side by side, or in one token of signs.
+    def together(self, parts: list[bytes], distinct: set[bytes], signs: set[bytes], told: Told) -> set[bytes]:
+        """Strong words that stand in fragments side by side, or in one token of signs; ``signs`` are the tokens that open a lattice.
 
         Only windows whose lattice can spell such a word are decoded; from a
         beginning that spells none no longer window is tried.
         """
         found: set[bytes] = set()
-        if not strong:
-            return found
-        joined = parts
-        for k in range(1, FRAGMENTS):
-            joined = list(map(concat, joined, parts[k:]))
-            found.update(w for w in strong.intersection(joined) if self.restored(w).encode() == w)
-        signs = {t for t in set(parts) if self.opens(t)}
+        strong = told.strong
+        if heads := told.starts & distinct:
+            for lo, whole in enumerate(parts):
+                if whole in heads:
+                    for part in parts[lo + 1:lo + FRAGMENTS]:
+                        whole += part
+                        if whole in strong and self.restored(whole).encode() == whole:
+                            found.add(whole)
+                        if whole not in told.starts:
+                            break
         tried: dict[int, int] = {}
         for i in [i for i, t in enumerate(parts) if t in signs] if signs else ():
             for lo in range(max(0, i - FRAGMENTS + 1), i + 1):
                 end = min(len(parts), lo + FRAGMENTS)
                 for hi in range(max(i + 1, tried.get(lo, 0)), end + 1):
                     whole = b"".join(parts[lo:hi])
-                    can = spells(whole.decode("utf-8", "replace").lower(), trie)
+                    can = spells(whole.decode("utf-8", "replace").lower(), told.trie)
                     if can is None:
                         tried[lo] = end + 1
                         break
@@ -423,14 +440,32 @@ class Features:
                         found.add(word)
         return found
 
-    def telling(self, text: str | None, weights: dict[str, float], strong: set[bytes], trie: dict) -> set[tuple[str, float]]:
+    def telling(self, text: str | None, told: Told) -> set[tuple[str, float]]:
         """Distinct words that carry weight."""
         found: set[tuple[str, float]] = set()
         if not text:
             return found
+
+        def make(token: bytes) -> tuple:
+            pairs = tuple((w, x) for w in self.words(token) if (x := told.weight(w)))
+            return pairs, self.opens(token)
+
         parts = self.parts(text)
-        for token in {*parts, *(token for token, _ in self.spelt(parts)), *self.together(parts, strong, trie)}:
-            found.update(self.known(token, lambda t: tuple((w, x) for w in self.words(t) if (x := word_weight(w, weights)))))
+        distinct = set(parts)
+        signs: set[bytes] = set()
+        # Most tokens say nothing and are passed over together.
+        for token in distinct - self.dull:
+            pairs, opens = self.known(token, make)
+            if pairs:
+                found.update(pairs)
+            if opens:
+                signs.add(token)
+            elif not pairs:
+                if len(self.dull) >= MEMO:
+                    self.dull.clear()
+                self.dull.add(token)
+        for token in {*(token for token, _ in self.spelt(parts)), *self.together(parts, distinct, signs, told)}:
+            found.update(self.known(token, make)[0])
         return found
 
 
@@ -450,26 +485,25 @@ def feature_counts(rows: DataFrame, logp) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(logp.value)
 
-        def out(counts):
-            return pa.RecordBatch.from_arrays(
-                [pa.array(list(counts), pa.string()), pa.array([c[0] for c in counts.values()], pa.int64()), pa.array([c[1] for c in counts.values()], pa.int64())],
-                names=["feature", "pos", "neg"],
-            )
+        pos: Counter[str | None] = Counter()
+        neg: Counter[str | None] = Counter()
+
+        def out() -> pa.RecordBatch:
+            seen = list(pos.keys() | neg.keys())
+            columns = [pa.array(seen, pa.string()), *(pa.array([c[f] for f in seen], pa.int64()) for c in (pos, neg))]
+            pos.clear()
+            neg.clear()
+            return pa.RecordBatch.from_arrays(columns, names=["feature", "pos", "neg"])
 
-        counts: dict[str | None, list[int]] = {}
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                side = 0 if toxic else 1
-                for f in (None, *features.of(text)):
-                    have = counts.get(f)
-                    if have is None:
-                        have = counts[f] = [0, 0]
-                    have[side] += 1
-            if len(counts) > 500_000:
-                yield out(counts)
-                counts = {}
-        if counts:
-            yield out(counts)
+                side = pos if toxic else neg
+                side.update(features.of(text))
+                side[None] += 1
+            if len(pos) + len(neg) > 500_000:
+                yield out()
+        if pos or neg:
+            yield out()
 
     schema = StructType([StructField("feature", StringType()), StructField("pos", LongType()), StructField("neg", LongType())])
     return rows.mapInArrow(run, schema).groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
@@ -640,9 +674,9 @@ def score_texts(docs: DataFrame, model: Model, logp) -> DataFrame:
     @F.pandas_udf(DoubleType())
     def score(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
         features, (weights, strong, odds) = Features(logp.value), shared.value
-        trie = word_trie(strong)
+        told = Told(weights, strong)
         for texts in series:
-            found = [[x for _, x in features.telling(t, weights, strong, trie)] for t in texts]
+            found = [[x for _, x in features.telling(t, told)] for t in texts]
             by_kind = ([math.fsum(x) for x in found], [max(x, default=0.0) for x in found])
             level = np.max([np.interp(np.array(x, dtype="float64"), *np.array(o).T) for x, o in zip(by_kind, odds)], axis=0)
             yield pd.Series(1 / (1 + np.exp(-level)), dtype="float64")

@@ -65,7 +65,7 @@ def test_windows_are_those_of_a_full_decoding():
     """Fragments beside a token with signs: all windows decoded, without the trie."""
     logp, rng = model(4), random.Random(5)
     strong = {b"idiot", b"loser", b"clown"}
-    trie = toxicity.word_trie(strong)
+    told = toxicity.Told({}, strong)
     pieces = [b"id", b"1", b"ot", b"i", b"d1ot", b"l0s", b"er", b"c", b"10wn", b"cl", b"own", b"x$y", b"the", b"12", b"@", b"idi"]
     found = 0
     for _ in range(300):
@@ -76,8 +76,9 @@ def test_windows_are_those_of_a_full_decoding():
             for hi in range(lo + 1, min(len(parts), lo + toxicity.FRAGMENTS) + 1):
                 whole = b"".join(parts[lo:hi])
                 sign = any(features.opens(t) for t in parts[lo:hi])
-                if (sign or (hi > lo + 1 and whole in strong)) and features.restored(whole).encode() in strong:
+                if (sign or (hi > lo + 1 and whole in strong and features.restored(whole).encode() == whole)) and features.restored(whole).encode() in strong:
                     want.add(features.restored(whole).encode())
-        assert features.together(parts, strong, trie) == want
+        signs = {t for t in parts if features.opens(t)}
+        assert features.together(parts, set(parts), signs, told) == want
         found += bool(want)
     assert found > 3

@@ -66,7 +66,17 @@ def _by_length(ids: list[int], vectors: list[list[float]]) -> dict[int, tuple[np
         group = out.setdefault(len(own[i]), ([], []))
         group[0].append(i)
         group[1].append(own[i])
-    return {d: (np.array(i, np.int64), np.array(v, np.float64)) for d, (i, v) in out.items()}
+    return {d: (np.array(i, np.int64), _scaled(np.array(v, np.float64))) for d, (i, v) in out.items()}
+
+
+def _scaled(vectors: np.ndarray) -> np.ndarray:
+    """Each row times the power of two that brings its largest component to 1 or less.
+
+    Cosines stay the same to the last bit, and squares of very small or very
+    large components neither vanish nor overflow.
+    """
+    exponents = np.frexp(np.abs(vectors).max(1, initial=0))[1]
+    return np.ldexp(vectors, -exponents[:, None])
 
 
 class Forest:

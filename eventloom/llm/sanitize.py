@@ -92,7 +92,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     out = [(s, 0, e) for s, e in emails(text)]
     if DIGIT.search(text):
         for m in IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+            if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m.group().split(".")):
                 out.append((m.start(), 1, m.end()))
         for m in CARD.finditer(text):
             digits = re.sub(r"[^0-9]", "", m.group())

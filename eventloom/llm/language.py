@@ -57,7 +57,7 @@ class Points:
     """Per code point: lower case, and 0 for no letter, else 1 + script."""
 
     def __init__(self):
-        n = 0x30000
+        n = 0x33480  # above are no letters
         self.kind = np.zeros(n, np.uint8)
         self.lower = np.arange(n, dtype=np.uint32)
         for p in range(n):

@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from eventloom.llm import negatives, registry, spelling, urlrules
+from eventloom.llm import language, negatives, neighbours, registry, sanitize, spelling, urlrules
 
 
 @pytest.fixture(autouse=True)
@@ -234,3 +234,39 @@ def test_chains_of_forms_end_at_their_root(spark):
 def test_variants_of_empty_tables(spark):
     counts = spelling.word_counts(spark.createDataFrame([], "doc_id long, text string"))
     assert counts.count() == 0 and spelling.variants(counts).count() == 0
+
+
+# -- edges of earlier operators ----------------------------------------------
+
+def test_very_small_and_large_vectors_keep_their_neighbours(spark):
+    rng = np.random.default_rng(8)
+    plain = rng.normal(size=(60, 4))
+    scales = [10.0 ** float(e) for e in rng.choice([-170, -300, 0, 160, 250], size=60)]
+    table = spark.createDataFrame([(i, [float(x) for x in v * s]) for i, (v, s) in enumerate(zip(plain, scales))], "vec_id long, embedding array<double>")
+    got = neighbours.search(table, table.vec_id % 10 == 0, share=1.0).collect()
+    unit = plain / np.sqrt((plain * plain).sum(1))[:, None]
+    for q in range(0, 60, 10):
+        cosine = unit @ unit[q]
+        want = sorted((-c, i) for i, c in enumerate(cosine) if i != q)[:5]
+        mine = sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])
+        assert [r.vec_id for r in mine] == [i for _, i in want]
+        assert np.allclose([r.score for r in mine], [-c for c, _ in want], rtol=0, atol=1e-12)
+
+
+def test_scaling_by_powers_of_two_changes_no_bit():
+    v = np.random.default_rng(9).normal(size=(200, 64)).astype(np.float32).astype(np.float64)
+    w = neighbours._scaled(v)
+    plain = np.einsum("ij,j->i", v, v[0]) / (np.sqrt((v * v).sum(1)) * np.sqrt((v[0] * v[0]).sum()))
+    assert (plain == np.einsum("ij,j->i", w, w[0]) / (np.sqrt((w * w).sum(1)) * np.sqrt((w[0] * w[0]).sum()))).all()
+
+
+def test_addresses_with_thousands_of_digits():
+    text = "1.2.3." + "0" * 5000 + "1 and 1.2.3." + "9" * 5000 + " and 0000.01.002.255"
+    assert [(text[s:e][:8], k) for s, k, e in sanitize.base_spans(text) if k == 1] == [("1.2.3.00", 1), ("0000.01.", 1)]
+
+
+def test_letters_of_the_last_planes_are_letters():
+    points = language.Points()
+    for text in ("\U00030000\U0003134A", "\U00031350\U000323AF", "\U00020000", "日本"):
+        assert (points.of(text)[1] > 0).all()
+    assert not (points.of("\U000E0041\U0010FFFD1 !")[1] > 0).any()

@@ -60,7 +60,8 @@ BROADCAST_LABELS = 500_000
 # Numbers of (feature, label, context) that one bucket of a shuffle is to hold.
 BUCKET_CODES = 20_000_000
 PREFIXES = (4, 5, 6)
-MEMO = 400_000
+# Tokens a worker remembers: those that return are common, the rest only costs memory.
+MEMO = 100_000
 # Score where nothing can be learnt.
 UNKNOWN = 0.02
 # Pseudo-rows that draw a ratio towards 0.
@@ -347,9 +348,9 @@ class Features:
         known = self.memo.get(token)
         if known is None:
             known = make(token)
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            self.memo[token] = known
+            # Common tokens come early: what is full stays, it is not emptied.
+            if len(self.memo) < MEMO:
+                self.memo[token] = known
         return known
 
     def words(self, token: bytes) -> list[str]:
@@ -403,9 +404,9 @@ class Features:
         """Fragments put together, as the lattice with breaks has them."""
         known = self.whole.get(joined)
         if known is None:
-            if len(self.whole) >= MEMO:
-                self.whole.clear()
-            known = self.whole[joined] = decode(lattice(joined.decode("utf-8", "replace")), self.logp, breaks=True)
+            known = decode(lattice(joined.decode("utf-8", "replace")), self.logp, breaks=True)
+            if len(self.whole) < MEMO:
+                self.whole[joined] = known
         return known
 
     def together(self, parts: list[bytes], distinct: set[bytes], signs: set[bytes], told: Told) -> set[bytes]:
@@ -461,9 +462,8 @@ class Features:
             if opens:
                 signs.add(token)
             elif not pairs:
-                if len(self.dull) >= MEMO:
-                    self.dull.clear()
-                self.dull.add(token)
+                if len(self.dull) < MEMO:
+                    self.dull.add(token)
         for token in {*(token for token, _ in self.spelt(parts)), *self.together(parts, distinct, signs, told)}:
             found.update(self.known(token, make)[0])
         return found
@@ -500,7 +500,7 @@ def feature_counts(rows: DataFrame, logp) -> DataFrame:
                 side = pos if toxic else neg
                 side.update(features.of(text))
                 side[None] += 1
-            if len(pos) + len(neg) > 500_000:
+            if len(pos) + len(neg) > 250_000:
                 yield out()
         if pos or neg:
             yield out()

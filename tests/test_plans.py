@@ -110,7 +110,7 @@ def test_each_row_is_read_once(spark):
     assert plan(again).count("CollectMetrics") == 1
     lines = archive.archive_rows(M.archive_lines(spark, SF), 0)
     text = plan(lines.where("reason is null and event_id > 'e5'"))
-    assert text.count("Scan parquet") == 1 and text.count("try_parse_json") == 1
+    assert text.count("Scan parquet") == 1 and text.count("parseJson") == 1
 
 
 def test_both_sides_of_an_archive_come_from_one_parse(spark, folder):

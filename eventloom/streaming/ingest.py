@@ -55,15 +55,15 @@ def committed_events(spark: SparkSession, out: str, from_ledger: int | None = No
     return _between(spark, out, next_batch(spark, out), from_ledger, to_ledger).select(*EVENT_COLUMNS)
 
 
-def _between(spark: SparkSession, out: str, before: int, low: int | None, high: int | None) -> DataFrame:
+def _between(spark: SparkSession, out: str, before: int, low: int | None, high: int | None, events: DataFrame | None = None) -> DataFrame:
+    """Events of batches before one, with their revisions; ``events`` if the caller has listed them already."""
     where = F.lit(True)
     if low is not None:
         where = where & (F.col("ledger_bucket") >= low // LEDGERS_PER_BUCKET) & (F.col("ledger") >= low)
     if high is not None:
         where = where & (F.col("ledger_bucket") <= high // LEDGERS_PER_BUCKET) & (F.col("ledger") <= high)
-    return _overlaid(
-        tables.stored(spark, out, "events", STORED, before).where(where), tables.stored(spark, out, "revisions", STORED, before).where(where)
-    )
+    events = tables.stored(spark, out, "events", STORED, before) if events is None else events
+    return _overlaid(events.where(where), tables.stored(spark, out, "revisions", STORED, before).where(where))
 
 
 def committed_rows(spark: SparkSession, out: str, table: str) -> DataFrame:
@@ -104,7 +104,8 @@ def ingest_batch(raw: DataFrame, batch_id: int, out: str, interfaces: DataFrame
     span = rows.agg(
         F.min("ledger").alias("low"), F.max("ledger").alias("high"), F.slice(F.collect_set("ledger_bucket"), 1, NAMED_BUCKETS + 1).alias("buckets")
     ).first()
-    known = tables.stored(spark, out, "events", STORED, before=batch_id)
+    # Listed once: the anti join and the comparison below read the same files.
+    known = before = tables.stored(spark, out, "events", STORED, before=batch_id)
     if ids_pin_ledger and span["low"] is not None:
         few = len(span["buckets"]) <= NAMED_BUCKETS
         touched = F.col("ledger_bucket").isin(span["buckets"]) if few else F.col("ledger_bucket").between(span["low"] // LEDGERS_PER_BUCKET, span["high"] // LEDGERS_PER_BUCKET)
@@ -116,7 +117,7 @@ def ingest_batch(raw: DataFrame, batch_id: int, out: str, interfaces: DataFrame
     tables.put(contract_summaries(own), out, "contract_summaries", batch_id)
     if reorg_ledgers > 0:
         first = (span["high"] or 0) - reorg_ledgers
-        shown = _between(spark, out, batch_id, first, None)
+        shown = _between(spark, out, batch_id, first, None, before)
         if span["buckets"] and len(span["buckets"]) <= NAMED_BUCKETS:
             shown = shown.where(F.col("ledger_bucket").isin(span["buckets"]))
         tables.put(with_bucket(changed_content(shown, rows.where(F.col("ledger") >= first)).select(*EVENT_COLUMNS)), out, "revisions", batch_id, by=["ledger_bucket"])

@@ -14,7 +14,7 @@ from eventloom.plans import check  # noqa: E402
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["decode_value", "src_pages_file", "st_ingest", "st_reorg_cycles"])
+@pytest.mark.parametrize("name", ["decode_value", "src_pages_file", "st_ingest", "st_reorg_cycles", "to_event"])
 def test_failed_calls_without_an_amount(spark, folder, name):
     """Errors of no amount and of less than half a cent, whose sign is lost in rounding."""
     for t in check.TABLES:

@@ -39,3 +39,13 @@ def test_contract_keys_come_from_a_table(spark, user):
     want = spark.range(1).select(M.wire.strkey(M.wire.CONTRACT_VERSION, M.wire_contract_key(F.lit(user).cast("long") % 25))).first()[0]
     assert [r.contract_id for r in got] == [want] and (want is None) == (user is None)
     assert re.search(r"BroadcastHashJoin \[contract_no#\d+L\], .*LeftOuter", plan(M.raw_from(e)))
+
+
+def test_landed_pages_grow_in_files_not_in_file_size(spark, folder, monkeypatch):
+    from eventloom.plans.catalog import streams
+
+    monkeypatch.setattr(streams, "FILE_PAGES", 150)
+    assert streams._landed(spark, SF, f"{folder}/pages", 2) == 14  # 2,000 pages
+    per_file = spark.read.text(f"{folder}/pages").groupBy(F.input_file_name()).count()
+    counts = [r["count"] for r in per_file.collect()]
+    assert len(counts) == 14 and sum(counts) == 2_000 and max(counts) < 200

@@ -7,10 +7,10 @@ reads only the folders that are left; the filters themselves still run on the
 rows, so the index decides what is read, never what is found.
 
 Terms are stored as 64-bit hashes, sorted, so a lookup reads the few row groups
-its hashes fall into; equal hashes of different terms only add folders. Bitmaps
-are built by an aggregate with map-side combine: a term that a third of the
-events have is one bitmap per task and ``CHUNK`` folders. Postings of new
-events are merged by the same aggregate.
+its hashes fall into; equal hashes of different terms only add folders. A bitmap
+covers ``CHUNK`` folders and is stored without the engine's padding to 4 KB. What
+is shuffled and sorted are distinct (term, folder) numbers, combined map-side, and
+bitmaps are made last, one at a time. Postings of new events are merged alike.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from eventloom.operators import reads
 from eventloom.sources.store import LEDGERS_PER_BUCKET, bucket_of, read_events
 
 TOPICS = 4
-# Bits per bitmap of the engine's bitmap functions.
-CHUNK = 32_768
+# Folders per bitmap. The engine's bitmap functions hold 32,768 bits and always fill them up.
+CHUNK = 512
 
 
 def _term(contract_id, kind, value) -> Column:
@@ -56,12 +56,21 @@ def postings(ev: DataFrame, width: int = LEDGERS_PER_BUCKET) -> DataFrame:
         _term(F.col("contract_id"), F.col("kind"), F.col("value")).alias("term"),
         F.floor(F.col("folder") / CHUNK).alias("chunk"), F.pmod(F.col("folder"), F.lit(CHUNK)).alias("bit"),
     )
-    return marked.groupBy("term", "chunk").agg(F.bitmap_construct_agg("bit").alias("folders"))
+    return _per_term(marked.distinct(), F.bitmap_construct_agg("bit"))
+
+
+def _per_term(rows: DataFrame, bitmap: Column) -> DataFrame:
+    """One bitmap per term and chunk, made where the rows of a term are together: the engine's 4 KB never leave the task."""
+    return rows.repartition("term", "chunk").groupBy("term", "chunk").agg(_trimmed(bitmap).alias("folders"))
+
+
+def _trimmed(bitmap: Column) -> Column:
+    return F.substring(bitmap, 1, CHUNK // 8)
 
 
 def merged(old: DataFrame, new: DataFrame) -> DataFrame:
     """Postings of two sets of events."""
-    return old.unionByName(new).groupBy("term", "chunk").agg(F.bitmap_or_agg("folders").alias("folders"))
+    return _per_term(old.unionByName(new), F.bitmap_or_agg("folders"))
 
 
 def write_postings(found: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -81,7 +90,7 @@ def folders(spark: SparkSession, path: str, contract_id: str, event_name: str |
         return None
     hashes = spark.range(1).select(*[_term(contract_id, kind, text).alias(f"h{k}") for k, (kind, text) in enumerate(wanted)]).first()
     found = spark.read.parquet(path).where(F.col("term").isin(sorted(set(hashes))))
-    both = found.groupBy("chunk").agg(F.bitmap_and_agg("folders").alias("folders"), F.count("*").alias("n")).where(F.col("n") == len(set(hashes)))
+    both = found.groupBy("chunk").agg(_trimmed(F.bitmap_and_agg("folders")).alias("folders"), F.count("*").alias("n")).where(F.col("n") == len(set(hashes)))
     # Byte i of a bitmap holds bits 8 * i to 8 * i + 7.
     return sorted(
         r["chunk"] * CHUNK + 8 * i + k for r in both.collect() for i, byte in enumerate(r["folders"]) if byte for k in range(8) if byte >> k & 1

@@ -49,3 +49,12 @@ def test_landed_pages_grow_in_files_not_in_file_size(spark, folder, monkeypatch)
     per_file = spark.read.text(f"{folder}/pages").groupBy(F.input_file_name()).count()
     counts = [r["count"] for r in per_file.collect()]
     assert len(counts) == 14 and sum(counts) == 2_000 and max(counts) < 200
+
+
+@pytest.mark.parametrize("name", ["list_functions", "signatures", "parse_interface"])
+def test_modules_are_spread_and_parsed_once(spark, name):
+    from eventloom.plans import catalog
+
+    text = plan(catalog.QUERIES[name](spark, SF))
+    assert len(re.findall(r"ArrowEvalPython \[_interface_batch\(", text)) == 1
+    assert "REPARTITION_BY_COL" in text

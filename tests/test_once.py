@@ -58,3 +58,10 @@ def test_modules_are_spread_and_parsed_once(spark, name):
     text = plan(catalog.QUERIES[name](spark, SF))
     assert len(re.findall(r"ArrowEvalPython \[_interface_batch\(", text)) == 1
     assert "REPARTITION_BY_COL" in text
+
+
+def test_retried_events_are_read_once(spark):
+    from eventloom.plans import catalog
+
+    text = plan(catalog.QUERIES["reenrich"](spark, SF))
+    assert text.count("_decode_list_batch(") == plan(catalog.QUERIES["enrich"](spark, SF)).count("_decode_list_batch(") and "Union" not in text

@@ -65,3 +65,33 @@ def test_retried_events_are_read_once(spark):
 
     text = plan(catalog.QUERIES["reenrich"](spark, SF))
     assert text.count("_decode_list_batch(") == plan(catalog.QUERIES["enrich"](spark, SF)).count("_decode_list_batch(") and "Union" not in text
+
+
+def test_a_batch_of_new_ids_is_not_sorted_out(spark, folder, monkeypatch):
+    from eventloom.operators import merge
+    from eventloom.streaming import ingest
+
+    sorted_out = []
+    plain = merge.first_copies
+    monkeypatch.setattr(merge, "first_copies", lambda rows, order=None: sorted_out.append(rows) or plain(rows, order))
+    raw = M.raw(spark, SF)
+    n = F.col("event_id").cast("bigint")
+    other = raw.where(n < 700).withColumn("value", F.lit("AAAAAwAAAAc="))
+    batches = [
+        (raw.where(n < 400), 400, 0),
+        (raw.where((n >= 400) & (n < 500)), 500, 0),  # new
+        (raw.where(n < 600), 600, 0),  # some stored
+        (raw.where((n >= 600) & (n < 700)).unionByName(other.where(n >= 600)), 700, 1),  # repeated, with other content
+        (raw.unionByName(raw).unionByName(other), 1000, 1),  # repeated and stored
+        (raw.where("false"), 1000, 0),
+    ]
+    for k, (batch, stored, steps) in enumerate(batches):
+        sorted_out.clear()
+        ingest.ingest_batch(batch, k, f"{folder}/out")
+        found = ingest.committed_events(spark, f"{folder}/out")
+        assert (found.count(), found.select("event_id").distinct().count(), len(sorted_out)) == (stored, stored, steps)
+    # The smaller row of two copies stands, and a stored row stays.
+    want = to_events(raw).select("event_id", "decoded_value").collect()
+    small = {r[0] for r in other.where(n >= 600).select("event_id").collect()}
+    got = {r[0]: r[1] for r in found.select("event_id", "decoded_value").collect()}
+    assert all(got[i] == v or (i in small and got[i] == "7") for i, v in want)

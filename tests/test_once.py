@@ -95,3 +95,11 @@ def test_a_batch_of_new_ids_is_not_sorted_out(spark, folder, monkeypatch):
     small = {r[0] for r in other.where(n >= 600).select("event_id").collect()}
     got = {r[0]: r[1] for r in found.select("event_id", "decoded_value").collect()}
     assert all(got[i] == v or (i in small and got[i] == "7") for i, v in want)
+
+
+def test_template_keys_take_two_python_steps(spark):
+    """One reads the values; one finds the texts of topics and tests their addresses, in one process."""
+    from eventloom.plans import catalog
+
+    found = catalog.QUERIES["template_keys"](spark, SF)
+    assert evaluations(found) == 3  # with the contract keys of the lookup table

@@ -103,3 +103,18 @@ def test_template_keys_take_two_python_steps(spark):
 
     found = catalog.QUERIES["template_keys"](spark, SF)
     assert evaluations(found) == 3  # with the contract keys of the lookup table
+
+
+def test_events_are_spread_before_they_are_decoded(spark, folder):
+    """One file of one row group is decoded and named by several tasks, each event once."""
+    spark.read.parquet(f"{SF}/events.parquet").coalesce(1).write.parquet(f"{folder}/events.parquet")
+    size = "spark.sql.adaptive.coalescePartitions.minPartitionSize"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "1k")  # the table is this small too
+    try:
+        named = to_events(M.raw(spark, folder), _interfaces(spark, SF))
+        named.select("event_id", "enriched", F.spark_partition_id().alias("task")).write.parquet(f"{folder}/named")
+    finally:
+        spark.conf.set(size, before)
+    got = spark.read.parquet(f"{folder}/named").agg(F.count("*"), F.count_distinct("event_id"), F.count_distinct("task")).first()
+    assert got[0] == got[1] == 1_000 and got[2] > 1

@@ -51,6 +51,19 @@ def test_landed_pages_grow_in_files_not_in_file_size(spark, folder, monkeypatch)
     assert len(counts) == 14 and sum(counts) == 2_000 and max(counts) < 200
 
 
+def test_cycles_are_landed_spread_and_packed(spark, folder, monkeypatch):
+    from eventloom.plans import catalog
+    from eventloom.plans.catalog import streams
+
+    monkeypatch.setattr(streams, "shared_dir", lambda _, name: f"{folder}/{name}")
+    monkeypatch.setattr(streams, "FILE_PAGES", 150)
+    assert catalog.QUERIES["st_reorg_cycles"](spark, SF).count() == 1000
+    per_file = spark.read.text(f"{folder}/reorg/pages").groupBy(F.input_file_name().alias("f")).count().collect()
+    # 1,000 pages, 334 twice and 167.
+    assert len(per_file) == 7 + 4 + 4 + 4 and max(r["count"] for r in per_file) < 200
+    assert all(r["f"].endswith(".gz") for r in per_file)
+
+
 @pytest.mark.parametrize("name", ["list_functions", "signatures", "parse_interface"])
 def test_modules_are_spread_and_parsed_once(spark, name):
     from eventloom.plans import catalog

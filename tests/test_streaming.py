@@ -9,6 +9,7 @@ from wirebuild import account, b64, event, i128, symbol
 
 from eventloom.operators import interfaces as I
 from eventloom.operators.aggregates import contract_summaries
+from eventloom.plans import mapping as M
 from eventloom.schemas import QUEUED
 from eventloom.streaming import ingest, live, tables
 
@@ -158,6 +159,69 @@ def test_ingest_enriches(spark, folder):
     assert json.loads(got["e1"])["params"]["amount"] == {"type": "i128", "value": "5"} and got["e2"] is None
 
 
+SF = "/root/testdata/sf0.001"
+
+
+def shuffles_left(spark, before):
+    """Shuffle files that are there and were not before; they are removed in the background."""
+    for _ in range(20):
+        found = {f"{d}/{f}" for d, _, names in os.walk(spark.conf.get("spark.local.dir")) for f in names if f.startswith("shuffle_")}
+        if found <= before:
+            return set()
+        time.sleep(0.5)
+    return found - before
+
+
+def test_batches_and_compaction_leave_no_shuffle_files(spark, folder):
+    raw = M.raw(spark, SF)
+    old = raw.where("event_id < '000000000700'")
+    before = shuffles_left(spark, set())
+    ingest.ingest_batch(old.unionByName(old), 0, f"{folder}/out", reorg_ledgers=600_000)
+    ingest.ingest_batch(raw.withColumn("value", F.lit("AAAAAwAAAAc=")), 1, f"{folder}/out", reorg_ledgers=600_000)
+    ingest.compact(spark, f"{folder}/out", f"{folder}/new")
+    assert not shuffles_left(spark, before)
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    assert ingest.committed_events(spark, f"{folder}/new").count() == 1000
+    # The decoded batch is not kept beside the tables.
+    assert spark.read.schema("event_id string").parquet(f"{folder}/out/staging").count() == 0
+
+
+def test_large_batches_are_stored_in_slices(spark, folder, monkeypatch):
+    """The same tables, whatever is shuffled at once; a replay leaves nothing of the slices of an earlier attempt."""
+    raw = M.raw(spark, SF)
+    n = F.col("event_id").cast("bigint")
+    other = raw.where(n % 3 == 0).withColumn("value", F.lit("AAAAAwAAAAc="))
+    written = []
+    plain = ingest.clustered
+
+    def tables_of(out, target):
+        for k, batch in enumerate((raw.where(n < 600).unionByName(other.where(n < 50)), raw.unionByName(raw).unionByName(other), other)):
+            ingest.ingest_batch(batch, k, out, reorg_ledgers=600_000)
+        ingest.compact(spark, out, target)
+        return [rows(f(spark, o)) for o in (out, target) for f in (ingest.committed_events, ingest.committed_summaries, lambda *a: ingest.committed_rows(*a, "token_transfers"))]
+
+    want = tables_of(f"{folder}/whole", f"{folder}/whole2")
+    monkeypatch.setattr(ingest, "SLICE_ROWS", 400)
+    monkeypatch.setattr(ingest, "clustered", lambda df: written.append(df) or plain(df))
+    with monkeypatch.context() as m:
+        put, calls = tables.put, []
+
+        def lost(*args, **kwargs):
+            calls.append(args)
+            if len(calls) == 3:
+                raise RuntimeError("lost")
+            put(*args, **kwargs)
+
+        m.setattr(tables, "put", lost)
+        with pytest.raises(RuntimeError):
+            ingest.ingest_batch(raw, 0, f"{folder}/cut")
+    del written[:]
+    assert tables_of(f"{folder}/cut", f"{folder}/cut2") == want
+    assert len(want[0]) == 1000 and want[0] == want[3]
+    # Slices of 617, 2,334 and 334 rows in the batches, then of 1,000 events in the compaction.
+    assert len(written) >= 2 + 6 + 1 + 3 and all(df.count() < 500 for df in written[9:12])
+
+
 def file_stream(spark, folder, df, name):
     df.write.parquet(f"{folder}/{name}")
     return spark.readStream.schema(df.schema).parquet(f"{folder}/{name}")

@@ -51,6 +51,19 @@ def test_landed_pages_grow_in_files_not_in_file_size(spark, folder, monkeypatch)
     assert len(counts) == 14 and sum(counts) == 2_000 and max(counts) < 200
 
 
+def test_landed_pages_are_packed(spark, folder):
+    """Pages of many copies take a fraction of their text on disk, each event as often as asked."""
+    from eventloom.plans.catalog import streams
+
+    streams._landed(spark, SF, f"{folder}/pages", 2)
+    pages = spark.read.text(f"{folder}/pages")
+    files = [f"{folder}/pages/{f}" for f in os.listdir(f"{folder}/pages") if f.startswith("part-")]
+    text = pages.agg(F.sum(F.octet_length("value") + 1)).first()[0]
+    assert sum(map(os.path.getsize, files)) < text / 4
+    want = M.page_lines_from(M.table(spark, SF, "events"))
+    assert sorted(r[0] for r in pages.collect()) == sorted(r[0] for r in want.unionAll(want).collect())
+
+
 def test_cycles_are_landed_spread_and_packed(spark, folder, monkeypatch):
     from eventloom.plans import catalog
     from eventloom.plans.catalog import streams

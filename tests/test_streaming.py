@@ -222,6 +222,13 @@ def test_large_batches_are_stored_in_slices(spark, folder, monkeypatch):
     assert len(written) >= 2 + 6 + 1 + 3 and all(df.count() < 500 for df in written[9:12])
 
 
+def test_events_without_revisions_are_not_joined(spark, folder):
+    land(folder, "1.json", entry("e1", 500))
+    follow(spark, folder, reorg_ledgers=50)
+    found = ingest.committed_events(spark, f"{folder}/out")
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString() and found.count() == 1
+
+
 def file_stream(spark, folder, df, name):
     df.write.parquet(f"{folder}/{name}")
     return spark.readStream.schema(df.schema).parquet(f"{folder}/{name}")
